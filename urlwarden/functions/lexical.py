@@ -55,33 +55,29 @@ def flag(condition: Column) -> Column:
     return F.when(condition, 1).otherwise(0)
 
 
-def any_of(conditions: list[Column]) -> Column:
-    out = conditions[0]
-    for c in conditions[1:]:
-        out = out | c
-    return out
+# Constant lists become one SQL text each: a list of words costs one call, not one per word.
 
+def _contains_any(column: str, words: list[str]) -> Column:
+    return F.expr(" OR ".join(f"contains({column}, {tx.quoted(w)})" for w in words))
 
-def _brand_distances(label: Column, brands: list[str]) -> Column:
-    return F.array(*[F.levenshtein(label, F.lit(b)) for b in brands])
 
+def _brand_distances(brands: list[str]) -> Column:
+    return F.expr(f"array({', '.join(f'levenshtein(_label, {tx.quoted(b)})' for b in brands)})")
 
-def _lures(u: Column, lexicon: dict[str, list[str]]) -> Column:
-    hits = [F.when(F.contains(u, F.lit(word)),
-                   F.struct(F.lit(cat).alias("category"), F.lit(word).alias("keyword")))
+
+def _lures(lexicon: dict[str, list[str]]) -> Column:
+    hits = [f"IF(contains(canonical, {tx.quoted(word)}), "
+            f"named_struct('category', {tx.quoted(cat)}, 'keyword', {tx.quoted(word)}), NULL)"
             for cat, words in lexicon.items() for word in words]
-    return F.array_compact(F.array(*hits))
+    return F.expr(f"array_compact(array({', '.join(hits)}))")
 
 
-def _keyword_count(u: Column, words: list[str]) -> Column:
-    total = F.lit(0)
-    for w in words:
-        total = total + flag(F.contains(u, F.lit(w)))
-    return total
+def _keyword_count(words: list[str]) -> Column:
+    return F.expr(" + ".join(f"IF(contains(canonical, {tx.quoted(w)}), 1, 0)" for w in words))
 
 
-def _ends_with(host: Column, tlds: list[str]) -> Column:
-    return any_of([F.endswith(host, F.lit(t)) for t in tlds])
+def _ends_with(column: str, tlds: list[str]) -> Column:
+    return F.expr(" OR ".join(f"endswith({column}, {tx.quoted(t)})" for t in tlds))
 
 
 def dga_score(label: Column, entropy: Column) -> Column:
@@ -95,7 +91,7 @@ def dga_score(label: Column, entropy: Column) -> Column:
 
 
 def _subdomains_v4(host: Column) -> Column:
-    named = F.filter(F.split(host, r"\."), lambda s: (s != "") & ~s.isin(V.PLAIN_LABELS))
+    named = F.filter(F.split(host, r"\."), lambda s: (s != "") & ~F.array_contains(tx.literals(V.PLAIN_LABELS), s))
     return F.greatest(F.lit(0), F.size(named) - 1)
 
 
@@ -106,24 +102,24 @@ def _dots(text: Column) -> Column:
 def _v4(df: DataFrame, p: Profile) -> DataFrame:
     u, host, n = F.col("canonical"), F.col("host"), F.col("url_length")
     df = df.withColumns({
-        "digit_ratio": tx.share(tx.count_matches(u, V.DIGIT), n),
+        "digit_ratio": tx.share(tx.count_digits(u, n), n),
         "special_ratio": tx.share(tx.count_matches(u, r"[^\p{L}\p{N}:/.\-]"), n),
         "num_subdomains": _subdomains_v4(host),
         "has_ip": flag(F.rlike(host, F.lit(V.IPV4_PREFIX_PATTERN))),
         "entropy": tx.entropy(host, F.col("domain_length")),
         "url_entropy": tx.entropy(u, n),
-        "_dists": _brand_distances(F.col("_label"), p.brands),
-        "has_suspicious_tld": flag(_ends_with(host, p.tlds)),
-        "lure_matches": _lures(u, p.lexicon),
-        "has_sensitive_keywords": flag(any_of(
-            [F.contains(u, F.lit(w)) for words in p.lexicon.values() for w in words])),
+        "_dists": _brand_distances(p.brands),
+        "has_suspicious_tld": flag(_ends_with("host", p.tlds)),
+        "lure_matches": _lures(p.lexicon),
+        "has_sensitive_keywords": flag(_contains_any(
+            "canonical", [w for words in p.lexicon.values() for w in words])),
         "is_punycode": flag(urls.is_homograph(u)),
     })
     df = df.withColumns({
         "brand_dist": F.array_min("_dists"),
         "dga_score": dga_score(F.col("_label"), F.col("entropy")),
     })
-    names = F.array(*[F.lit(b) for b in p.brands])
+    names = tx.literals(p.brands)
     first = F.array_position(F.col("_dists"), F.col("brand_dist")).cast("int")
     return df.withColumn("matched_brand", F.when(F.col("brand_dist") <= 3, F.element_at(names, first))
                          .otherwise("None"))
@@ -131,18 +127,18 @@ def _v4(df: DataFrame, p: Profile) -> DataFrame:
 
 def _train(df: DataFrame, p: Profile) -> DataFrame:
     u, host, n = F.col("canonical"), F.col("host"), F.col("url_length")
-    slash_tlds = [F.contains(u, F.lit(t + "/")) for t in p.tlds]
+    slash_tlds = _contains_any("canonical", [t + "/" for t in p.tlds])
     return df.withColumns({
-        "digit_ratio": tx.share(tx.count_matches(u, V.DIGIT), n),
+        "digit_ratio": tx.share(tx.count_digits(u, n), n),
         "special_ratio": tx.share(tx.count_matches(u, r"[^\p{L}\p{N}]"), n),
         "num_subdomains": F.greatest(F.lit(0), _dots(u) - 1),
         "has_ip": flag(F.rlike(host, F.lit(V.DIGIT)) & (_dots(host) == 3)),
         "url_entropy": tx.entropy(u, n),
         "entropy": tx.entropy(host, F.col("domain_length")),
         "brand_dist": F.when(host == "", 999).otherwise(
-            F.array_min(_brand_distances(F.col("_label"), p.brands))),
-        "has_suspicious_tld": flag(_ends_with(u, p.tlds) | any_of(slash_tlds)),
-        "keyword_count": _keyword_count(u, p.keywords),
+            F.array_min(_brand_distances(p.brands))),
+        "has_suspicious_tld": flag(_ends_with("canonical", p.tlds) | slash_tlds),
+        "keyword_count": _keyword_count(p.keywords),
     })
 
 
@@ -151,7 +147,7 @@ def _v3(df: DataFrame, p: Profile) -> DataFrame:
     q = F.col("query")
     return df.withColumns({
         "path_length": F.length("path"),
-        "digit_ratio": tx.share(tx.count_matches(u, V.DIGIT), n),
+        "digit_ratio": tx.share(tx.count_digits(u, n), n),
         "special_ratio": tx.share(tx.count_matches(u, r"[^\p{L}\p{N}]"), n),
         "num_subdomains": F.greatest(F.lit(0), _dots(host) - 1),
         "has_ip": flag(F.rlike(host, F.lit(V.IPV4_WHOLE_PATTERN))),
@@ -159,9 +155,9 @@ def _v3(df: DataFrame, p: Profile) -> DataFrame:
         "url_entropy": tx.entropy(u, n),
         "entropy": tx.entropy(host, F.col("domain_length")),
         "brand_dist": F.when(host == "", 999).otherwise(
-            F.array_min(_brand_distances(F.col("_label"), p.brands))),
-        "has_suspicious_tld": flag(_ends_with(host, p.tlds)),
-        "keyword_count": _keyword_count(u, p.keywords),
+            F.array_min(_brand_distances(p.brands))),
+        "has_suspicious_tld": flag(_ends_with("host", p.tlds)),
+        "keyword_count": _keyword_count(p.keywords),
         "has_at_symbol": flag(F.contains(u, F.lit("@"))),
         "is_https": flag(F.col("scheme") == "https"),
         "has_double_slash": flag(F.contains(F.col("path"), F.lit("//"))),

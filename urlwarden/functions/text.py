@@ -8,6 +8,16 @@ from pyspark.sql import functions as F
 from urlwarden import fixed_values as V
 
 
+def quoted(value: str) -> str:
+    """A SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def literals(values: list[str]) -> Column:
+    """A constant array of strings, built as one expression."""
+    return F.expr(f"array({', '.join(map(quoted, values))})")
+
+
 def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(V.WHITESPACE))
 
@@ -16,15 +26,14 @@ def entropy(text: Column, length: Column) -> Column:
     """Shannon bits per character; 0 for an empty string.
 
     Pass plain columns: both are read once per distinct character. A character is
-    counted by the length its removal takes away, so the loop is over the alphabet
+    counted by the bytes its removal takes away, so the loop is over the alphabet
     of the string and not over the string.
     """
-    def add(total: Column, ch: Column) -> Column:
-        n = length - F.length(F.replace(text, ch, F.lit("")))
-        return total + n * F.log2(n)
-
-    alphabet = F.array_distinct(F.split(text, ""))
-    total = F.aggregate(alphabet, F.lit(0.0), add)
+    size = F.octet_length(text)
+    counts = F.transform(
+        F.array_distinct(F.split(text, "")),
+        lambda ch: (size - F.octet_length(F.replace(text, ch, F.lit("")))) / F.octet_length(ch))
+    total = F.aggregate(counts, F.lit(0.0), lambda acc, n: acc + n * F.log2(n))
     return F.when(length > 0, F.greatest(F.lit(0.0), F.log2(length) - total / length)).otherwise(0.0)
 
 
@@ -36,6 +45,12 @@ def count_matches(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
 
+def count_digits(text: Column, length: Column) -> Column:
+    """Digit characters; the short pattern is enough where every character is one byte."""
+    return F.when(F.octet_length(text) == length, count_matches(text, "[0-9]")).otherwise(
+        count_matches(text, V.DIGIT))
+
+
 def text_features(df, text: str):
     """Entropy, length and the digit, special and upper-case shares of free text (5 dp)."""
     df = df.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
@@ -43,7 +58,7 @@ def text_features(df, text: str):
     t, n = F.col("_text"), F.col("char_length")
     return df.withColumns({
         "shannon_entropy": F.round(entropy(t, n), 5),
-        "digit_ratio": F.round(share(count_matches(t, V.DIGIT), n), 5),
+        "digit_ratio": F.round(share(count_digits(t, n), n), 5),
         "special_char_ratio": F.round(share(count_matches(t, r"[^\p{L}\p{N}]"), n), 5),
         "uppercase_ratio": F.round(share(count_matches(t, r"\p{Lu}"), n), 5),
     }).drop("_text")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from urlwarden import fixed_values as V
-from urlwarden.functions.text import strip
+from urlwarden.functions.text import literals, strip
 
 
 PARTS = ("canonical", "scheme", "netloc", "path", "query", "host")
@@ -54,7 +54,7 @@ def with_url_parts(df: DataFrame, url_col: str = "url") -> DataFrame:
     ).otherwise(F.col("_rest"))
     raw_path = F.regexp_extract(after, r"^([^?#]*)", 1)
     df = df.withColumn("path", F.when(
-        F.col("scheme").isin(V.PARAM_SCHEMES) & F.contains(raw_path, F.lit(";")),
+        F.array_contains(literals(V.PARAM_SCHEMES), F.col("scheme")) & F.contains(raw_path, F.lit(";")),
         F.regexp_replace(raw_path, r";[^/]*$", "")).otherwise(raw_path))
     host = F.when(F.col("netloc") != "", F.col("netloc")).otherwise(F.substring_index("path", "/", 1))
     parts = F.struct("canonical", "scheme", "netloc", "path", "query", host.alias("host"))
@@ -76,7 +76,7 @@ def apex_domain(domain: Column) -> Column:
     """Last two labels, or three below a two-part country suffix."""
     labels = F.split(domain, r"\.")
     n = F.size(labels)
-    two_part = (F.try_element_at(labels, F.lit(-2)).isin(V.SECOND_LEVEL_LABELS)
+    two_part = (F.array_contains(literals(V.SECOND_LEVEL_LABELS), F.try_element_at(labels, F.lit(-2)))
                 & (F.length(F.try_element_at(labels, F.lit(-1))) == 2))
     return (F.when(n < 3, domain)
             .when(two_part, F.substring_index(domain, ".", -3))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from urlwarden import fixed_values as V
-from urlwarden.functions.text import strip
+from urlwarden.functions.text import quoted, strip
 from urlwarden.functions.urls import is_homograph, with_domain, with_url_parts
 
 TRUSTED_PATTERN = "|".join(V.ALLOW_PATTERNS)
@@ -42,6 +42,10 @@ def pattern_match(domain: Column) -> Column:
     return F.rlike(domain, F.lit(TRUSTED_PATTERN))
 
 
+def _in_list(column: str, domains: list[str]) -> Column:
+    return F.expr(f"{column} IN ({', '.join(map(quoted, domains))})")
+
+
 def _listed(df: DataFrame, allow: DataFrame | None) -> DataFrame:
     """Add ``listed``: the domain or its apex is on the list.
 
@@ -50,8 +54,8 @@ def _listed(df: DataFrame, allow: DataFrame | None) -> DataFrame:
     the planner broadcasts it where its measured size allows and splits hot hosts if not.
     """
     if allow is None:
-        return df.withColumn("listed", F.col("domain").isin(V.ALLOW_DOMAINS_V4)
-                             | F.col("apex").isin(V.ALLOW_DOMAINS_V4))
+        return df.withColumn("listed", _in_list("domain", V.ALLOW_DOMAINS_V4)
+                             | _in_list("apex", V.ALLOW_DOMAINS_V4))
     keys = allow.select("domain").distinct()
     by_domain = keys.select(F.col("domain").alias("_d"))
     by_apex = keys.select(F.col("domain").alias("_a"))
@@ -81,5 +85,5 @@ def allow_decision_v3(df: DataFrame, url_col: str = "url") -> DataFrame:
     parts = with_url_parts(df, "_u").withColumn("domain", F.substring_index("netloc", ":", 1))
     apex = F.substring_index(F.col("domain"), ".", -2)
     return parts.withColumn("apex", apex).withColumn(
-        "allowed", F.col("domain").isin(V.ALLOW_DOMAINS_V3) | F.col("apex").isin(V.ALLOW_DOMAINS_V3)
+        "allowed", _in_list("domain", V.ALLOW_DOMAINS_V3) | _in_list("apex", V.ALLOW_DOMAINS_V3)
     ).drop("_u")

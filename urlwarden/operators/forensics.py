@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from urlwarden import fixed_values as V
 from urlwarden.functions.risk import is_dga, is_typosquat
+from urlwarden.functions.text import literals, quoted
 
 
 def _rules() -> dict[str, Column]:
@@ -32,7 +33,7 @@ def _percent(value: Column, digits: int) -> Column:
 
 def _technique(name: str) -> Column:
     tid, text = V.TECHNIQUES[name]
-    return F.struct(F.lit(tid).alias("id"), F.lit(text).alias("name"))
+    return F.expr(f"named_struct('id', {quoted(tid)}, 'name', {quoted(text)})")
 
 
 def techniques() -> Column:
@@ -70,16 +71,12 @@ def anomaly_count() -> Column:
     return total
 
 
-def _texts(values: list[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values])
-
-
 def playbook_actions() -> Column:
-    by_rule = F.when(is_typosquat(), _texts(V.ACTIONS["typosquat"])).otherwise(
+    by_rule = F.when(is_typosquat(), literals(V.ACTIONS["typosquat"])).otherwise(
         F.array().cast("array<string>"))
-    by_verdict = (F.when(F.col("verdict") == "MALICIOUS", _texts(V.ACTIONS["MALICIOUS"]))
-                  .when(F.col("verdict") == "SUSPICIOUS", _texts(V.ACTIONS["SUSPICIOUS"]))
-                  .otherwise(_texts(V.ACTIONS["SAFE"])))
+    by_verdict = (F.when(F.col("verdict") == "MALICIOUS", literals(V.ACTIONS["MALICIOUS"]))
+                  .when(F.col("verdict") == "SUSPICIOUS", literals(V.ACTIONS["SUSPICIOUS"]))
+                  .otherwise(literals(V.ACTIONS["SAFE"])))
     return F.concat(by_rule, by_verdict)
 
 
@@ -97,8 +94,9 @@ def xai_attribution() -> Column:
 
     def pair(key: str, text: Column | None = None) -> Column:
         name, fixed = V.CONTRIBUTIONS[key]
-        return F.struct(F.lit(name).alias("feature"),
-                        (F.lit(fixed) if text is None else text).alias("contribution"))
+        if text is None:
+            return F.expr(f"named_struct('feature', {quoted(name)}, 'contribution', {quoted(fixed)})")
+        return F.struct(F.lit(name).alias("feature"), text.alias("contribution"))
 
     dga = F.format_string(V.CONTRIBUTIONS["dga"][1], F.bround(F.col("dga_score") * 30, 1))
     found = F.array_compact(F.array(
@@ -111,7 +109,7 @@ def xai_attribution() -> Column:
     return F.when(F.size(found) == 0, F.array(pair("none"))).otherwise(found)
 
 
-def metric_texts() -> dict[str, Column]:
+def metricliterals() -> dict[str, Column]:
     brand = F.when(F.col("brand_dist") <= 3, F.format_string(
         "%d (%s)", F.col("brand_dist"), F.col("matched_brand"))).otherwise("0 (Clean)")
     return {
@@ -132,7 +130,7 @@ def _record(summary_text, ttps, inds, actions, metrics, xai) -> Column:
 
 
 def scorer_forensics() -> Column:
-    return _record(summary(), techniques(), indicators(), playbook_actions(), metric_texts(),
+    return _record(summary(), techniques(), indicators(), playbook_actions(), metricliterals(),
                    xai_attribution())
 
 
@@ -155,7 +153,7 @@ def tier_forensics(kind: str, url: Column, risk: Column) -> Column:
         ttps = F.array(_technique("cached"))
     else:
         text, ttps = F.lit(V.SUMMARIES["allowed"]), F.array().cast(_NO_TTPS)
-    return _record(text, ttps, _texts([V.INDICATORS[kind]]), _texts(V.ACTIONS[kind]), metrics,
+    return _record(text, ttps, literals([V.INDICATORS[kind]]), literals(V.ACTIONS[kind]), metrics,
                    F.array().cast(_NO_PAIRS))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from urlwarden import fixed_values as V
 from urlwarden.functions.lexical import url_features
 from urlwarden.functions.risk import score
-from urlwarden.functions.text import text_features
+from urlwarden.functions.text import literals, text_features
 from urlwarden.operators import verdicts
 from urlwarden.plans import scan as scan_plan
 
@@ -23,13 +23,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a table of few files over all cores before heavy work on its rows.
+
+    Large tables have more scan partitions than cores and stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _pick(values: list[str], index) -> F.Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
+    return F.element_at(literals(values), (index + 1).cast("int"))
 
 
 def scan_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One scan request per event: a sample URL, plain, upper-cased, padded or with a path."""
-    e = table(spark, sf_dir, "events")
+    e = spread(table(spark, sf_dir, "events").select(
+        "event_id", "ts", "user_id", "event_type", "value"))
     n = len(TEMPLATES)
     base = _pick(TEMPLATES, F.col("event_id") % n)
     variant = F.floor(F.col("event_id") / n) % 4
@@ -50,12 +60,12 @@ def scan_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select(F.col("page_id").alias("url_id"), "url")
+    return spread(table(spark, sf_dir, "pages").select(F.col("page_id").alias("url_id"), "url"))
 
 
 def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line of every document, as a raw request line."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     lines = d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     return lines.select((F.col("doc_id") * 1000000 + F.col("line_no")).alias("url_id"),
                         "doc_id", "line_no", "line")
@@ -119,7 +129,7 @@ def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled payloads: document text features and the toxicity label as target."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars"))
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("target"))
     return text_features(d.join(labels, "doc_id"), "text").drop("text")
 

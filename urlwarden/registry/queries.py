@@ -152,7 +152,7 @@ def feat_v3_17(spark, sf):
 
 def feat_payload(spark, sf):
     from urlwarden.functions.text import text_features
-    df = text_features(C.table(spark, sf, "documents").select("doc_id", "text"), "text")
+    df = text_features(C.spread(C.table(spark, sf, "documents").select("doc_id", "text")), "text")
     return df.select("doc_id", "shannon_entropy", *_longs("char_length"), "digit_ratio",
                      "special_char_ratio", "uppercase_ratio")
 
@@ -305,7 +305,7 @@ def scan_batch(spark, sf):
 
 def _raw_requests(spark, sf) -> DataFrame:
     """Every text piece between full stops as a raw request, blank pieces included."""
-    d = C.table(spark, sf, "documents")
+    d = C.spread(C.table(spark, sf, "documents").select("doc_id", "text"))
     return d.select("doc_id", F.posexplode(F.split("text", r"\.")).alias("pos", "url"))
 
 
