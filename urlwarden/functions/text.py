@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from urlwarden import fixed_values as V
@@ -18,6 +18,17 @@ def literals(values: list[str]) -> Column:
     return F.expr(f"array({', '.join(map(quoted, values))})")
 
 
+def unnest(df: DataFrame, keep: list[str], array: Column | str, name: str,
+           pos: str | None = None) -> DataFrame:
+    """One row per array element.
+
+    The outer form with a filter on its result: from the inner form the planner derives a
+    filter on the array size and pushes a copy of the whole array expression below the rows.
+    """
+    made = F.posexplode_outer(array).alias(pos, name) if pos else F.explode_outer(array).alias(name)
+    return df.select(*keep, made).where(F.col(name).isNotNull())
+
+
 def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(V.WHITESPACE))
 

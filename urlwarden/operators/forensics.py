@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from urlwarden import fixed_values as V
 from urlwarden.functions.risk import is_dga, is_typosquat
-from urlwarden.functions.text import literals, quoted
+from urlwarden.functions.text import literals, quoted, unnest
 
 
 def _rules() -> dict[str, Column]:
@@ -172,7 +172,7 @@ def mitre_rollup(scored: DataFrame, techniques_table: DataFrame) -> DataFrame:
 
     Counted before the join, so the join sees one row per technique id.
     """
-    counts = scored.select(F.explode(techniques()).alias("t")).groupBy(
+    counts = unnest(scored, [], techniques(), "t").groupBy(
         F.col("t.id").alias("technique_id")).agg(F.count("*").alias("n"))
     return counts.join(techniques_table.select("technique_id", "name", "tactic"), "technique_id", "left")
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from urlwarden.functions.lexical import PROFILES, url_features
+from urlwarden.functions.text import unnest
 
 
 def brand_lookalikes(urls: DataFrame, brands: list[str] = PROFILES["v4"].brands,
@@ -22,7 +23,7 @@ def brand_lookalikes(urls: DataFrame, brands: list[str] = PROFILES["v4"].brands,
     near = [F.struct(F.levenshtein(F.col("label"), F.lit(b), max_dist).alias("distance"),
                      F.lit(i).alias("pos"), F.lit(b).alias("brand")) for i, b in enumerate(brands)]
     near = [F.when(F.abs(n - len(b)) <= max_dist, s) for s, b in zip(near, brands)]
-    hits = labels.select("label", "n_urls", F.explode(F.array_compact(F.array(*near))).alias("h"))
+    hits = unnest(labels, ["label", "n_urls"], F.array_compact(F.array(*near)), "h")
     # A distance beyond the threshold comes back as -1. The first brand of the list wins a tie.
     return (hits.where(F.col("h.distance") >= 0).groupBy("label", "n_urls")
             .agg(F.min(F.struct("h.distance", "h.pos", "h.brand")).alias("best"))
@@ -37,5 +38,5 @@ def brand_url_counts(lookalikes: DataFrame) -> DataFrame:
 
 def lure_counts(urls: DataFrame) -> DataFrame:
     """URLs per lure keyword."""
-    hits = url_features(urls).select(F.explode("lure_matches").alias("m"))
+    hits = unnest(url_features(urls), [], "lure_matches", "m")
     return hits.groupBy("m.category", "m.keyword").agg(F.count("*").alias("n"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from urlwarden import fixed_values as V
 from urlwarden.functions.lexical import PROFILES
-from urlwarden.registry.corpora import HOST_TLDS, IP_PREFIXES, TEMPLATES
+from urlwarden.registry.corpora import HOST_TLDS, IP_PREFIXES, PAYLOAD_FEATURES, TEMPLATES
 
 
 def q(text: str) -> str:
@@ -386,6 +386,58 @@ ONE_PAGE_ALLOW = f"{BASE_ALLOW}, {CUSTOM_ALLOW}, allow as (select domain from ba
 V3_LIST = ", ".join(q(d) for d in V.ALLOW_DOMAINS_V3)
 
 
+# ---- training and preparation -----------------------------------------------
+
+CHAR_TEXT = "regexp_replace(lower(url), '\\s\\s+', ' ', 'g')"
+
+
+def char_terms(src: str, key: str) -> str:
+    return f"""cw as (select {key}, {CHAR_TEXT} as c from {src}),
+grams as (
+  select {key}, unnest(list_transform(range(1, length(c) - n + 2), lambda i: substr(c, i, n))) as term
+  from cw, (values (3), (4), (5)) k(n) where length(c) >= n)"""
+
+
+WORD_GRAMS = """tokens as (
+  select corpus, url_id, regexp_extract_all(lower(url), '[\\p{L}\\p{M}\\p{N}_]{2,}') as t from all_urls),
+wgrams as (
+  select corpus, url_id, unnest(t) as term from tokens
+  union all
+  select corpus, url_id, unnest(list_transform(range(1, len(t) - n + 2), lambda i: array_to_string(t[i:i + n - 1], ' ')))
+  from tokens, (values (2), (3)) k(n) where len(t) >= n)"""
+
+PAYLOADS = f"""payloads as (
+  select doc_id, n_chars, round({entropy('text')}, 5) as shannon_entropy, length(text) as char_length,
+    round({share(count('text', DIGIT), 'length(text)')}, 5) as digit_ratio,
+    round({share(count('text', '[^\\p{L}\\p{N}]'), 'length(text)')}, 5) as special_char_ratio,
+    round({share(count('text', '\\p{Lu}'), 'length(text)')}, 5) as uppercase_ratio, toxic as target
+  from documents join labels using (doc_id))"""
+SPLITS = """ranked as (
+  select doc_id, toxic as target, row_number() over (partition by toxic order by sha256('42|' || doc_id)) as rn,
+    count(*) over (partition by toxic) as n
+  from labels),
+splits as (
+  select *, case when rn <= round(n * 0.20::double) then 'test'
+      when rn <= round(n * (0.20::double + 0.10::double)) then 'val' else 'train' end as split,
+    (rn > round(n * 0.2::double))::int + (rn > round(n * 0.4::double))::int
+      + (rn > round(n * 0.6::double))::int + (rn > round(n * 0.8::double))::int as fold
+  from ranked)"""
+
+
+def robust(c: str) -> str:
+    iqr = f"(select quantile_cont({c}::double, 0.75) - quantile_cont({c}::double, 0.25) from fit)"
+    return (f"round(({c} - (select median({c}::double) from fit)) / "
+            f"(case when {iqr} = 0 then 1.0 else {iqr} end), 6) as {c}")
+
+
+def standard(c: str) -> str:
+    return f"round(({c} - avg({c}) over ()) / coalesce(nullif(stddev_pop({c}) over (), 0), 1), 6) as {c}"
+
+
+YJ = ("(case when {x} >= 0 then (case when abs({l}) < 1e-9 then ln(1 + {x}) else (pow({x} + 1, {l}) - 1) / {l} end) "
+      "else (case when abs({l} - 2) < 1e-9 then -ln(1 - {x}) else -(pow(1 - {x}, 2 - {l}) - 1) / (2 - {l}) end) end)")
+
+
 def oracle_sql() -> dict[str, str]:
     sql = {
         "src_labeled_urls": with_(SCANS, "select url, is_phishing as label from scans"),
@@ -473,5 +525,42 @@ def oracle_sql() -> dict[str, str]:
         "verdict_counts": with_(LOG, "select verdict, count(*) as n from log group by verdict"),
         "tier_counts": with_(LOG, "select regexp_extract(source, '(Tier-\\d+)', 1) as tier, count(*) as n from log group by 1"),
         "log_json": with_(LOG, "select id, to_json({'id': id, 'url': url, 'verdict': verdict, 'source': source, 'resolved_ip': resolved_ip, 'asn_owner': asn_owner, 'http_status': 200})::varchar as log_json from log"),
+        "stream_scan": with_(REPLAY + "," + cascade("replayed", "rhit = 1", "results", "verdict", "risk_score"), "select scan_id, url, verdict, source, risk_score, summary from results"),
+        "stream_ttl_state": with_(REPLAY, "select scan_id, rhit as hit from replayed"),
+        "stream_stats": with_(SCORED, "select date_trunc('hour', ts) as window_start, verdict, count(*) as n, round(avg(latency), 6) as avg_latency from scored group by 1, 2"),
+        "ngrams_char": with_("p as (select page_id as url_id, url from pages), " + char_terms("p", "url_id"), "select url_id, term, count(*) as tf from grams group by 1, 2"),
+        "ngrams_word": with_(ALL_URLS + "," + WORD_GRAMS, "select corpus, url_id, term, count(*) as tf from wgrams group by 1, 2, 3"),
+        "tfidf_vocab": with_(ALL_URLS + "," + char_terms("all_urls", "corpus, url_id"), "select term, count(*) as tf from grams group by term order by tf desc, term limit 1200"),
+        "tfidf_weights": with_("p as (select page_id as url_id, url from pages), " + char_terms("p", "url_id") + """,
+            vocab as (select term, count(distinct url_id) as df from grams group by term order by count(*) desc, term limit 1200),
+            w as (select g.url_id, g.term, count(*) * (ln((1 + (select count(*) from p)) / (1 + any_value(v.df))::double) + 1) as x
+              from grams g join vocab v using (term) group by 1, 2)""",
+            "select url_id, term, round(x / sqrt(sum(x * x) over (partition by url_id)), 6) as weight from w"),
+        "scale_standard": with_(PAYLOADS, f"select doc_id, {', '.join(standard(c) for c in PAYLOAD_FEATURES)} from payloads"),
+        "binary_metrics": with_(SCORED, """select round((tp + tn) / (tp + fp + fn + tn)::double, 6) as accuracy,
+            round(tp / (tp + fp)::double, 6) as precision, round(tp / (tp + fn)::double, 6) as recall,
+            round(2 * tp / (2 * tp + fp + fn)::double, 6) as f1, round(wins / ((tp + fn) * (fp + tn)), 6) as roc_auc
+            from (select count(*) filter (where is_phishing = 1 and risk_score >= 0.4) as tp,
+              count(*) filter (where is_phishing = 0 and risk_score >= 0.4) as fp,
+              count(*) filter (where is_phishing = 1 and risk_score < 0.4) as fn,
+              count(*) filter (where is_phishing = 0 and risk_score < 0.4) as tn from scored),
+            (select sum(r) - count(*) * (count(*) + 1) / 2.0 as wins from (select is_phishing,
+              rank() over (order by risk_score) + (count(*) over (partition by risk_score) - 1) / 2.0 as r from scored) where is_phishing = 1)"""),
+        "prep_features": with_(PAYLOADS, "select * from payloads"),
+        "split_stratified": with_(SPLITS, "select doc_id, target, split, fold from splits"),
+        "scale_robust": with_(PAYLOADS + "," + SPLITS + ", data as (select p.*, split from payloads p join splits s using (doc_id)), fit as (select * from data where split = 'train')",
+            f"select doc_id, split, {', '.join(robust(c) for c in PAYLOAD_FEATURES)} from data"),
+        "power_yeojohnson": with_(f"""grid as (select round(-2 + i * 0.05::double, 10) as lam from range(81) t(i)),
+            llf as (select lam, -count(*) / 2.0::double * ln(var_pop({YJ.format(x='value', l='lam')})) + (lam - 1) * sum(sign(value) * ln(1 + abs(value))) as f
+              from events, grid group by lam),
+            best as (select arg_max(lam, (f, -lam)) as lam from llf),
+            y as (select event_id, lam, {YJ.format(x='value', l='lam')} as value from events, best)""",
+            f"select event_id, lam, {standard('value')} from y"),
+        "class_balance": with_(SPLITS, "select 'all' as stage, target, count(*) as n from splits group by 1, 2 union all select 'train', target, count(*) from splits where split = 'train' group by 1, 2"),
+        "tomek_links": """with d as (select a.vec_id as id, b.vec_id as other, a.label as la, b.label as lb,
+              round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: pow(z[1]::double - z[2]::double, 2))), 9) as dist
+              from embeddings a join embeddings b on a.vec_id <> b.vec_id),
+            nn as (select id, other, la, lb from d qualify row_number() over (partition by id order by dist, other) = 1)
+            select x.id, x.other from nn x join nn y on x.id = y.other and x.other = y.id where x.id < x.other and x.la <> x.lb""",
     }
     return sql

@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from urlwarden import fixed_values as V
 from urlwarden.functions import urls as U
 from urlwarden.functions.lexical import PROFILES, feature_vector, url_features
 from urlwarden.functions.risk import score, ttl_seconds
-from urlwarden.operators import allowlist, forensics, lookalikes, telemetry, verdicts
+from urlwarden.functions.text import literals, unnest
+from urlwarden.operators import (allowlist, forensics, lookalikes, metrics, neighbours, ngrams,
+                                 outliers, resample, scaling, split, telemetry, verdicts)
 from urlwarden.operators.network import enrich_network
 from urlwarden.operators.replay import ttl_replay
+from urlwarden.plans import prepare, train
 from urlwarden.plans import scan as scan_plan
 from urlwarden.registry import corpora as C
-from urlwarden.session import workspace
+from urlwarden.session import materialise, workspace
 from urlwarden.sources import allow_text, labeled, manifest, telemetry_store
+from urlwarden.streaming import scan_stream, stats_stream, ttl_stream
 
 KEY = ["corpus", "url_id"]
 
@@ -326,16 +331,16 @@ def _scored(spark, sf) -> DataFrame:
 
 
 def mitre_tags(spark, sf):
-    df = _scored(spark, sf).select(*KEY, F.posexplode(forensics.techniques()).alias("pos", "t"))
+    df = unnest(_scored(spark, sf), KEY, forensics.techniques(), "t", "pos")
     return df.select(*KEY, "pos", F.col("t.id").alias("technique_id"), F.col("t.name").alias("technique"))
 
 
 def indicators(spark, sf):
-    return _scored(spark, sf).select(*KEY, F.posexplode(forensics.indicators()).alias("pos", "text"))
+    return unnest(_scored(spark, sf), KEY, forensics.indicators(), "text", "pos")
 
 
 def playbook_actions(spark, sf):
-    return _scored(spark, sf).select(*KEY, F.posexplode(forensics.playbook_actions()).alias("pos", "text"))
+    return unnest(_scored(spark, sf), KEY, forensics.playbook_actions(), "text", "pos")
 
 
 def threat_summary(spark, sf):
@@ -343,7 +348,7 @@ def threat_summary(spark, sf):
 
 
 def xai_attribution(spark, sf):
-    df = _scored(spark, sf).select(*KEY, F.posexplode(forensics.xai_attribution()).alias("pos", "p"))
+    df = unnest(_scored(spark, sf), KEY, forensics.xai_attribution(), "p", "pos")
     return df.select(*KEY, "pos", "p.feature", "p.contribution")
 
 
@@ -396,6 +401,211 @@ def log_json(spark, sf):
                               ["id", "url", "verdict", "source", "resolved_ip", "asn_owner", "http_status"])
 
 
+# ---- streams ----------------------------------------------------------------
+
+SLICES = 6
+
+
+def _feed(spark, sf, columns: list[str]):
+    """Scan requests as a stream of SLICES time-ordered files, one file per micro-batch."""
+    scans = C.scan_requests(spark, sf).select(*columns)
+    path = workspace(spark, "feed")
+    ends = scans.agg(F.unix_micros(F.min("ts")).alias("lo"), F.unix_micros(F.max("ts")).alias("hi")).first()
+    width = (ends["hi"] - ends["lo"]) // SLICES + 1
+    piece = F.floor((F.unix_micros("ts") - ends["lo"]) / width)
+    for i in range(SLICES):  # one after the other: the source takes files by age
+        scans.where(piece == i).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(scans.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def stream_scan(spark, sf):
+    root = workspace(spark, "scan-stream")
+    source = _feed(spark, sf, ["scan_id", "ts", "url", "latency"])
+    scan_stream.start_scan_stream(source, root).awaitTermination()
+    out = spark.read.parquet(f"{root}/telemetry")
+    return out.select("scan_id", "url", "verdict", "source", "risk_score", F.col("forensics.summary").alias("summary"))
+
+
+def stream_ttl_state(spark, sf):
+    root = workspace(spark, "ttl-stream")
+    source = _feed(spark, sf, ["scan_id", "ts", "url"])
+    scored = U.with_url_hash(score(url_features(source)))
+    keyed = scored.select("scan_id", "ts", "url_hash", ttl_seconds(F.col("verdict")).alias("ttl"))
+    ttl_stream.start_ttl_stream(keyed, root).awaitTermination()
+    return spark.read.parquet(f"{root}/out").select("scan_id", "hit")
+
+
+def stream_stats(spark, sf):
+    root = workspace(spark, "stats-stream")
+    source = _feed(spark, sf, ["ts", "url", "latency"])
+    stats_stream.start_stats_stream(score(url_features(source)), root).awaitTermination()
+    stats = stats_stream.latest_stats(spark, root)
+    return stats.select("window_start", "verdict", "n", *_r6("avg_latency"))
+
+
+# ---- training and scoring ---------------------------------------------------
+
+def ngrams_char(spark, sf):
+    df = ngrams.char_grams_stage().transform(C.page_urls(spark, sf))
+    return unnest(df, ["url_id"], "char_grams", "term").groupBy("url_id", "term").agg(
+        F.count("*").alias("tf"))
+
+
+def ngrams_word(spark, sf):
+    df = ngrams.transform_all(C.all_urls(spark, sf), ngrams.word_grams_stages())
+    return unnest(df, KEY, "word_grams", "term").groupBy(*KEY, "term").agg(
+        F.count("*").alias("tf"))
+
+
+def tfidf_vocab(spark, sf):
+    df = ngrams.char_grams_stage().transform(C.all_urls(spark, sf))
+    return ngrams.vocabulary(df, "char_grams", ngrams.CHAR_TERMS)
+
+
+def tfidf_weights(spark, sf):
+    pages = C.page_urls(spark, sf)
+    model = ngrams.fit_char_tfidf(pages)
+    terms = literals(model.stages[1].vocabulary)
+    weights = unnest(model.transform(pages), ["url_id"], vector_to_array("char_tfidf"), "weight", "i")
+    return weights.where(F.col("weight") > 0).select(
+        "url_id", F.element_at(terms, F.col("i") + 1).alias("term"), *_r6("weight"))
+
+
+def scale_standard(spark, sf):
+    p = materialise(C.payloads(spark, sf), "payloads")
+    scaled = scaling.apply_scale(p, scaling.fit_standard(p, C.PAYLOAD_FEATURES))
+    return scaled.select("doc_id", *_r6(*C.PAYLOAD_FEATURES))
+
+
+def binary_metrics(spark, sf):
+    scored = materialise(C.scored_scans(spark, sf).select("label", "risk_score"), "scored")
+    m = metrics.binary_metrics(scored, "label", "risk_score", F.col("risk_score") >= V.THRESHOLDS_V4["SUSPICIOUS"])
+    return m.select(*_r6(*m.columns))
+
+
+def _labeled(spark, sf) -> DataFrame:
+    return C.scan_requests(spark, sf).select("url", "label")
+
+
+def ensemble_score(spark, sf):
+    model = train.fit_url_model(train.training_set(_labeled(spark, sf)))
+    return train.score_urls(model, C.scan_requests(spark, sf)).select("scan_id", "probability")
+
+
+def risk_model(spark, sf):
+    model = train.fit_url_model(train.training_set(_labeled(spark, sf)))
+    scored = train.score_urls(model, C.scan_requests(spark, sf))
+    return score(url_features(scored), probability="probability").select("scan_id", "risk_score", "verdict")
+
+
+def batch_score(spark, sf):
+    path = train.model_path(spark)
+    train.save_model(train.fit_url_model(train.training_set(_labeled(spark, sf))), path)
+    scored = train.score_urls(train.load_model(path), C.page_urls(spark, sf))
+    return scored.select("url_id", "probability")
+
+
+def cv_metrics(spark, sf):
+    return train.cross_validate(_labeled(spark, sf))
+
+
+def train_manifest(spark, sf):
+    return train.train(_labeled(spark, sf), train.model_path(spark))
+
+
+def hashing_logit(spark, sf):
+    model = train.fit_hashing_logit(_labeled(spark, sf))
+    return train.score_hashing_logit(model, C.scan_requests(spark, sf)).select("scan_id", "probability")
+
+
+# ---- dataset preparation ----------------------------------------------------
+
+def prep_features(spark, sf):
+    p = C.payloads(spark, sf)
+    return p.select("doc_id", "n_chars", "shannon_entropy", *_longs("char_length"), "digit_ratio",
+                    "special_char_ratio", "uppercase_ratio", "target")
+
+
+def split_stratified(spark, sf):
+    labels = C.table(spark, sf, "labels").select("doc_id", F.col("toxic").alias("target"))
+    both = split.folds(split.split(labels, "doc_id", "target"), "doc_id", "target")
+    return both.select("doc_id", "target", "split", "fold")
+
+
+def _train_rows(spark, sf) -> tuple[DataFrame, DataFrame]:
+    data = materialise(split.split(C.payloads(spark, sf), "doc_id", "target"), "payload-split")
+    return data, data.where(F.col("split") == "train")
+
+
+def scale_robust(spark, sf):
+    data, fit_on = _train_rows(spark, sf)
+    scaled = scaling.apply_scale(data, scaling.fit_robust(fit_on, C.PAYLOAD_FEATURES))
+    return scaled.select("doc_id", "split", *_r6(*C.PAYLOAD_FEATURES))
+
+
+def power_yeojohnson(spark, sf):
+    events = C.table(spark, sf, "events").select("event_id", "value")
+    lams = scaling.fit_power(events, ["value"])
+    y = scaling.apply_power(events, lams)
+    z = scaling.apply_scale(y, scaling.fit_standard(y, ["value"]))
+    return z.select("event_id", F.lit(lams["value"]).alias("lam"), *_r6("value"))
+
+
+def class_balance(spark, sf):
+    _, fit_on = _train_rows(spark, sf)
+    before = resample.class_counts(fit_on, "target").withColumn("stage", F.lit("train"))
+    labels = C.table(spark, sf, "labels").select(F.col("toxic").alias("target"))
+    whole = resample.class_counts(labels, "target").withColumn("stage", F.lit("all"))
+    return whole.unionByName(before)
+
+
+def _prep_vectors(spark, sf) -> DataFrame:
+    """Robust-scaled train rows as (id, vec, label)."""
+    _, fit_on = _train_rows(spark, sf)
+    scaled = scaling.apply_scale(fit_on, scaling.fit_robust(fit_on, C.PAYLOAD_FEATURES))
+    return scaled.select(F.col("doc_id").alias("id"),
+                         F.array(*[F.col(c) for c in C.PAYLOAD_FEATURES]).alias("vec"),
+                         F.col("target").alias("label"))
+
+
+def outlier_iforest(spark, sf):
+    rows = materialise(_prep_vectors(spark, sf), "forest-rows")
+    marked = outliers.fit_forest(rows).inliers(rows)
+    return marked.select("id", *_r6("score"), "is_inlier")
+
+
+def _flat(df: DataFrame) -> DataFrame:
+    return df.select("id", "label", *[F.round(F.col("vec")[i], 6).alias(c)
+                                      for i, c in enumerate(C.PAYLOAD_FEATURES)])
+
+
+def resample_smote(spark, sf):
+    return _flat(resample.smote(_prep_vectors(spark, sf)))
+
+
+def resample_smote_tomek(spark, sf):
+    return _flat(resample.smote_tomek(_prep_vectors(spark, sf)))
+
+
+def resample_adasyn(spark, sf):
+    return _flat(resample.adasyn(_prep_vectors(spark, sf)))
+
+
+def tomek_links(spark, sf):
+    e = C.table(spark, sf, "embeddings").select(
+        F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"), "label")
+    return neighbours.tomek_links(e)
+
+
+def prep_dataset(spark, sf):
+    splits, fitted = prepare.prepare(C.payloads(spark, sf), "doc_id", "target", C.PAYLOAD_FEATURES)
+    path = workspace(spark, "prepared")
+    prepare.write_prepared(splits, fitted, path)
+    parts = [spark.read.parquet(f"{path}/{name}").withColumn("split", F.lit(name)) for name in splits]
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return rows.groupBy("split", "target").agg(F.count("*").alias("n"))
+
+
 KEYS = """
 src_labeled_urls src_template_corpus src_custom_allowlist sink_telemetry dataset_fingerprint
 url_canonical url_hash url_parts allow_domain network_host apex_domain
@@ -408,6 +618,11 @@ risk_heuristic risk_verdict scan_cascade scan_batch scan_rejects enrich_asn
 mitre_tags indicators playbook_actions threat_summary xai_attribution forensic_metrics mitre_rollup
 incident_report
 log_recent log_detail stats_recent stats_all verdict_counts tier_counts log_json
+stream_scan stream_ttl_state stream_stats
+ngrams_char ngrams_word tfidf_vocab tfidf_weights scale_standard binary_metrics hashing_logit
+ensemble_score risk_model batch_score cv_metrics train_manifest
+prep_features split_stratified scale_robust power_yeojohnson class_balance outlier_iforest
+resample_smote resample_smote_tomek resample_adasyn tomek_links prep_dataset
 """.split()
 
 
