@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from urlwarden.session import materialise
+from urlwarden.session import materialise, workspace
 
 # A key with more scans than this, or than 1/MAX_HOT_KEYS of the log, is hot.
 HOT_ROWS = 5_000_000
@@ -84,7 +84,10 @@ def _replay_spans(rows: DataFrame, key: str, order_id: str) -> DataFrame:
             .repartition("_ttl", "_span", F.pmod(F.xxhash64(key, order_id), F.lit(64))),
         "replay-spans", partition_by=("_ttl", "_span"))
     plan = spans.select("_ttl", "_span").distinct().orderBy("_ttl", "_span").collect()
-    all_misses = None
+    root = workspace(spark, "replay-state")
+    id_type = spans.schema[order_id].dataType.simpleString()
+    key_type = spans.schema[key].dataType.simpleString()
+    schema = f"{key} {key_type}, _expiry bigint, {order_id} {id_type}"
     for ttl in sorted({p["_ttl"] for p in plan}):
         of_ttl = spans.where((F.col("_ttl") == ttl) & ~F.col("_seed"))
         seeds = spans.where((F.col("_ttl") == ttl) & F.col("_seed"))
@@ -92,16 +95,19 @@ def _replay_spans(rows: DataFrame, key: str, order_id: str) -> DataFrame:
         for span in [p["_span"] for p in plan if p["_ttl"] == ttl]:
             part = of_ttl.where(F.col("_span") == span)
             # At most MAX_HOT_KEYS rows of state, a proven bound for the broadcast.
-            open_rows = part.join(F.broadcast(state), key, "left").where(
+            open_rows = part.join(F.broadcast(state.select(key, "_expiry")), key, "left").where(
                 F.col("_expiry").isNull() | (F.col("_t") > F.col("_expiry")))
-            first = open_rows.groupBy(key).agg(
-                F.min(F.struct("_t", order_id)).alias("_first"))
-            misses = materialise(first.select(key, "_first.*"), "replay-misses")
-            all_misses = misses if all_misses is None else all_misses.unionByName(misses)
-            written = misses.select(key, (F.col("_t") + ttl).alias("_expiry"))
-            state = materialise(state.unionByName(written).groupBy(key).agg(
-                F.max("_expiry").alias("_expiry")), "replay-state")
-    return all_misses.select(order_id)
+            first = open_rows.groupBy(key).agg(F.min(F.struct("_t", order_id)).alias("_first"))
+            missed = first.select(key, (F.col("_first._t") + ttl).alias("_expiry"), f"_first.{order_id}")
+            known = state.select(key, "_expiry", F.lit(None).cast(id_type).alias(order_id))
+            path = f"{root}/{ttl}-{span}"
+            # One row per hot key: its expiry and, if it missed in this span, the id of the miss.
+            known.unionByName(missed).groupBy(key).agg(
+                F.max("_expiry").alias("_expiry"), F.max(order_id).alias(order_id)
+            ).coalesce(1).write.parquet(path)
+            state = spark.read.schema(schema).parquet(path)
+    states = spark.read.schema(schema).parquet(f"{root}/*")
+    return states.where(F.col(order_id).isNotNull()).select(order_id)
 
 
 def ttl_replay(scans: DataFrame, key: str = "url_hash", ts: str = "ts", order_id: str = "scan_id",

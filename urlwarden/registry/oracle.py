@@ -529,7 +529,7 @@ def oracle_sql() -> dict[str, str]:
         "stream_ttl_state": with_(REPLAY, "select scan_id, rhit as hit from replayed"),
         "stream_stats": with_(SCORED, "select date_trunc('hour', ts) as window_start, verdict, count(*) as n, round(avg(latency), 6) as avg_latency from scored group by 1, 2"),
         "ngrams_char": with_("p as (select page_id as url_id, url from pages), " + char_terms("p", "url_id"), "select url_id, term, count(*) as tf from grams group by 1, 2"),
-        "ngrams_word": with_(ALL_URLS + "," + WORD_GRAMS, "select corpus, url_id, term, count(*) as tf from wgrams group by 1, 2, 3"),
+        "ngrams_word": with_(ALL_URLS + "," + WORD_GRAMS, "select corpus, term, count(*) as tf from wgrams group by 1, 2"),
         "tfidf_vocab": with_(ALL_URLS + "," + char_terms("all_urls", "corpus, url_id"), "select term, count(*) as tf from grams group by term order by tf desc, term limit 1200"),
         "tfidf_weights": with_("p as (select page_id as url_id, url from pages), " + char_terms("p", "url_id") + """,
             vocab as (select term, count(distinct url_id) as df from grams group by term order by count(*) desc, term limit 1200),

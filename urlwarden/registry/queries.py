@@ -453,7 +453,7 @@ def ngrams_char(spark, sf):
 
 def ngrams_word(spark, sf):
     df = ngrams.transform_all(C.all_urls(spark, sf), ngrams.word_grams_stages())
-    return unnest(df, KEY, "word_grams", "term").groupBy(*KEY, "term").agg(
+    return unnest(df, KEY, "word_grams", "term").groupBy("corpus", "term").agg(
         F.count("*").alias("tf"))
 
 
@@ -487,30 +487,45 @@ def _labeled(spark, sf) -> DataFrame:
     return C.scan_requests(spark, sf).select("url", "label")
 
 
-def ensemble_score(spark, sf):
-    model = train.fit_url_model(train.training_set(_labeled(spark, sf)))
-    return train.score_urls(model, C.scan_requests(spark, sf)).select("scan_id", "probability")
+_TRAINED: dict[tuple[str, str], str] = {}
 
 
-def risk_model(spark, sf):
-    model = train.fit_url_model(train.training_set(_labeled(spark, sf)))
-    scored = train.score_urls(model, C.scan_requests(spark, sf))
-    return score(url_features(scored), probability="probability").select("scan_id", "risk_score", "verdict")
+def _trained(spark, sf) -> str:
+    """Folder of the training run over the scan requests: model, cv and manifest.
 
+    Trained once per session and data set; the queries below read what the run wrote.
+    """
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _TRAINED:
+        path = train.model_path(spark)
+        train.train(_labeled(spark, sf), path)
+        _TRAINED[key] = path
+    return _TRAINED[key]
 
-def batch_score(spark, sf):
-    path = train.model_path(spark)
-    train.save_model(train.fit_url_model(train.training_set(_labeled(spark, sf))), path)
-    scored = train.score_urls(train.load_model(path), C.page_urls(spark, sf))
-    return scored.select("url_id", "probability")
+
+def train_manifest(spark, sf):
+    return spark.read.json(f"{_trained(spark, sf)}/manifest")
 
 
 def cv_metrics(spark, sf):
-    return train.cross_validate(_labeled(spark, sf))
+    return spark.read.parquet(f"{_trained(spark, sf)}/cv")
 
 
-def train_manifest(spark, sf):
-    return train.train(_labeled(spark, sf), train.model_path(spark))
+def _model(spark, sf):
+    return train.load_model(f"{_trained(spark, sf)}/model")
+
+
+def ensemble_score(spark, sf):
+    return train.score_urls(_model(spark, sf), C.scan_requests(spark, sf)).select("scan_id", "probability")
+
+
+def risk_model(spark, sf):
+    scored = train.score_urls(_model(spark, sf), C.scan_requests(spark, sf))
+    return score(url_features(scored), probability="probability").select("scan_id", "risk_score", "verdict")
+
+
+def batch_score(spark, sf):
+    return train.score_urls(_model(spark, sf), C.all_urls(spark, sf)).select(*KEY, "probability")
 
 
 def hashing_logit(spark, sf):
