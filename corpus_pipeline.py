@@ -4,18 +4,47 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from urlwarden.llm import near_dups
-from urlwarden.session import materialise
+from urlwarden.llm import decontaminate, near_dups, packing, pii, toxicity
+from urlwarden.session import materialise, tune
 
-ORACLE_SQL = None  # no SQL for the trained stages; tests hold the stages against brute force
+ORACLE_SQL = None  # SQL cannot express the trained stages; tests hold the stages against brute force
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the multiple-instance model rejects go."""
+    return toxicity.keep_clean(docs, tune(spark).read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """MinHash near-duplicate removal: one document of each group stays."""
+    """One document of each group of near duplicates stays."""
+    tune(spark)
     return near_dups.keep_one(docs)
 
 
-STAGES = [("near_dups", one_of_each_group)]
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a benchmark passage go."""
+    return decontaminate.keep_clean(docs, tune(spark).read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in texts is replaced by its kind."""
+    tune(spark)
+    return pii.mask(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are packed into sequences: a row for each piece of a document in a bin."""
+    tune(spark)
+    return packing.packed(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_dups", one_of_each_group),
+    ("decontamination", drop_contaminated),
+    ("pii", mask_personal_data),
+    ("packing", pack_sequences),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

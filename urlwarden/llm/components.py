@@ -15,17 +15,25 @@ def _star(edges: DataFrame) -> DataFrame:
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
+    # u > v in every table of edges, before and after
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     return _star(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    hung = _star(down)
+    hung = _star(edges)
     moved = hung.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(hung.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _only_stars(edges: DataFrame) -> bool:
+    """Whether every node hangs on one smaller node, and that on none."""
+    ends = edges.select(F.col("u").alias("n"), F.lit(1).alias("low"), F.lit(0).alias("top")).union(
+        edges.select(F.col("v").alias("n"), F.lit(0).alias("low"), F.lit(1).alias("top")))
+    per_node = ends.groupBy("n").agg(F.sum("low").alias("low"), F.max("top").alias("top"))
+    return per_node.where("low > 1 OR low > 0 AND top > 0").limit(1).count() == 0
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of an edge table (u, v) of longs; component is the smallest
     node that can be reached. Loops, nulls and repeated edges are ignored; no edges give no rows.
@@ -35,13 +43,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     state = materialise(
         edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"))
-        .where("u != v").distinct(), "edges")
-    seen = None
-    while True:
-        mark = state.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
-        if mark[0] == 0 or mark == seen:
-            break
-        seen = mark
+        .where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    while not _only_stars(state):
         state = materialise(_small_star(_large_star(state)), "edges")
     return state.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         state.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -9,8 +9,9 @@ confirmation and connected components.
    all against all: first by signatures, then on full sets. The pivots differ from band to band,
    so groups of near copies hang together after one round.
 4. What a pivot could not decide is members of different components in one bucket. The members
-   outside the pivot's component are held against the others in blocks, by signatures inside the
-   tasks; only passing pairs leave them, to be confirmed on full sets.
+   outside the pivot's component are held against all of that component, block by block: signatures
+   first, then full sets, and a link at most leaves a block. Among each other they are held in
+   blocks of their bucket by signatures; passing pairs are confirmed on full sets.
 
 Nothing is capped or dropped. Two sets of similarity 0.8 share no band of 5 minima in 32 with a
 chance of 3e-6, and fail the signature test with one of 2e-7.
@@ -20,7 +21,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -44,7 +44,7 @@ class Params:
     percent: int = 80
     bands: int = 32
     rows: int = 5
-    block: int = 64
+    block: int = 128
     seed: int = 20240101
 
     @property
@@ -139,9 +139,8 @@ def _checked(pairs: DataFrame, nodes: DataFrame, p: Params) -> DataFrame:
     return joined.select("x", "y", _alike(p)("sx", "sy").alias("share")).where(F.col("share") >= p.floor)
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
-    """(u, v): the pairs that link on their full sets, recomputed from the whole texts."""
-    ids = materialise(pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct(), "ids")
+def _full_sets(ids: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
+    """(id, shingles): the full sets of the distinct ids, recomputed from the whole texts."""
     wanted = ids.select(F.col("id").alias("doc_id"))
     if ids.count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
@@ -155,7 +154,13 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
                     [part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = materialise(texts.join(wanted, "doc_id", "left_semi").mapInArrow(run, "id long, shingles array<long>"), "sets")
+    return materialise(texts.join(wanted, "doc_id", "left_semi").mapInArrow(run, "id long, shingles array<long>"), "sets")
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
+    """(u, v): the pairs (x, y) that link on their full sets."""
+    ids = materialise(pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct(), "ids")
+    sets = _full_sets(ids, docs, p)
     one = sets.select(F.col("id").alias("x"), F.col("shingles").alias("a"))
     two = sets.select(F.col("id").alias("y"), F.col("shingles").alias("b"))
     common = F.size(F.array_intersect("a", "b"))
@@ -170,42 +175,68 @@ def _labelled(ids: DataFrame, labels: DataFrame, id_col: str, out: str) -> DataF
     return ids.join(named, id_col, "left").withColumn(out, F.coalesce(out, id_col))
 
 
-def _undecided(members: DataFrame, labels: DataFrame, nodes: DataFrame, p: Params) -> DataFrame:
-    """(x, y): pairs of one bucket that lie in different components and pass the signature test.
-
-    Members of the pivot's component go to one block each; only the others visit all blocks of
-    their bucket, so a large group of copies costs a row per member.
-    """
-    known = _labelled(members, labels, "id", "c").withColumnRenamed("pivot", "y")
-    known = _labelled(known, labels, "y", "pc")
-    open_keys = known.where("c != pc").select("key").distinct()
-    rest = known.join(open_keys, "key", "left_semi")
-    blocks = F.ceil(F.col("size") / p.block).cast("int")
+def _spread(rows: DataFrame, size: str, everywhere: str, p: Params) -> DataFrame:
+    """Adds home, a row's own block of its group, and block: home, or each one if `everywhere`."""
+    blocks = F.ceil(F.col(size) / p.block).cast("int")
     home = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    rows = rest.select(
-        "key", "id", "c", (F.col("c") != F.col("pc")).alias("outside"), home.alias("home"),
-        F.explode(F.when(F.col("c") == F.col("pc"), F.array(home)).otherwise(
-            F.sequence(F.lit(0), blocks - 1))).alias("block"))
-    full = rows.join(nodes.select("id", "n", "signature"), "id")
+    block = F.when(F.col(everywhere), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(home))
+    return rows.withColumn("home", home).withColumn("block", F.explode(block))
+
+
+def _like(sig: np.ndarray, n: np.ndarray, others: np.ndarray, i: int, p: Params) -> np.ndarray:
+    """Those of others whose size and signature allow a link with i, the likest first."""
+    fit = others[np.minimum(n[others], n[i]) * 100 >= np.maximum(n[others], n[i]) * p.percent]
+    share = (sig[fit] == sig[i]).mean(axis=1)
+    return fit[np.argsort(-share, kind="stable")][: int((share >= p.floor).sum())]
+
+
+def _outsiders_apart(outside: DataFrame, nodes: DataFrame, p: Params) -> DataFrame:
+    """(x, y): pairs of one bucket outside its pivot's component that lie in different components
+    and pass the signature test."""
+    sizes = outside.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    rows = _spread(outside.join(sizes, "key").withColumn("all", F.lit(True)), "size", "all", p)
+    full = rows.select("key", "block", "home", "id", "c").join(nodes.select("id", "n", "signature"), "id")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id", kind="stable")
         sig = np.frombuffer(b"".join(pdf["signature"]), dtype=np.uint32).reshape(len(pdf), -1)
-        ids, comp, n = (pdf[c].to_numpy() for c in ("id", "c", "n"))
-        at_home = np.flatnonzero((pdf["home"] == pdf["block"]).to_numpy())
-        found = []
-        for i in np.flatnonzero(pdf["outside"].to_numpy()):
-            fit = (comp[at_home] != comp[i]) & (
-                np.minimum(n[at_home], n[i]) * 100 >= np.maximum(n[at_home], n[i]) * p.percent)
-            other = at_home[fit]
-            if len(other):
-                other = other[(sig[other] == sig[i]).mean(axis=1) >= p.floor]
-                found += [(min(ids[i], ids[j]), max(ids[i], ids[j])) for j in other]
+        ids, comp, n, home = (pdf[c].to_numpy() for c in ("id", "c", "n", "home"))
+        here = np.flatnonzero(home == pdf["block"].iloc[0])
+        found = [(ids[i], ids[j]) for i in range(len(pdf)) for j in _like(sig, n, here[(comp[here] != comp[i]) & (ids[here] < ids[i])], i, p)]
         return pd.DataFrame(found, columns=["x", "y"], dtype="int64")
 
     return full.groupBy("key", "block").applyInPandas(run, "x long, y long").distinct()
 
 
+def _into_components(outside: DataFrame, labels: DataFrame, nodes: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
+    """(u, v): links from a node to members of a component whose pivot it shared a bucket with.
+
+    The members lie in blocks, and the node visits each. A block's task holds the full sets and
+    returns one link at most for each visitor, as one is enough to join the components.
+    """
+    visits = materialise(outside.select("id", F.col("pc").alias("group")).distinct(), "visits")
+    everyone = _labelled(nodes.select("id"), labels, "id", "group")
+    members = everyone.join(visits.select("group").distinct(), "group", "left_semi")
+    sizes = members.groupBy("group").agg(F.count("*").alias("size"))
+    rows = members.withColumn("visitor", F.lit(False)).unionByName(visits.withColumn("visitor", F.lit(True)))
+    rows = materialise(_spread(rows.join(sizes, "group"), "size", "visitor", p), "blocks")
+    sets = _full_sets(materialise(rows.select("id").distinct(), "ids"), docs, p)
+    full = rows.select("group", "block", "visitor", "id").join(nodes.select("id", "n", "signature"), "id").join(sets, "id")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        sig = np.frombuffer(b"".join(pdf["signature"]), dtype=np.uint32).reshape(len(pdf), -1)
+        ids, n, visitor, sets = (pdf[c].to_numpy() for c in ("id", "n", "visitor", "shingles"))
+        members, found = np.flatnonzero(~visitor), []
+        for i in np.flatnonzero(visitor):
+            for j in _like(sig, n, members, i, p):
+                common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if common * 100 >= (len(sets[i]) + len(sets[j]) - common) * p.percent:
+                    found.append((ids[i], ids[j]))
+                    break
+        return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
+
+    return full.groupBy("group", "block").applyInPandas(run, "u long, v long")
+
+
 def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs (doc_id, text, any others).
 
@@ -234,19 +265,19 @@ def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
     # A doc_id with several texts is one document: tie the nodes of its texts together.
     several = full.groupBy("doc_id").agg(F.min("set_a").alias("lo"), F.max("set_a").alias("hi")).where("lo != hi").select("doc_id")
     ties = repeated.join(several, "doc_id").select(F.col("doc_id").alias("u"), F.col("id").alias("v"))
-    links = [materialise(_confirmed(best, docs, p).union(ties), "links")]
-    labels = materialise(connected_components(links[0]), "labels")
-
-    def apart(found: DataFrame) -> DataFrame:
-        return _labelled(_labelled(found, labels, "x", "cx"), labels, "y", "cy").where("cx != cy").select("x", "y")
-
-    # Round 2: the other pivots, and what no pivot decided.
-    open_pairs = materialise(apart(pairs.select("x", "y")).union(_undecided(members, labels, nodes, p)).distinct(), "open")
-    links.append(materialise(_confirmed(open_pairs, docs, p), "links"))
-    labels = materialise(connected_components(reduce(DataFrame.union, links)), "labels")
-
-    named = _labelled(nodes.select("set_a", "set_b", F.col("n").alias("n_shingles"), "id"), labels, "id", "component")
-    out = sketch.drop("signature").join(named.drop("id"), ["set_a", "set_b", "n_shingles"], "left")
+    links = materialise(_confirmed(best, docs, p).union(ties), "links")
+    labels = materialise(connected_components(links), "labels")
+
+    # Round 2: members whose pivot is in another component, against that component and each other.
+    known = _labelled(members.select("key", "id", "pivot"), labels, "id", "c").withColumnRenamed("pivot", "y")
+    outside = materialise(_labelled(known, labels, "y", "pc").where("c != pc").select("key", "id", "c", "pc"), "outside")
+    others = materialise(_outsiders_apart(outside, nodes, p), "others")
+    found = _confirmed(others, docs, p).union(_into_components(outside, labels, nodes, docs, p))
+    more = _labelled(_labelled(found, labels, "u", "cu"), labels, "v", "cv")
+    joined = connected_components(more.select(F.col("cu").alias("u"), F.col("cv").alias("v")))
+    ids = nodes.select("set_a", "set_b", F.col("n").alias("n_shingles"), "id")
+    named = _labelled(_labelled(ids, labels, "id", "first"), joined, "first", "component")
+    out = sketch.drop("signature").join(named.drop("id", "first"), ["set_a", "set_b", "n_shingles"], "left")
     component = F.coalesce("component", "doc_id")
     own = F.col("doc_id").isNull()
     return out.select("doc_id", "n_shingles", F.when(~own, component).alias("component_id"),

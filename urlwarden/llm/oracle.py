@@ -19,6 +19,29 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.c AS component_id, d.
 FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(z) AS c FROM r GROUP BY 1) m ON m.a = d.doc_id
 """
 
+OP6 = r"""
+WITH r AS (
+  SELECT page_id, 'WARC/1.0' || e || 'WARC-Type: resource' || e || 'WARC-Record-ID: <urn:page:' || page_id || '>' || e
+    || coalesce('WARC-Target-URI: ' || replace(replace(url, chr(13), '%0D'), chr(10), '%0A') || e, '')
+    || 'WARC-Date: 1970-01-01T00:00:00Z' || e || 'Content-Type: text/html; charset=utf-8' || e
+    || 'Content-Length: ' || strlen(coalesce(html, '')) || e || e || coalesce(html, '') AS t, e
+  FROM pages, (SELECT chr(13) || chr(10) AS e) WHERE page_id % 97 = 13)
+SELECT page_id, 'damaged' AS kind, strlen(t)::BIGINT + 4 AS n_bytes, sha256(t || e || e) AS expected,
+  sha256(left(t, length(t) - 1) || '~' || e || e) AS found
+FROM r WHERE right(t, 1) <> '~'
+"""
+
+OP8 = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: coalesce(isfinite(x), false)))
+    AND list_bool_or(list_transform(embedding, lambda x: x <> 0))),
+l AS (SELECT a.vec_id AS u, b.vec_id AS w FROM v a, v b WHERE a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9),
+r AS (SELECT vec_id AS a, vec_id AS z FROM embeddings UNION SELECT r.a, l.w FROM r JOIN l ON l.u = r.z)
+SELECT d.vec_id, (SELECT count(*) FROM l WHERE l.u = d.vec_id) AS n_links, m.c AS component_id, d.vec_id = m.c AS kept
+FROM embeddings d JOIN (SELECT a, min(z) AS c FROM r GROUP BY 1) m ON m.a = d.vec_id
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_near_dups": OP4}
+    return {"op4_near_dups": OP4, "op6_fixity": OP6, "op8_vector_dups": OP8}

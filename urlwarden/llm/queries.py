@@ -2,18 +2,86 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from urlwarden.llm import near_dups
+from urlwarden.llm import (decontaminate, fixity, language, near_dups, packing, pii, toxicity, url_filter,
+                           vector_dups, wavelet)
+from urlwarden.session import workspace
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path() -> str:
+    """The byte-level vocabulary: TOKENIZER_PATH, or the installed public one."""
+    if path := os.environ.get("TOKENIZER_PATH"):
+        return path
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = workspace(spark, "shards")
+    wavelet.write_shards(_table(spark, sf_dir, "documents"), path, tokenizer_path())
+    return wavelet.decode_documents(spark, path)
+
+
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = language.predict(docs, language.train(docs))
+    return found.select("doc_id", language.held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
+    return found.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", "predicted",
+                        F.size("sentences").alias("n_offending"))
+
+
 def op4_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(_table(spark, sf_dir, "documents"), near_dups.Params(k=4))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(_table(spark, sf_dir, "documents"))
+
+
+def flip(record: str, text: str) -> str:
+    """The drill's damage: every 97th page loses its last character to a tilde."""
+    number = record.rpartition(":")[2]
+    return text[:-1] + "~" if number.isdigit() and int(number) % 97 == 13 else text
+
+
+def op6_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fixity.drill(_table(spark, sf_dir, "pages"), flip)
+    page = F.regexp_extract("record", "([0-9]+)$", 1).cast("long")
+    return found.select(page.alias("page_id"), "kind", (F.col("last") - F.col("first")).alias("n_bytes"), "expected", "found")
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.passages(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op8_vector_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dups.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return pii.find(docs, pii.train(docs)).drop("added")
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_near_dups,)}
+    return {f.__name__: f for f in (
+        op1_wavelet, op2_language, op3_toxicity, op4_near_dups, op5_packing, op6_fixity, op7_decontamination,
+        op8_vector_dups, op9_pii, op10_url_filter)}

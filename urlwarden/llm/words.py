@@ -11,7 +11,7 @@ from typing import NamedTuple
 
 import numpy as np
 
-SEGMENT_BYTES = 1 << 20
+SEGMENT_BYTES = 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
@@ -20,18 +20,22 @@ LOWER[65:91] += 32
 BLANK = np.zeros(256, dtype=bool)
 BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
+# White space and ASCII punctuation but for apostrophe, hyphen and underscore.
+MARKS = BLANK.copy()
+MARKS[[b for b in range(33, 127) if not chr(b).isalnum() and chr(b) not in "'-_"]] = True
+
 
 class Words(NamedTuple):
-    """Words of a batch in text order. bounds[d]:bounds[d + 1] are the words of text d;
-    start and end are byte offsets in that text's UTF-8 form."""
+    """Words of a batch in text order. bounds[d]:bounds[d + 1] are the words of text d; start and
+    end are byte offsets in buf, the lower-cased UTF-8 texts, where text d begins at offsets[d]
+    and one blank follows each text."""
 
     hash: np.ndarray
     start: np.ndarray
     end: np.ndarray
     bounds: np.ndarray
-
-    def text_of_word(self) -> np.ndarray:
-        return np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds))
+    offsets: np.ndarray
+    buf: np.ndarray
 
 
 _powers: list[np.ndarray] = []
@@ -88,9 +92,7 @@ def words_of(texts: list[str | None], blank: np.ndarray = BLANK, segment: int =
         ends.append(e + at)
         at = stop
     h, s, e = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (hashes, starts, ends))
-    bounds = np.searchsorted(s, offsets)
-    shift = np.repeat(offsets[:-1], np.diff(bounds))
-    return Words(mix(h), s - shift, e - shift, bounds)
+    return Words(mix(h), s, e, np.searchsorted(s, offsets), offsets, buf)
 
 
 def shingle_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
