@@ -1,13 +1,17 @@
 """The ways taken for hot keys, copies and large tables give the results of the plain ways."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from urlwarden.operators import metrics, neighbours, outliers, quantiles, replay, resample, scaling, split
+from urlwarden.operators import (metrics, neighbours, outliers, quantiles, replay, resample, scaling, split,
+                                 verdicts)
 from urlwarden.registry import corpora as C
 from urlwarden.registry import queries as Q
 from urlwarden.sources import labeled, telemetry_store
+from urlwarden.streaming.scan_stream import start_scan_stream
 from urlwarden.streaming.ttl_stream import replay_batch
 from urlwarden.session import workspace
 
@@ -64,13 +68,51 @@ def test_stream_batches_continue_the_replay(spark, hot_rows):
     assert out == brute_replay(scans.collect())
 
 
-def test_late_rows_are_split_off(spark):
+def test_late_rows_read_the_state(spark):
     root = workspace(spark, "late")
-    rows = skewed_scans(spark, 30)
-    replay_batch(rows, 0, root)
-    late = rows.limit(1).withColumn("ts", F.expr("timestamp '2020-01-01'"))
-    assert replay_batch(late, 1, root).count() == 0
-    assert spark.read.parquet(f"{root}/rejects/batch=1").count() == 1
+    rows = spark.sql("""select 1L as scan_id, timestamp'2024-01-01 00:00:10' as ts, 'a' as url_hash, 60 as ttl""")
+    assert as_dict(replay_batch(rows, 0, root)) == {1: 0}
+    later = spark.sql("""select * from values (2L, timestamp'2024-01-01 00:00:09', 'a', 60), (3L, timestamp'2024-01-01 00:00:11', 'a', 60),
+                         (4L, timestamp'2024-01-01 00:00:09', 'b', 60) t(scan_id, ts, url_hash, ttl)""")
+    assert as_dict(replay_batch(later, 1, root)) == {2: 0, 3: 1, 4: 0}
+    assert as_dict(replay_batch(rows.selectExpr("5L as scan_id", "timestamp'2024-01-01 00:00:10.5' as ts", "url_hash", "ttl"), 2, root)) == {5: 1}
+
+
+def test_every_scan_of_an_unordered_stream_is_told(spark, sf_dir):
+    root, feed = workspace(spark, "unordered"), workspace(spark, "unordered-feed")
+    scans = C.scan_requests(spark, sf_dir).select("scan_id", "ts", "url", "latency")
+    for i in (2, 0, 3, 1):  # files in another order than the times in them
+        scans.where(F.pmod(F.floor(F.unix_seconds("ts") / 400000), F.lit(4)) == i).write.mode("append").parquet(feed)
+    source = spark.readStream.schema(scans.schema).option("maxFilesPerTrigger", 3).parquet(feed)
+    start_scan_stream(source, root, delay="1 hour").awaitTermination()
+    ids = [r["scan_id"] for r in spark.read.parquet(f"{root}/telemetry").select("scan_id").collect()]
+    assert len(ids) == len(set(ids)) == scans.count()
+
+
+def test_lookup_grows_with_the_log_on_one_hot_url(spark):
+    """One URL has nearly all scans and entries within hours; rows meet their entry, never pairs."""
+    def tables(n):
+        ids = spark.range(n, numPartitions=8)
+        url = F.when(F.col("id") % 100 == 0, F.concat(F.lit("http://x/"), F.col("id").cast("string"))).otherwise("http://hot/")
+        ts = F.timestamp_micros(F.lit(1704067200000000) + F.col("id") * 50000)
+        scans = ids.select(F.col("id").alias("scan_id"), ts.alias("ts"), url.alias("url"))
+        entries = ids.where("id % 10 = 1").select(
+            F.sha2(F.lower(url), 256).alias("url_hash"), url.alias("url"), F.concat(F.lit("V"), (F.col("id") % 7).cast("string")).alias("verdict"),
+            F.lit(0.5).alias("risk_score"), ts.alias("cached_at"), (ts + F.expr("interval 2 seconds")).alias("expires_at"))
+        return scans, entries
+
+    scans, entries = tables(3000)
+    got = {r["scan_id"]: r["cached_verdict"] for r in verdicts.lookup_verdicts(scans, entries).collect()}
+    for i in range(3000):
+        last = max((j for j in range(max(1, i - 60), i + 1) if j % 10 == 1 and j % 100 != 0), default=None) if i % 100 else None
+        assert got[i] == (f"V{last % 7}" if last is not None and (i - last) * 50 <= 2000 else None)
+    seconds = []
+    for n in (100_000, 400_000):
+        scans, entries = tables(n)
+        start = time.time()
+        verdicts.lookup_verdicts(scans, entries).write.format("noop").mode("overwrite").save()
+        seconds.append(time.time() - start)
+    assert seconds[1] < 5 * seconds[0] + 5
 
 
 def brute_knn(ids, x, k):

@@ -3,6 +3,7 @@
 import math
 import os
 import re
+import urllib.parse
 
 import pytest
 from pyspark.sql import functions as F
@@ -91,6 +92,23 @@ def test_service_checks(spark):
     assert scan_plan.batch_report(scan_plan.scan_batch(batch)).first()[0] == 4
 
 
+@pytest.mark.parametrize("url", [
+    "[foo", "abc[def. x", "evil.com/?u=http://[x", "http://[abc]/x", "http://[::1]/x", "http://[::1", "http://[1:2:3:4:5:6:7:8]:80", "http://[1::8]x",
+    "http://u:p@[::ffff:1.2.3.4]/", "http://[::1.2.3.400]/", "http://[v1.x]/", "http://[vx]/", "http://x[::1]/", "http://[1:2:3:4:5:6:7::]",
+    "http://[1::2:3:4:5:6:7:8]", "http://[::1%eth0]/", "http://[::1%]/", "http://[12345::]", "//[::]", "http://a[b]@c/", "http://[a]@[::1]/",
+    "a/[b]", "http://\u2100.com/", "http://ok.com/\u2100", "http:[x", "HTTP://[FE80::1]/", "http://[1.2.3.4]/", "x://y?[", "http://a\uff03b/"])
+def test_rejects_as_the_url_parser(spark, url):
+    full = url.strip().lower()
+    full = full if "://" in full else "http://" + full
+    try:
+        urllib.parse.urlparse(full)
+        bad = False
+    except ValueError:
+        bad = True
+    row = spark.createDataFrame([(url,)], "url string").select(scan_plan.reject_reason(F.col("url")).alias("r")).first()
+    assert (row["r"] is not None) == bad
+
+
 def test_cache_life(spark):
     scored = score(url_features(requests(spark, ["http://paypa1.com/", "http://10.0.0.1/admin"])))
     entries = verdicts.new_entries(scored, F.col("ts"))

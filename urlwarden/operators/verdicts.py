@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from urlwarden import fixed_values as V
 from urlwarden.functions.risk import ttl_seconds
 from urlwarden.functions.urls import url_hash
+from urlwarden.session import materialise
 
 ENTRY = ["url_hash", "url", "verdict", "risk_score", "cached_at", "expires_at"]
 
@@ -44,41 +45,43 @@ def expire_verdicts(current: DataFrame, now: Column) -> DataFrame:
     return current.where(F.col("expires_at") >= now)
 
 
-# Width of the time slots both sides of the as-of join share. No entry outlives the longest
-# lifetime, so an entry falls into a handful of slots.
-SLOT_SECONDS = 6 * 3600
-
-
-def _slot(ts: Column) -> Column:
-    return F.floor(F.unix_seconds(ts) / SLOT_SECONDS)
-
-
 def lookup_verdicts(scans: DataFrame, entries: DataFrame, prefix: str = "") -> DataFrame:
     """As-of lookup: the newest entry written up to the scan time, if it is still alive.
 
-    A later write replaces an earlier one, so an entry counts from its write to the next
-    write or its expiry. These spans do not overlap: a scan meets at most one entry and the
-    join keeps the row count. The equality on (key, slot) spreads a hot key over time;
-    what stays hot is split by the adaptive skew join.
+    Scans and entries are one table, dealt by ranges of (key, time): a hot key fills as many
+    ranges as it needs, cut over time. In a range the newest entry is carried forward over the
+    sorted rows. What a range needs from those before it is one entry per key, a partial
+    maximum. So no scan is paired with an entry, and the work is linear in both tables.
     """
-    by_time = Window.partitionBy("url_hash").orderBy("cached_at")
-    one_per_time = entries.groupBy("url_hash", "cached_at").agg(
-        F.max_by(F.struct("verdict", "risk_score", "expires_at"),
-                 F.struct("expires_at", "url")).alias("e")).select("url_hash", "cached_at", "e.*")
-    spans = one_per_time.withColumn("replaced_at", F.lead("cached_at").over(by_time))
-    last = F.least("expires_at", F.coalesce("replaced_at", "expires_at"))
-    spans = spans.withColumn("slot", F.explode(F.sequence(_slot(F.col("cached_at")), _slot(last))))
-    spans = spans.select("url_hash", "slot", "cached_at", "expires_at", "replaced_at",
-                         F.col("verdict").alias("cached_verdict"),
-                         F.col("risk_score").alias("cached_risk"))
-    s = scans.withColumns({"url_hash": url_hash(F.col("url"), prefix), "slot": _slot(F.col("ts"))})
-    ts = F.col("ts")
-    alive = ((s["url_hash"] == spans["url_hash"]) & (s["slot"] == spans["slot"])
-             & (ts >= spans["cached_at"]) & (ts <= spans["expires_at"])
-             & (spans["replaced_at"].isNull() | (ts < spans["replaced_at"])))
-    joined = s.join(spans, alive, "left").drop(spans["url_hash"]).drop(spans["slot"])
-    return joined.drop("slot", "cached_at", "expires_at", "replaced_at").withColumn(
-        "hit", F.when(F.col("cached_verdict").isNotNull(), 1).otherwise(0))
+    spark = scans.sparkSession
+    keyed = scans.withColumn("url_hash", url_hash(F.col("url"), prefix))
+    entry = F.struct("verdict", "risk_score", "expires_at")
+    written = entries.groupBy("url_hash", F.col("cached_at").alias("_at")).agg(
+        F.max_by(entry, F.struct("expires_at", "url")).alias("_entry"))
+    # Entries come before scans of their time; the tie spreads scans of one key and moment.
+    rows = keyed.select(
+        "url_hash", F.col("ts").alias("_at"), F.lit(1).alias("_kind"), F.xxhash64(*scans.columns).alias("_tie"),
+        F.struct(*keyed.columns).alias("_scan")).unionByName(
+        written.select("url_hash", "_at", F.lit(0).alias("_kind"), F.lit(0).cast("long").alias("_tie"), "_entry"),
+        allowMissingColumns=True)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Written once, so the ranges stay what they are for both uses.
+    dealt = materialise(rows.repartitionByRange(n, "url_hash", "_at", "_kind", "_tie").withColumn(
+        "_range", F.spark_partition_id()), "asof")
+    newest = dealt.groupBy("url_hash", "_range").agg(
+        F.max(F.when(F.col("_kind") == 0, F.struct("_at", "_entry"))).alias("_last"))
+    before = Window.partitionBy("url_hash").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    seeds = newest.withColumn("_last", F.last("_last", ignorenulls=True).over(before)).where(
+        F.col("_last").isNotNull()).select("url_hash", "_range", F.col("_last._at").alias("_at"),
+                                           F.lit(0).alias("_kind"), F.col("_last._entry").alias("_entry"))
+    upto = Window.partitionBy("url_hash", "_range").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    carried = dealt.unionByName(seeds, allowMissingColumns=True).withColumn(
+        "_entry", F.last("_entry", ignorenulls=True).over(upto)).where(F.col("_kind") == 1)
+    alive = F.col("_entry.expires_at") >= F.col("_at")
+    return carried.select(
+        "_scan.*", F.when(alive, F.col("_entry.verdict")).alias("cached_verdict"),
+        F.when(alive, F.col("_entry.risk_score")).alias("cached_risk"),
+        F.when(alive, 1).otherwise(0).alias("hit"))
 
 
 def cache_stats(looked_up: DataFrame, entries: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,17 +11,44 @@ from urlwarden import fixed_values as V
 from urlwarden.functions.lexical import url_features
 from urlwarden.functions.risk import score
 from urlwarden.functions.text import strip
+from urlwarden.functions.urls import canonical
 from urlwarden.operators import forensics as fx
 from urlwarden.operators.allowlist import allow_match
 from urlwarden.operators.verdicts import first_seen, lookup_verdicts
 
 
+def _address_pattern() -> str:
+    """A lower-cased IPv6 address, the last 32 bits also in IPv4 form, with an optional zone."""
+    h, octet = "[0-9a-f]{1,4}", "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+    four = rf"{octet}(?:\.{octet}){{3}}"
+    forms = [f"(?:{h}:){{7}}{h}", f"(?:{h}:){{6}}{four}"]
+    for left in range(8):  # groups before the gap; at most 7 in all
+        head = f"{h}(?::{h}){{{left - 1}}}::" if left else "::"
+        forms.append(head + (f"(?:{h}(?::{h}){{0,{6 - left}}})?" if left < 7 else ""))
+        if left < 6:
+            forms.append(head + f"(?:{h}:){{0,{5 - left}}}{four}")
+    return f"(?:{'|'.join(forms)})(?:%[^%]+)?"
+
+
+BRACKETED = rf"^\[(?:v[0-9a-f]+\.[^\n]+|{_address_pattern()})\](?::.*)?$"
+# Characters whose compatibility form holds a delimiter of URLs.
+DELIMITER_FORMS = "".join(c for c in map(chr, range(0x80, 0xFFFF)) if set("/?#@:") & set(unicodedata.normalize("NFKC", c)))
+
+
 def reject_reason(url: Column) -> Column:
-    """Why a request cannot be scanned; null if it can."""
-    u = F.coalesce(strip(url), F.lit(""))
-    netloc = F.regexp_extract(u, r"//([^/?#]*)", 1)
+    """Why a request cannot be scanned; null if it can.
+
+    The host part is the one that with_url_parts finds. Brackets in it must be a pair that holds
+    an IPv6 address or a version tag, after the last @ and before the port or the end.
+    """
+    u = F.coalesce(canonical(url), F.lit(""))
+    full = F.translate(F.when(F.contains(u, F.lit("://")), u).otherwise(F.concat(F.lit("http://"), u)), "\t\r\n", "")
+    netloc = F.regexp_extract(full, r"^(?:[a-z][a-z0-9+.\-]*:)?//([^/?#]*)", 1)
     opened, closed = F.contains(netloc, F.lit("[")), F.contains(netloc, F.lit("]"))
-    return F.when(u == "", "blank url").when(opened != closed, "unbalanced brackets in host")
+    after = F.substring_index(netloc, "@", -1)
+    return (F.when(u == "", "blank url").when(opened != closed, "unbalanced brackets in host")
+            .when(opened & ~after.rlike(BRACKETED), "bad address in brackets")
+            .when(F.rlike(F.lower(netloc), F.lit(f"[{DELIMITER_FORMS}]")), "delimiter in another form in host"))
 
 
 def split_requests(requests: DataFrame, url_col: str = "url") -> tuple[DataFrame, DataFrame]:

@@ -16,6 +16,9 @@ TEMPLATES = V.BENIGN_URLS + V.PHISHING_URLS
 HOST_TLDS = [".com", ".xyz", ".top", ".tk", ".ru", ".cn", ".info", ".org", ".net", ".io",
              ".in", ".ac.in", ".gov.in", ".co.uk", ".click", ".club", ".online", ".edu.in",
              ".gov", ".buzz"]
+# What comes before and after the first word of a piece, to make requests with brackets.
+BRACKET_FORMS = [("[", ""), ("abc[def. ", ""), ("evil.com/?u=http://[", ""), ("http://[", "]/x"), ("http://[::1]/", ""),
+                 ("[2001:db8::", "]"), ("http://u@[1:2:3:4:5:6:7:8]:80/", ""), ("http://[1::", "]x"), ("x]", "")]
 IP_PREFIXES = ["104.", "185.", "192.", "8."]
 
 

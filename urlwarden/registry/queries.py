@@ -309,9 +309,15 @@ def scan_batch(spark, sf):
 
 
 def _raw_requests(spark, sf) -> DataFrame:
-    """Every text piece between full stops as a raw request, blank pieces included."""
+    """Every text piece between full stops as a raw request, blank pieces included; most come in a
+    form with brackets, in turn."""
     d = C.spread(C.table(spark, sf, "documents").select("doc_id", "text"))
-    return d.select("doc_id", F.posexplode(F.split("text", r"\.")).alias("pos", "url"))
+    pieces = d.select("doc_id", F.posexplode(F.split("text", r"\.")).alias("pos", "url"))
+    url = F.element_at(F.split(F.trim("url"), " "), 1)
+    form = F.col("url")
+    for i, (head, tail) in enumerate(C.BRACKET_FORMS, start=1):
+        form = F.when(F.col("pos") % (len(C.BRACKET_FORMS) + 1) == i, F.concat(F.lit(head), url, F.lit(tail))).otherwise(form)
+    return pieces.withColumn("url", form)
 
 
 def scan_rejects(spark, sf):

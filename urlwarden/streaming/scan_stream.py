@@ -17,29 +17,30 @@ RESULT = ["scan_id", "ts", "url", "latency", "verdict", "source", "risk_score",
 
 
 def scan_batch_with_state(batch: DataFrame, batch_id: int, root: str,
-                          allow: DataFrame | None = None) -> DataFrame:
+                          allow: DataFrame | None = None, delay: str = "0 seconds") -> DataFrame:
     """Scan one batch (scan_id, ts, url, latency); misses write the cache state of the next batch.
 
-    Only scans that pass the allow-list touch the cache. The verdict depends on the URL alone,
-    so a hit carries the verdict the scorer gives.
+    Only scans the allow-list does not know touch the cache. The verdict depends on the URL
+    alone, so a hit carries the verdict the scorer gives. Scans that come later than ``delay``
+    get their verdict too; they only read the cache.
     """
     accepted, rejects = split_requests(batch)
     rejects.write.mode("overwrite").parquet(f"{root}/invalid/batch={batch_id}")
     scored = materialise(with_url_hash(scored_requests(accepted, allow)), "stream-scored")
     asked = scored.where(~F.col("allowed")).select(
         "scan_id", "ts", "url_hash", ttl_seconds(F.col("verdict")).alias("ttl"))
-    replayed = replay_batch(asked, batch_id, root).select("scan_id", "hit")
+    replayed = replay_batch(asked, batch_id, root, delay).select("scan_id", "hit")
     marked = scored.join(replayed, "scan_id", "left")
-    done = resolve_tiers(marked.where(F.col("allowed") | F.col("hit").isNotNull()).withColumns({
+    done = resolve_tiers(marked.withColumns({
         "cached_verdict": F.col("verdict"), "cached_risk": F.col("risk_score")}))
     return done.withColumn("url", strip(F.col("url"))).select(*RESULT)
 
 
 def start_scan_stream(source: DataFrame, root: str, trigger: dict | None = None,
-                      allow: DataFrame | None = None) -> StreamingQuery:
+                      allow: DataFrame | None = None, delay: str = "0 seconds") -> StreamingQuery:
     """Scan a stream of requests; telemetry rows land below ``root/telemetry``."""
     def each(batch: DataFrame, batch_id: int) -> None:
-        results = scan_batch_with_state(batch, batch_id, root, allow)
+        results = scan_batch_with_state(batch, batch_id, root, allow, delay)
         results.write.mode("overwrite").parquet(f"{root}/telemetry/batch={batch_id}")
 
     return run_batches(source, root, each, trigger)

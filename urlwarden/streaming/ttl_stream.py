@@ -21,22 +21,32 @@ STATE = "url_hash string, expires_at timestamp, ttl int"
 MARK = "seen_to timestamp"
 
 
+def _late_hits(late: DataFrame, state: DataFrame | None) -> DataFrame:
+    """Late scans looked up in the state: a hit if the entry they find was alive at their time."""
+    if state is None:
+        return late.withColumn("hit", F.lit(0))
+    entries = state.select("url_hash", "expires_at", F.col("ttl").alias("_ttl"))
+    written = F.unix_micros("expires_at") - F.col("_ttl").cast("long") * 1000000
+    alive = (F.unix_micros("ts") >= written) & (F.col("ts") <= F.col("expires_at"))
+    return late.join(entries, "url_hash", "left").select(*late.columns, F.when(alive, 1).otherwise(0).alias("hit"))
+
+
 def replay_batch(batch: DataFrame, batch_id: int, root: str, delay: str = "0 seconds",
                  hot_rows: int = HOT_ROWS) -> DataFrame:
     """Replay one batch (scan_id, ts, url_hash, ttl, …) on the state below ``root``.
 
-    Rows older than the latest time of earlier batches minus ``delay`` come too late for the
-    state they need; they go to ``rejects``. Entries that expired before the batch are dropped.
+    Every row gets its ``hit``. Rows older than the latest time of earlier batches minus
+    ``delay`` come too late to change the state: they are looked up in it and write nothing.
+    Entries that expired before the batch, by more than ``delay``, are dropped.
     """
     spark = batch.sparkSession
     state = read_snapshot(spark, f"{root}/state", STATE, before=batch_id)
     mark = read_snapshot(spark, f"{root}/mark", MARK, before=batch_id)
-    rows = batch
-    if mark is not None:
-        seen_to = mark.first()["seen_to"]
+    seen_to = mark.first()["seen_to"] if mark is not None else None
+    rows, late = batch, None
+    if seen_to is not None:
         limit = F.lit(seen_to) - F.expr(f"INTERVAL {delay}")
-        batch.where(F.col("ts") < limit).write.mode("overwrite").parquet(f"{root}/rejects/batch={batch_id}")
-        rows = batch.where(F.col("ts") >= limit)
+        rows, late = batch.where(F.col("ts") >= limit), batch.where(F.col("ts") < limit)
     replayed = materialise(ttl_replay(rows, state=state, hot_rows=hot_rows), "stream-replay")
     ends = replayed.agg(F.max("ts").alias("seen_to"))
     if mark is not None:
@@ -48,7 +58,7 @@ def replay_batch(batch: DataFrame, batch_id: int, root: str, delay: str = "0 sec
         live = live.where(F.col("expires_at") >= F.lit(newest) - F.expr(f"INTERVAL {delay}"))
     write_snapshot(live, f"{root}/state", batch_id)
     write_snapshot(ends, f"{root}/mark", batch_id)
-    return replayed
+    return replayed if late is None else replayed.unionByName(_late_hits(late, state))
 
 
 def run_batches(source: DataFrame, root: str, each: Callable[[DataFrame, int], None],
