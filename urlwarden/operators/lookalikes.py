@@ -31,9 +31,31 @@ def brand_lookalikes(urls: DataFrame, brands: list[str] = PROFILES["v4"].brands,
             .select("label", "best.brand", "best.distance", "n_urls"))
 
 
-def brand_url_counts(lookalikes: DataFrame) -> DataFrame:
-    return lookalikes.groupBy("brand").agg(F.sum("n_urls").alias("n_urls"),
-                                           F.count("*").alias("n_labels"))
+def brand_table_lookalikes(urls: DataFrame, brands: DataFrame, max_dist: int = 3) -> DataFrame:
+    """Host labels within 1..max_dist edits of a brand in a table (brand) of any length.
+
+    A brand is cut into max_dist + 1 pieces. Within max_dist edits one piece stays whole and moves
+    by max_dist places at most, so labels and brands meet on (brand length, piece number, piece):
+    an equi-join, checked by the distance itself. Brands too short to be cut meet the labels short
+    enough for them. Null and empty brands are left out; of equally near ones the first by name wins.
+    """
+    d = max_dist
+    names = brands.select(F.lower(F.trim("brand")).alias("brand")).where("brand != ''").distinct()
+    start, size = f"(i * (n div {d + 1}) + least(i, n % {d + 1}))", f"(n div {d + 1} + if(i < n % {d + 1}, 1, 0))"
+    key = "concat_ws('|', n, i, substr({}, {} + 1, {}))"
+    own = F.expr(f"if(n > {d}, transform(sequence(0, {d}), i -> {key.format('brand', start, size)}), array(concat('short|', n)))")
+    brand_keys = names.withColumn("n", F.length("brand")).select("brand", F.explode(own).alias("key"))
+    labels = url_features(urls).groupBy(F.col("_label").alias("label")).agg(F.count("*").alias("n_urls")).where("label != ''")
+    moved = f"filter(sequence(-{d}, {d}), s -> {start} + s >= 0 AND {start} + s + {size} <= m)"
+    long = (f"flatten(transform(sequence(greatest({d + 1}, m - {d}), m + {d}), n -> flatten(transform(sequence(0, {d}), i -> "
+            f"transform({moved}, s -> {key.format('label', f'{start} + s', size)})))))")
+    short = f"transform(filter(sequence(1, {d}), n -> m - n <= {d}), n -> concat('short|', n))"
+    label_keys = labels.withColumn("m", F.length("label")).select(
+        "label", "n_urls", F.explode(F.array_distinct(F.expr(f"concat({long}, {short})"))).alias("key"))
+    pairs = label_keys.join(brand_keys, "key").select("label", "n_urls", "brand").distinct()
+    near = pairs.withColumn("distance", F.levenshtein("label", "brand", d)).where("distance >= 0")
+    return (near.groupBy("label", "n_urls").agg(F.min(F.struct("distance", "brand")).alias("best"))
+            .where("best.distance >= 1").select("label", "best.brand", "best.distance", "n_urls"))
 
 
 def lure_counts(urls: DataFrame) -> DataFrame:

@@ -10,11 +10,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from urlwarden.operators.quantiles import SMALL, exact_quantiles
+from urlwarden.session import materialise
 
 TREES = 100
 SAMPLE = 256
-# Rows all trees draw their samples from.
-POOL = 64 * SAMPLE
 NODE = "tree int, node int, feature int, threshold double, left int, right int, depth double"
 
 
@@ -53,10 +52,12 @@ def _grow_tree(seed: int):
 
 @dataclass
 class IsolationForest:
-    """``nodes``: at most TREES * (2 * SAMPLE - 1) rows; ``offset``: scores below are outliers."""
+    """``nodes``: at most TREES * (2 * SAMPLE - 1) rows; ``offset``: scores below are outliers;
+    ``scored``: the scores (id, score) of the rows it was fitted on."""
     nodes: pd.DataFrame
     sample: int
     offset: float | None = None
+    scored: DataFrame | None = None
 
     def score(self, df: DataFrame, vec: str = "vec") -> DataFrame:
         """Add ``score`` in [-1, 0): the lower, the easier a row is isolated."""
@@ -94,15 +95,20 @@ class IsolationForest:
 
 def fit_forest(df: DataFrame, contamination: float = 0.02, trees: int = TREES, seed: int = 42,
                small: int = SMALL) -> IsolationForest:
-    """Fit on (id, vec). Each tree sees SAMPLE rows, drawn by hash from a pool of bounded size."""
+    """Fit on (id, vec). Each tree draws its SAMPLE rows by hash from the whole table.
+
+    The scores of the table are written once; the threshold is taken from them, and they stay at
+    hand in ``scored`` (id, score).
+    """
     n = df.count()
-    share = min(1.0, 2 * POOL / n)
-    pool = df.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
-    drawn = pool.select("id", "vec", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-    by_hash = Window.partitionBy("tree").orderBy(F.xxhash64("id", "tree", F.lit(seed)), "id")
+    limit = int(min(1.0, 2 * SAMPLE / n) * (1 << 30)) + 1
+    seen_by = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)),
+                       lambda t: F.pmod(F.xxhash64("id", t, F.lit(seed)), F.lit(1 << 30)) < limit)
+    drawn = df.select("id", "vec", F.explode(seen_by).alias("tree"))
+    by_hash = Window.partitionBy("tree").orderBy(F.pmod(F.xxhash64("id", "tree", F.lit(seed)), F.lit(1 << 30)), "id")
     drawn = drawn.withColumn("place", F.row_number().over(by_hash)).where(F.col("place") <= SAMPLE)
     nodes = drawn.groupBy("tree").applyInPandas(_grow_tree(seed), NODE).toPandas()
     forest = IsolationForest(nodes, min(SAMPLE, n))
-    scored = forest.score(df).select("score")
-    forest.offset = exact_quantiles(scored, ["score"], [contamination], small)["score"][0]
+    forest.scored = materialise(forest.score(df).select("id", "score"), "forest-scores")
+    forest.offset = exact_quantiles(forest.scored, ["score"], [contamination], small)["score"][0]
     return forest

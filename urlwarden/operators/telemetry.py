@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 VERDICTS = ["MALICIOUS", "SAFE", "SUSPICIOUS"]
 
@@ -17,8 +18,8 @@ def tier(source: Column) -> Column:
     return F.regexp_extract(source, r"(Tier-\d+)", 1)
 
 
-def log_detail(log: DataFrame, log_id: int | None = None, recent_rows: int | None = 200) -> DataFrame:
-    """Rows with derived status columns, by id; ``recent_rows=None`` searches the whole log."""
+def log_detail(log: DataFrame, log_id: int | None = None, recent_rows: int | None = None) -> DataFrame:
+    """Rows with derived status columns, by id; ``recent_rows`` limits the search to the newest."""
     if recent_rows is not None:
         log = recent(log, recent_rows)
     if log_id is not None:
@@ -56,9 +57,13 @@ def tier_counts(log: DataFrame) -> DataFrame:
     return log.groupBy(tier(F.col("source")).alias("tier")).agg(F.count("*").alias("n"))
 
 
+# Times keep their microseconds in JSON.
+JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+
+
 def log_json(log: DataFrame, columns: list[str]) -> DataFrame:
-    return log.select("id", F.to_json(F.struct(*columns)).alias("log_json"))
+    return log.select("id", F.to_json(F.struct(*columns), JSON).alias("log_json"))
 
 
-def read_log_json(rows: DataFrame, schema: str) -> DataFrame:
-    return rows.select(F.from_json("log_json", schema).alias("r")).select("r.*")
+def read_log_json(rows: DataFrame, schema: T.StructType) -> DataFrame:
+    return rows.select(F.from_json("log_json", schema, JSON).alias("r")).select("r.*")

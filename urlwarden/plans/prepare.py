@@ -72,7 +72,7 @@ def fit_transforms(train: DataFrame, id_col: str, features: list[str],
                    cfg: PrepConfig = PrepConfig()) -> FittedTransforms:
     robust = scaling.fit_robust(train, features)
     scaled = materialise(scaling.apply_scale(train, robust), "prep-scaled")
-    power = scaling.fit_power(scaled, features)
+    power = scaling.fit_power(scaled, features, refine=2)
     standard = scaling.fit_standard(scaling.apply_power(scaled, power), features)
     forest = None
     if cfg.reject_outliers:
@@ -98,8 +98,8 @@ def prepare(df: DataFrame, id_col: str, target: str, features: list[str],
     train = data.where(F.col("split") == "train")
     fitted = fit_transforms(train, id_col, features, cfg)
     if cfg.reject_outliers:
-        marked = fitted.forest.inliers(fitted.scaled(train).withColumn("vec", _vector(features)))
-        train = train.join(marked.where(~F.col("is_inlier")).select(id_col), id_col, "left_anti")
+        outliers = fitted.forest.scored.where(F.col("score") < F.lit(fitted.forest.offset))
+        train = train.join(outliers.select(F.col("id").alias(id_col)), id_col, "left_anti")
     rows = fitted.transform(train).select(F.col(id_col).alias("id"), _vector(features).alias("vec"),
                                           F.col(target).alias("label"))
     grown = balance(rows, cfg.strategy, cfg.seed)

@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from urlwarden import fixed_values as V
 from urlwarden.functions.lexical import url_features
-from urlwarden.functions.risk import score
+from urlwarden.functions.risk import score, ttl_seconds
 from urlwarden.functions.text import strip
-from urlwarden.functions.urls import canonical
+from urlwarden.functions.urls import canonical, with_url_hash
 from urlwarden.operators import forensics as fx
 from urlwarden.operators.allowlist import allow_match
+from urlwarden.operators.replay import ttl_replay
 from urlwarden.operators.verdicts import first_seen, lookup_verdicts
+from urlwarden.session import materialise
 
 
 def _address_pattern() -> str:
@@ -101,6 +103,24 @@ def scan(requests: DataFrame, entries: DataFrame | None = None, allow: DataFrame
     return done.select(*out, "verdict", "source", "risk_score", "forensics"), rejects
 
 
+def scan_over_time(requests: DataFrame, allow: DataFrame | None = None,
+                   strict: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The cascade over a log (scan_id, ts, url, …) that starts with an empty cache.
+
+    A scan the allow-list does not know is scored unless an entry of its URL is alive; a scored
+    one writes an entry that lives as long as its verdict says. Returns results and rejects.
+    """
+    accepted, rejects = split_requests(requests)
+    scored = materialise(with_url_hash(scored_requests(accepted, allow, strict)), "scored")
+    asked = scored.where(~F.col("allowed")).select(
+        "scan_id", "ts", "url_hash", ttl_seconds(F.col("verdict")).alias("ttl"))
+    hits = ttl_replay(asked).select("scan_id", "hit")
+    done = resolve_tiers(scored.join(hits, "scan_id", "left").withColumns({
+        "cached_verdict": F.col("verdict"), "cached_risk": F.col("risk_score")}))
+    out = [c for c in accepted.columns if c not in ("verdict", "source", "risk_score", "forensics")]
+    return done.select(*out, "verdict", "source", "risk_score", "forensics"), rejects
+
+
 def scan_batch(requests: DataFrame, allow: DataFrame | None = None, strict: bool = False) -> DataFrame:
     """One batch at one moment: the first scan of a URL is scored, its repeats are cache hits."""
     accepted, _ = split_requests(requests)

@@ -87,6 +87,14 @@ def doc_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("url_id", url.alias("url"))
 
 
+def frequent_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of five letters or more that at least every hundredth document has, as a brand table."""
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    words = d.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{5,}"), F.lit(0)))).alias("brand"))
+    counts = words.groupBy("brand").agg(F.count("*").alias("n"))
+    return counts.join(d.agg(F.count("*").alias("docs"))).where("n * 100 >= docs").select("brand")
+
+
 def all_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scan requests, page URLs and document URLs in one table."""
     scans = scan_requests(spark, sf_dir).select(
@@ -100,9 +108,15 @@ def scored_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(url_features(scan_requests(spark, sf_dir)))
 
 
+def cacheable_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored scans the allow-list does not know; only they reach the cache."""
+    scans = scan_requests(spark, sf_dir)
+    return scan_plan.scored_requests(scans).where(~F.col("allowed"))
+
+
 def verdict_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries the scorer wrote one second after each sign-up event."""
-    scored = scored_scans(spark, sf_dir).where(F.col("event_type") == "signup")
+    scored = cacheable_scans(spark, sf_dir).where(F.col("event_type") == "signup")
     return verdicts.new_entries(scored, F.col("ts") + F.expr("INTERVAL 1 SECOND"))
 
 
@@ -118,11 +132,11 @@ def dns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The scan log: the cascade over all scan requests, with the network columns."""
+    """The scan log: the cascade over all scan requests in time, with the network columns."""
     from urlwarden.operators.network import enrich_network
 
     scans = scan_requests(spark, sf_dir)
-    results, _ = scan_plan.scan(scans, verdict_history(spark, sf_dir))
+    results, _ = scan_plan.scan_over_time(scans)
     results = enrich_network(results, dns(spark, sf_dir))
     return results.select(
         F.col("scan_id").alias("id"), F.btrim("url").alias("url"), "verdict", "source",

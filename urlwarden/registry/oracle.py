@@ -237,7 +237,7 @@ scored as (
 history as (
   select url_hash, url, verdict, risk_score, ts + interval 1 second as cached_at,
     cached_at + ttl * interval 1 second as expires_at
-  from scored where event_type = 'signup'),
+  from scored where event_type = 'signup' and not is_allowed),
 history_one as (
   select url_hash, cached_at, max(expires_at) as expires_at, arg_max(verdict, (expires_at, url)) as verdict,
     arg_max(risk_score, (expires_at, url)) as risk_score
@@ -252,14 +252,14 @@ entries as (
   select url_hash, url, verdict, risk_score, cached_at, expires_at from history
   union all
   select url_hash, url, verdict, risk_score, ts, ts + ttl * interval 1 second
-  from scored where event_type = 'purchase'),
+  from scored where event_type = 'purchase' and not is_allowed),
 upserted as (
   select url_hash, verdict, risk_score, cached_at, expires_at from entries
   qualify row_number() over (partition by url_hash order by cached_at desc, expires_at desc, url desc) = 1)"""
 
 REPLAY = SCORED + """,
 chain as (
-  select url_hash, ttl, min(ts) as at from scored group by url_hash, ttl
+  select url_hash, ttl, min(ts) as at from scored where not is_allowed group by url_hash, ttl
   union all
   select c.url_hash, c.ttl, (select min(s.ts) from scored s
     where s.url_hash = c.url_hash and s.ts > c.at + c.ttl * interval 1 second) as at
@@ -269,7 +269,7 @@ misses as (
   from chain c join scored s on s.url_hash = c.url_hash and s.ts = c.at
   group by s.url_hash, c.at),
 replayed as (
-  select s.*, case when m.scan_id is null then 1 else 0 end as rhit
+  select s.*, case when m.scan_id is null and not is_allowed then 1 else 0 end as rhit
   from scored s left join misses m on s.scan_id = m.scan_id)"""
 
 # ---- forensics --------------------------------------------------------------
@@ -372,10 +372,10 @@ NETWORK = f"""coalesce(d.ip, {q(NET['no_ip'])}) as resolved_ip,
       when starts_with(d.ip, '104.') or starts_with(d.ip, '172.') then {q(V.ASN_BY_PREFIX[0][1])}
       when starts_with(d.ip, '185.') or starts_with(d.ip, '192.') then {q(V.ASN_BY_PREFIX[1][1])}
       else printf({q(NET['resolved'])}, d.ip) end as asn_owner"""
-LOG = CASCADE + f""", {DNS},
+LOG = REPLAY + "," + cascade("replayed", "rhit = 1", "results", "verdict", "risk_score") + f""", {DNS},
 log as (
   select r.scan_id as id, r.url, r.verdict, r.source, r.risk_score, r.latency, r.ts as timestamp,
-    {NETWORK}, r.summary
+    {NETWORK}, r.summary, r.indicators
   from results r left join dns d on d.host = lower({HOST.format(u='r.url')}))"""
 LOG_COLUMNS = "id, url, verdict, source, risk_score, latency, timestamp, resolved_ip, asn_owner"
 STATS = """count(*) as total_scans, count(*) filter (where verdict = 'MALICIOUS') as malicious_count,
@@ -388,6 +388,8 @@ STATS = """count(*) as total_scans, count(*) filter (where verdict = 'MALICIOUS'
 
 CATALOGUE = ("catalogue(technique_id, name, tactic) as (values "
              + ", ".join(f"({q(t[0])}, {q(t[1])}, {q(t[2])})" for t in V.TECHNIQUE_CATALOGUE) + ")")
+CATALOGUE_TEXT = ("catalogue_text(technique_id, name, tactic, description) as (values "
+                  + ", ".join(f"({q(t[0])}, {q(t[1])}, {q(t[2])}, {q(t[4])})" for t in V.TECHNIQUE_CATALOGUE) + ")")
 ID = "corpus, url_id"
 ONE_PAGE_ALLOW = f"{BASE_ALLOW}, {CUSTOM_ALLOW}, allow as (select domain from base_allow union select domain from custom_allow)"
 V3_LIST = ", ".join(q(d) for d in V.ALLOW_DOMAINS_V3)
@@ -475,6 +477,13 @@ def oracle_sql() -> dict[str, str]:
             round({share(count('text', '[^\\p{L}\\p{N}]'), 'length(text)')}, 5) as special_char_ratio,
             round({share(count('text', '\\p{Lu}'), 'length(text)')}, 5) as uppercase_ratio from documents""",
         "brand_lookalikes": with_(ALL_V4, "select label, any_value(matched_brand) as brand, any_value(brand_dist) as distance, count(*) as n_urls from f where brand_dist between 1 and 3 group by label"),
+        "brand_table": with_(ALL_PARTS, """, w as (select distinct doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{5,}')) as brand from documents),
+            brands as (select brand from w group by brand having count(*) * 100 >= (select count(*) from documents)),
+            labels as (select split_part(host, '.', 1) as label, count(*) as n_urls from p group by 1 having label <> ''),
+            x as (select label, n_urls, brand, levenshtein(regexp_replace(label, '[^\\x00-\\x7F]', '~', 'g'), brand) as distance from labels, brands
+              where abs(length(label) - length(brand)) <= 3)
+            select label, arg_min(brand, (distance, brand)) as brand, min(distance)::bigint as distance, n_urls from x where distance <= 3
+            group by label, n_urls having min(distance) >= 1"""),
         "lure_counts": with_(ALL_V4, "select t.c as category, t.k as keyword, count(*) as n from (select unnest(lures) as t from f) group by all"),
         "allow_match": with_(ALL_PARTS + "," + ONE_PAGE_ALLOW, f"select {ID}, (case when domain in (select domain from allow) or apex in (select domain from allow) then 1 else 0 end) as listed from p"),
         "allow_pattern": with_(ALL_PARTS, f"select {ID}, {trusted('domain')}::int as trusted from p"),
@@ -497,8 +506,8 @@ def oracle_sql() -> dict[str, str]:
         "cache_purge": with_(UPSERTED, "select url_hash, verdict from upserted where url_hash not in (select url_hash from scored where event_type = 'error')"),
         "cache_expire": with_(UPSERTED, "select url_hash, expires_at from upserted where expires_at >= timestamp '2024-01-30'"),
         "cache_stats": with_(SCORED, """select sum(hit)::bigint as hits, (count(*) - sum(hit))::bigint as misses,
-            round(sum(hit) * 100 / count(*), 2) as hit_ratio_percent, (select count(distinct url_hash) from history) as keys from looked"""),
-        "cache_ttl_replay": with_(REPLAY, "select scan_id, rhit as hit from replayed"),
+            round(sum(hit) * 100 / count(*), 2) as hit_ratio_percent, (select count(distinct url_hash) from history) as keys from looked where not is_allowed"""),
+        "cache_ttl_replay": with_(REPLAY, "select scan_id, rhit as hit from replayed where not is_allowed"),
         "batch_first_seen": with_(SCORED, "select scan_id, url_hash, (case when row_number() over (partition by url_hash order by scan_id) = 1 then 1 else 0 end) as is_first from scored"),
         "risk_heuristic": with_(ALL_V4, f"select {ID}, risk_score from f"),
         "risk_verdict": with_(ALL_V4, f"select {ID}, verdict, {verdict('risk_score', V.THRESHOLDS_V3)} as verdict_v3 from f"),
@@ -513,7 +522,7 @@ def oracle_sql() -> dict[str, str]:
               substr(h, length(address) + 3) as port, string_split(split_part(address, '%', 1), '::') as halves,
               list_filter(flatten(list_transform(halves, lambda x: string_split(x, ':'))), lambda x: x <> '' or len(halves) = 1) as groups,
               list_bool_and(list_transform(groups, lambda x: regexp_full_match(x, '[0-9a-f]{{1,4}}'))) is not false as hex,
-              regexp_full_match(address, 'v[0-9a-f]+\\..+') or (hex and len(halves) <= 2 and not regexp_matches(address, ':::')
+              regexp_full_match(address, 'v[0-9a-f]+\\..+') or (hex and len(string_split(address, '%')) <= 2 and address[-1:] <> '%' and len(halves) <= 2 and not regexp_matches(address, ':::')
                 and if(len(halves) = 2, len(groups) <= 7 and not regexp_matches(address, '^:[^:]|[^:]:$'), len(groups) = 8)) as fine from r),
             y as (select doc_id, pos, case when u = '' then 'blank url' when contains(n, '[') <> contains(n, ']') then 'unbalanced brackets in host'
               when contains(n, '[') and not (h[1] = '[' and contains(h, ']') and (port = '' or port[1] = ':') and fine) then 'bad address in brackets' end as reason from f)
@@ -532,17 +541,21 @@ def oracle_sql() -> dict[str, str]:
         "mitre_rollup": with_(ALL_V4 + "," + CATALOGUE + "," + exploded(TECHNIQUES), """select c.technique_id, c.n, k.name, k.tactic
             from (select t.id as technique_id, count(*) as n from y group by 1) c left join catalogue k using (technique_id)"""),
         "incident_report": with_(LOG, f"select id, {text(V.INCIDENT_REPORT, 'url', 'verdict', 'risk_score * 100', 'source')} as report from log"),
+        "technique_report": with_(CATALOGUE_TEXT + ", " + ALL_V4 + "," + exploded(TECHNIQUES), f"""select c.technique_id, c.n,
+            {text(V.TECHNIQUE_REPORT, 'k.technique_id', 'k.name', 'k.tactic', 'k.description')} as report
+            from (select t.id as technique_id, count(*) as n from y group by 1) c join catalogue_text k using (technique_id)"""),
         "log_recent": with_(LOG, f"select {LOG_COLUMNS} from log order by id desc limit 50"),
         "log_detail": with_(LOG, f"""select {LOG_COLUMNS}, case when verdict = 'SAFE' then 200 else 404 end as http_status,
             case when verdict = 'MALICIOUS' then 'EXECUTED_AUTOMATED_BLOCK' else 'PASSED_PERIMETER' end as playbook_status
-            from log order by id desc limit 200"""),
+            from log"""),
+        "log_json_back": with_(LOG, f"select {LOG_COLUMNS}, 200 as http_status, summary, indicators from log"),
         "stats_recent": with_(LOG, f"select {STATS} from (select * from log order by id desc limit 200)"),
         "stats_all": with_(LOG, f"select {STATS} from log"),
         "verdict_counts": with_(LOG, "select verdict, count(*) as n from log group by verdict"),
         "tier_counts": with_(LOG, "select regexp_extract(source, '(Tier-\\d+)', 1) as tier, count(*) as n from log group by 1"),
         "log_json": with_(LOG, "select id, to_json({'id': id, 'url': url, 'verdict': verdict, 'source': source, 'resolved_ip': resolved_ip, 'asn_owner': asn_owner, 'http_status': 200})::varchar as log_json from log"),
         "stream_scan": with_(REPLAY + "," + cascade("replayed", "rhit = 1", "results", "verdict", "risk_score"), "select scan_id, url, verdict, source, risk_score, summary from results"),
-        "stream_ttl_state": with_(REPLAY, "select scan_id, rhit as hit from replayed"),
+        "stream_ttl_state": with_(REPLAY, "select scan_id, rhit as hit from replayed where not is_allowed"),
         "stream_stats": with_(SCORED, "select date_trunc('hour', ts) as window_start, verdict, count(*) as n, round(avg(latency), 6) as avg_latency from scored group by 1, 2"),
         "ngrams_char": with_("p as (select page_id as url_id, url from pages), " + char_terms("p", "url_id"), "select url_id, term, count(*) as tf from grams group by 1, 2"),
         "ngrams_word": with_(ALL_URLS + "," + WORD_GRAMS, "select corpus, term, count(*) as tf from wgrams group by 1, 2"),

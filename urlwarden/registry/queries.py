@@ -167,6 +167,11 @@ def brand_lookalikes(spark, sf):
     return found.select("label", "brand", *_longs("distance"), "n_urls")
 
 
+def brand_table(spark, sf):
+    found = lookalikes.brand_table_lookalikes(C.all_urls(spark, sf), C.frequent_words(spark, sf))
+    return found.select("label", "brand", *_longs("distance"), "n_urls")
+
+
 def lure_counts(spark, sf):
     return lookalikes.lure_counts(C.all_urls(spark, sf))
 
@@ -243,7 +248,7 @@ def cache_lookup(spark, sf):
 
 
 def _upserted(spark, sf) -> DataFrame:
-    scored = C.scored_scans(spark, sf)
+    scored = C.cacheable_scans(spark, sf)
     later = verdicts.new_entries(scored.where(F.col("event_type") == "purchase"), F.col("ts"))
     return verdicts.upsert_verdicts(C.verdict_history(spark, sf), later)
 
@@ -264,12 +269,12 @@ def cache_expire(spark, sf):
 
 def cache_stats(spark, sf):
     history = C.verdict_history(spark, sf)
-    looked = verdicts.lookup_verdicts(C.scan_requests(spark, sf), history)
+    looked = verdicts.lookup_verdicts(C.cacheable_scans(spark, sf).select("scan_id", "ts", "url"), history)
     return verdicts.cache_stats(looked, history)
 
 
 def _replay_input(spark, sf) -> DataFrame:
-    scored = U.with_url_hash(C.scored_scans(spark, sf))
+    scored = U.with_url_hash(C.cacheable_scans(spark, sf))
     return scored.select("scan_id", "ts", "url_hash", ttl_seconds(F.col("verdict")).alias("ttl"))
 
 
@@ -367,6 +372,14 @@ def mitre_rollup(spark, sf):
     return forensics.mitre_rollup(_scored(spark, sf), forensics.catalogue(spark))
 
 
+def technique_report(spark, sf):
+    """A report for each catalogued technique that scored URLs show, with their number."""
+    table = forensics.catalogue(spark)
+    rollup = forensics.mitre_rollup(_scored(spark, sf), table).select("technique_id", "n")
+    text = forensics.technique_report(*(F.col(c) for c in ("technique_id", "name", "tactic", "description")))
+    return rollup.join(table, "technique_id").select("technique_id", "n", text.alias("report"))
+
+
 def incident_report(spark, sf):
     log = C.telemetry(spark, sf)
     text = forensics.incident_report(F.col("url"), F.col("verdict"), F.col("risk_score"), F.col("source"))
@@ -407,21 +420,31 @@ def log_json(spark, sf):
                               ["id", "url", "verdict", "source", "resolved_ip", "asn_owner", "http_status"])
 
 
+def log_json_back(spark, sf):
+    """Every column of the log through JSON and back."""
+    log = C.telemetry(spark, sf)
+    rows = telemetry.log_json(log, log.columns)
+    back = telemetry.read_log_json(rows, log.schema)
+    return back.select(*LOG, "http_status", F.col("forensics.summary").alias("summary"),
+                       F.array_join("forensics.indicators", " | ").alias("indicators"))
+
+
 # ---- streams ----------------------------------------------------------------
 
 SLICES = 6
 
 
 def _feed(spark, sf, columns: list[str]):
-    """Scan requests as a stream of SLICES time-ordered files, one file per micro-batch."""
+    """Scan requests as a stream of files in SLICES steps of time, about a step per micro-batch."""
     scans = C.scan_requests(spark, sf).select(*columns)
     path = workspace(spark, "feed")
     ends = scans.agg(F.unix_micros(F.min("ts")).alias("lo"), F.unix_micros(F.max("ts")).alias("hi")).first()
     width = (ends["hi"] - ends["lo"]) // SLICES + 1
     piece = F.floor((F.unix_micros("ts") - ends["lo"]) / width)
     for i in range(SLICES):  # one after the other: the source takes files by age
-        scans.where(piece == i).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(scans.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        scans.where(piece == i).write.mode("append").parquet(path)
+    files = max(1, len(spark.read.parquet(path).inputFiles()) // SLICES)
+    return spark.readStream.schema(scans.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def stream_scan(spark, sf):
@@ -435,7 +458,7 @@ def stream_scan(spark, sf):
 def stream_ttl_state(spark, sf):
     root = workspace(spark, "ttl-stream")
     source = _feed(spark, sf, ["scan_id", "ts", "url"])
-    scored = U.with_url_hash(score(url_features(source)))
+    scored = U.with_url_hash(scan_plan.scored_requests(source).where(~F.col("allowed")))
     keyed = scored.select("scan_id", "ts", "url_hash", ttl_seconds(F.col("verdict")).alias("ttl"))
     ttl_stream.start_ttl_stream(keyed, root).awaitTermination()
     return spark.read.parquet(f"{root}/out").select("scan_id", "hit")
@@ -631,14 +654,14 @@ KEYS = """
 src_labeled_urls src_template_corpus src_custom_allowlist sink_telemetry dataset_fingerprint
 url_canonical url_hash url_parts allow_domain network_host apex_domain
 feat_v4_ratios feat_v4_structure feat_entropy feat_brand feat_lures feat_homograph feat_dga
-feat_vector_v4 feat_train10 feat_v3_17 feat_payload brand_lookalikes lure_counts
+feat_vector_v4 feat_train10 feat_v3_17 feat_payload brand_lookalikes brand_table lure_counts
 allow_match allow_pattern allow_guard allow_decision allow_decision_strict allow_rejects allow_add
 allow_stats allow_decision_v3
 cache_lookup cache_upsert cache_purge cache_expire cache_stats cache_ttl_replay batch_first_seen
 risk_heuristic risk_verdict scan_cascade scan_batch scan_rejects enrich_asn
 mitre_tags indicators playbook_actions threat_summary xai_attribution forensic_metrics mitre_rollup
-incident_report
-log_recent log_detail stats_recent stats_all verdict_counts tier_counts log_json
+incident_report technique_report
+log_recent log_detail stats_recent stats_all verdict_counts tier_counts log_json log_json_back
 stream_scan stream_ttl_state stream_stats
 ngrams_char ngrams_word tfidf_vocab tfidf_weights scale_standard binary_metrics hashing_logit
 ensemble_score risk_model batch_score cv_metrics train_manifest

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,6 +45,25 @@ def local_session(cores: int | str = 8, app: str = "urlwarden") -> SparkSession:
 
 
 _LOCAL_ROOT: dict[str, str] = {}
+_SCRATCH: list[list[str]] = []
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables made inside are deleted at the end; write or collect results before."""
+    made: list[str] = []
+    _SCRATCH.append(made)
+    try:
+        yield
+    finally:
+        _SCRATCH.remove(made)
+        for path in made:
+            delete_folder(spark, path)
 
 
 def workspace(spark: SparkSession, name: str) -> str:
@@ -55,7 +76,10 @@ def workspace(spark: SparkSession, name: str) -> str:
         if app not in _LOCAL_ROOT:
             _LOCAL_ROOT[app] = tempfile.mkdtemp(prefix="urlwarden-", dir="/tmp")
         root = _LOCAL_ROOT[app]
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
+    return path
 
 
 def materialise(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from urlwarden.session import delete_folder
+
 SCHEMA = (
     "id bigint, url string, verdict string, source string, risk_score double, latency double, "
     "timestamp timestamp, resolved_ip string, asn_owner string, http_status int, forensics struct<"
@@ -36,22 +38,32 @@ def read_telemetry_v3(rows: DataFrame) -> DataFrame:
 
 
 def write_snapshot(entries: DataFrame, root: str, version: int) -> str:
-    """Write the verdict table as a new version; readers take the newest complete one."""
+    """Write the verdict table as a new version; readers take the newest complete one.
+
+    The version before it stays for a batch that runs again; older ones are deleted.
+    """
     path = f"{root}/v={version:012d}"
     entries.write.mode("overwrite").parquet(path)
+    for old in _versions(entries.sparkSession, root):
+        if old < version - 1:
+            delete_folder(entries.sparkSession, f"{root}/v={old:012d}")
     return path
 
 
-def read_snapshot(spark: SparkSession, root: str, schema: str, before: int | None = None) -> DataFrame | None:
-    """The newest complete version (below ``before``), or None."""
+def _versions(spark: SparkSession, root: str) -> list[int]:
+    """Numbers of the versions below a folder, newest first."""
     base = spark._jvm.org.apache.hadoop.fs.Path(root)
     fs = base.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(base):
-        return None
-    names = sorted((s.getPath().getName() for s in fs.listStatus(base)), reverse=True)
-    for name in names:
-        version = int(name.split("=")[1])
-        done = fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}", "_SUCCESS"))
-        if done and (before is None or version < before):
-            return spark.read.schema(schema).parquet(f"{root}/{name}")
+        return []
+    return sorted((int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(base)), reverse=True)
+
+
+def read_snapshot(spark: SparkSession, root: str, schema: str, before: int | None = None) -> DataFrame | None:
+    """The newest complete version (below ``before``), or None."""
+    for version in _versions(spark, root):
+        path = f"{root}/v={version:012d}"
+        done = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+        if (before is None or version < before) and done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+            return spark.read.schema(schema).parquet(path)
     return None
