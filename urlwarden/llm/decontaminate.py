@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from urlwarden.llm.words import MARKS, mix, shingle_hashes, words_of
+from urlwarden.llm.words import MARKS, mix, shingle_hashes, slices, words_of
 
 BITS, BLOCKS = 128, 8
 SLICE = 128
@@ -199,20 +199,18 @@ def passages(docs: DataFrame, items: DataFrame, p: Params = Params()) -> DataFra
 
         def run(batches, chunk=chunk):
             index = Index(chunk, p)
-            for batch in batches:
-                for at in range(0, batch.num_rows, SLICE):
-                    part = batch.slice(at, SLICE)
-                    ids, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
-                    rows = []
-                    for doc_id, text, matches in zip(ids, texts, index.matches(texts)):
-                        raw = text.encode("utf-8", "replace") if matches else b""
-                        for item_id, similarity, a, b in matches:
-                            head = len(raw[:a].decode("utf-8", "replace"))
-                            rows.append((doc_id, item_id, head, head + len(raw[a:b].decode("utf-8", "replace")), similarity))
-                    columns = list(zip(*rows)) if rows else [[]] * 5
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 4 + [pa.float64()])],
-                        names=["doc_id", "item_id", "start", "end", "similarity"])
+            for part in slices(batches, SLICE):
+                ids, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
+                rows = []
+                for doc_id, text, matches in zip(ids, texts, index.matches(texts)):
+                    raw = text.encode("utf-8", "replace") if matches else b""
+                    for item_id, similarity, a, b in matches:
+                        head = len(raw[:a].decode("utf-8", "replace"))
+                        rows.append((doc_id, item_id, head, head + len(raw[a:b].decode("utf-8", "replace")), similarity))
+                columns = list(zip(*rows)) if rows else [[]] * 5
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 4 + [pa.float64()])],
+                    names=["doc_id", "item_id", "start", "end", "similarity"])
 
         text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         part = text.mapInArrow(run, schema)

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from urlwarden.llm.words import slices
+
 SYMBOLS = 64
 GRAMS = SYMBOLS + SYMBOLS**2 + SYMBOLS**3
 SLICE = 32
@@ -136,12 +138,10 @@ def train(docs: DataFrame, p: Params = Params()) -> Model | None:
     drawn = known.join(shares, "lang").where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) < F.col("limit"))
 
     def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
-                flags, letters = presences(part.column(1).to_pylist())
-                codes = [np.flatnonzero(f).astype(np.int32) if ok else np.zeros(0, np.int32) for f, ok in zip(flags, letters)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(codes, pa.list_(pa.int32()))], names=["lang", "codes"])
+        for part in slices(batches, SLICE):
+            flags, letters = presences(part.column(1).to_pylist())
+            codes = [np.flatnonzero(f).astype(np.int32) if ok else np.zeros(0, np.int32) for f, ok in zip(flags, letters)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(codes, pa.list_(pa.int32()))], names=["lang", "codes"])
 
     found = drawn.where("text IS NOT NULL").select("lang", "text").mapInArrow(run, "lang string, codes array<int>").toArrow()
     rows = [(g, np.array(c, dtype=np.int64)) for g, c in zip(found.column(0).to_pylist(), found.column(1).to_pylist()) if c]
@@ -157,22 +157,20 @@ def predict(docs: DataFrame, model: Model | None, p: Params = Params()) -> DataF
     """
 
     def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
-                flags, letters = presences(part.column(1).to_pylist())
-                if model is None:
-                    names, top = [UNKNOWN] * part.num_rows, np.zeros(part.num_rows)
-                else:
-                    size = np.sqrt(np.maximum(np.count_nonzero(flags, axis=1), 1)).astype(np.float32)
-                    kernel = flags[:, model.grams].astype(np.float32) @ model.presence.T / size[:, None]
-                    s = (kernel @ model.weights + model.bias).astype(np.float64) * p.sharpness
-                    e = np.exp(s - s.max(axis=1, keepdims=True))
-                    best = s.argmax(axis=1)
-                    top = np.where(letters, e[np.arange(len(e)), best] / e.sum(axis=1), 0.0)
-                    names = [model.langs[b] if ok else UNKNOWN for b, ok in zip(best, letters)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(top)],
-                                                 names=["doc_id", "lang_pred", "score"])
+        for part in slices(batches, SLICE):
+            flags, letters = presences(part.column(1).to_pylist())
+            if model is None:
+                names, top = [UNKNOWN] * part.num_rows, np.zeros(part.num_rows)
+            else:
+                size = np.sqrt(np.maximum(np.count_nonzero(flags, axis=1), 1)).astype(np.float32)
+                kernel = flags[:, model.grams].astype(np.float32) @ model.presence.T / size[:, None]
+                s = (kernel @ model.weights + model.bias).astype(np.float64) * p.sharpness
+                e = np.exp(s - s.max(axis=1, keepdims=True))
+                best = s.argmax(axis=1)
+                top = np.where(letters, e[np.arange(len(e)), best] / e.sum(axis=1), 0.0)
+                names = [model.langs[b] if ok else UNKNOWN for b, ok in zip(best, letters)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(top)],
+                                             names=["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
         run, "doc_id long, lang_pred string, score double")

@@ -1,6 +1,6 @@
 """Toxicity by multiple-instance learning: a document is a bag of sentences.
 
-A sentence's chance of being toxic is logistic in its words; the document's is the noisy-or of its
+A sentence's chance of being toxic is logistic in its words and their stems; the document's is the noisy-or of its
 sentences and of a leak that stands for labels no sentence explains. Only documents are labelled;
 the fit finds the words whose sentences explain the labels, so a scored document also tells which
 sentences offend.
@@ -17,11 +17,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from urlwarden.llm.words import MARKS, words_of
+from urlwarden.llm.words import MARKS, Words, mix, slices, words_of
 from urlwarden.session import materialise
 
 SLICE = 256
 # Sentences end at these marks.
+STEMS = (4, 5, 6)  # bytes at the start of a word that count as a feature of their own
 STOPS = np.zeros(256, dtype=bool)
 STOPS[[ord(c) for c in ".!?\n|"]] = True
 
@@ -56,13 +57,20 @@ def held_out(doc_id: Column | str) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def _bags(texts: list[str | None], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word slots with the sentence of each, the first word of each sentence, sentences of each
-    text as bounds, and the words themselves. A sentence is a run of words with no stop between."""
+def _bags(texts: list[str | None], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, Words]:
+    """Slots of each word (itself and its stems), the sentence of each word, the first word of each
+    sentence, sentences of each text as bounds, and the words. A sentence is a run of words with no
+    stop between. A word too short for a stem has slot 0 there, which never gets a weight."""
     w = words_of(texts, MARKS)
-    slots = (w.hash >> np.uint64(64 - bits)).astype(np.int64)
-    if not len(slots):
-        return slots, slots, slots, np.zeros(len(texts) + 1, dtype=np.int64), w
+    if not len(w.hash):
+        none = np.zeros(0, dtype=np.int64)
+        return none.reshape(0, 1 + len(STEMS)), none, none, np.zeros(len(texts) + 1, dtype=np.int64), w
+    keys, stem = [w.hash], np.zeros(len(w.hash), dtype=np.uint64)
+    for i in range(max(STEMS)):
+        stem |= w.buf[np.minimum(w.start + i, len(w.buf) - 1)].astype(np.uint64) << np.uint64(8 * i)
+        if i + 1 in STEMS:
+            keys.append(np.where(w.end - w.start > i + 1, mix(stem + np.uint64(i << 56)), np.uint64(0)))
+    slots = np.stack([(k >> np.uint64(64 - bits)).astype(np.int64) for k in keys], axis=1)
     stops = np.concatenate(([0], np.cumsum(STOPS[w.buf])))
     new = np.concatenate(([True], stops[w.start[1:]] > stops[w.start[:-1]]))
     new[w.bounds[:-1][np.diff(w.bounds) > 0]] = True
@@ -99,7 +107,7 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray, int]], labels: np.ndarray, p: P
 
     total, ones = len(labels), labels.sum()
     ratio = 2 * (part(k, n) + part(ones - k, total - n) - part(ones, total))
-    good = np.flatnonzero((n >= p.min_docs) & (ratio >= p.evidence) & (k / n > ones / total))
+    good = np.flatnonzero((slot > 0) & (n >= p.min_docs) & (ratio >= p.evidence) & (k / n > ones / total))
     good = np.sort(good[np.argsort(-ratio[good], kind="stable")[: p.max_words]])
     slot = slot[good]
     if not len(slot):
@@ -149,29 +157,28 @@ def train(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Model:
     drawn = known.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) < int(share * (1 << 30)))
 
     def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
-                slots, sentence, _, bounds, w = _bags(part.column(1).to_pylist(), p.bits)
-                rows = []
-                for d in range(part.num_rows):
-                    a, b = w.bounds[d], w.bounds[d + 1]
-                    own = sentence[a:b] - bounds[d]
-                    pair = np.unique(own << p.bits | slots[a:b])
-                    rows.append((pair & ((1 << p.bits) - 1), pair >> p.bits, bounds[d + 1] - bounds[d]))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([r[0].astype(np.int32) for r in rows], pa.list_(pa.int32())),
-                     pa.array([r[1].astype(np.int32) for r in rows], pa.list_(pa.int32())),
-                     pa.array([int(r[2]) for r in rows], pa.int64())],
-                    names=["toxic", "slots", "sentences", "n"])
+        for part in slices(batches, SLICE):
+            slots, sentence, _, bounds, w = _bags(part.column(1).to_pylist(), p.bits)
+            rows = []
+            for d in range(part.num_rows):
+                a, b = w.bounds[d], w.bounds[d + 1]
+                own = sentence[a:b] - bounds[d]
+                pair = np.unique(own[:, None] << p.bits | slots[a:b])
+                rows.append((pair & ((1 << p.bits) - 1), pair >> p.bits, bounds[d + 1] - bounds[d]))
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array([r[0].astype(np.int32) for r in rows], pa.list_(pa.int32())),
+                 pa.array([r[1].astype(np.int32) for r in rows], pa.list_(pa.int32())),
+                 pa.array([int(r[2]) for r in rows], pa.int64())],
+                names=["toxic", "slots", "sentences", "n"])
 
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # drawn has at most about train_docs rows of two numbers
     bags = (text.where("text IS NOT NULL").join(F.broadcast(drawn), "doc_id").select("toxic", "text")
             .mapInArrow(run, "toxic int, slots array<int>, sentences array<int>, n long").toArrow())
     rows = sorted(
-        ((y, np.array(s, dtype=np.int64), np.array(o, dtype=np.int64), n)
-         for y, s, o, n in zip(*(bags.column(c).to_pylist() for c in ("toxic", "slots", "sentences", "n")))),
+        ((y, s.values.to_numpy().astype(np.int64), o.values.to_numpy().astype(np.int64), n)
+         for batch in bags.to_batches()
+         for y, s, o, n in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3).to_pylist())),
         key=lambda r: (r[0], r[3], len(r[1]), r[1].tobytes()))
     return fit([r[1:] for r in rows], np.array([r[0] for r in rows], dtype=float), p)
 
@@ -190,7 +197,7 @@ class Scorer:
         slots, _, first, bounds, w = _bags(texts, self.p.bits)
         none, spans = np.full(len(texts), self.none), [[] for _ in texts]
         if len(first):
-            z = np.add.reduceat(self.weights[slots], first) + self.model.bias
+            z = np.add.reduceat(self.weights[slots].sum(axis=1), first) + self.model.bias
             doc = np.repeat(np.arange(len(texts)), np.diff(bounds))
             none -= np.bincount(doc, weights=_softplus(z), minlength=len(texts))
             chance = 1 / (1 + np.exp(-z))
@@ -214,14 +221,12 @@ def score(docs: DataFrame, model: Model, p: Params = Params()) -> DataFrame:
 
     def run(batches):
         scorer = Scorer(model, p)
-        for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
-                value, spans = scorer(part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(value), pa.array((value >= p.threshold).astype(np.int32)),
-                     pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])))],
-                    names=["doc_id", "score", "predicted", "sentences"])
+        for part in slices(batches, SLICE):
+            value, spans = scorer(part.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array(value), pa.array((value >= p.threshold).astype(np.int32)),
+                 pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])))],
+                names=["doc_id", "score", "predicted", "sentences"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
         run, "doc_id long, score double, predicted int, sentences array<struct<start: long, end: long, score: double>>")

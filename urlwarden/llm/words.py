@@ -7,9 +7,12 @@ sums, so a batch costs a few array passes and no loop over words.
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
 
 SEGMENT_BYTES = 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -25,6 +28,17 @@ MARKS = BLANK.copy()
 MARKS[[b for b in range(33, 127) if not chr(b).isalnum() and chr(b) not in "'-_"]] = True
 
 
+def slices(batches: Iterable, rows: int) -> Iterator:
+    """The Arrow batches of a task in slices of some rows. At the end the worker gives freed memory
+    back, as Spark keeps it for other tasks."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 class Words(NamedTuple):
     """Words of a batch in text order. bounds[d]:bounds[d + 1] are the words of text d; start and
     end are byte offsets in buf, the lower-cased UTF-8 texts, where text d begins at offsets[d]
@@ -64,6 +78,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def span_hashes(buf: np.ndarray, start: np.ndarray, stop: np.ndarray, segment: int = SEGMENT_BYTES) -> np.ndarray:
+    """Hashes of consecutive spans of a byte array, by their bytes and length."""
+    out = np.zeros(len(start), dtype=np.uint64)
+    at = 0
+    while at < len(start):
+        upto = max(at + 1, int(np.searchsorted(stop, start[at] + segment, side="right")))
+        a, b = start[at], stop[upto - 1]
+        up, down = _power_tables(int(b - a) + 1)
+        total = np.zeros(int(b - a) + 1, dtype=np.uint64)
+        np.cumsum((buf[a:b].astype(np.uint64) + np.uint64(1)) * up[: b - a], out=total[1:])
+        s, e = start[at:upto] - a, stop[at:upto] - a
+        out[at:upto] = (total[e] - total[s]) * down[s] + (e - s).astype(np.uint64) * _STEP
+        at = upto
+    return mix(out)
+
+
 def _segment_words(buf: np.ndarray, blank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     edge = np.flatnonzero(np.diff(np.concatenate(([True], blank, [True])).view(np.int8)))
     start, end = edge[0::2], edge[1::2]
