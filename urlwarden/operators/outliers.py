@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from urlwarden.operators.quantiles import SMALL, exact_quantiles
+from urlwarden.operators.quantiles import exact_quantiles
 from urlwarden.session import materialise
 
 TREES = 100
@@ -93,8 +93,7 @@ class IsolationForest:
         return self.score(df, vec).withColumn("is_inlier", F.col("score") >= F.lit(self.offset))
 
 
-def fit_forest(df: DataFrame, contamination: float = 0.02, trees: int = TREES, seed: int = 42,
-               small: int = SMALL) -> IsolationForest:
+def fit_forest(df: DataFrame, contamination: float = 0.02, trees: int = TREES, seed: int = 42) -> IsolationForest:
     """Fit on (id, vec). Each tree draws its SAMPLE rows by hash from the whole table.
 
     The scores of the table are written once; the threshold is taken from them, and they stay at
@@ -110,5 +109,5 @@ def fit_forest(df: DataFrame, contamination: float = 0.02, trees: int = TREES, s
     nodes = drawn.groupBy("tree").applyInPandas(_grow_tree(seed), NODE).toPandas()
     forest = IsolationForest(nodes, min(SAMPLE, n))
     forest.scored = materialise(forest.score(df).select("id", "score"), "forest-scores")
-    forest.offset = exact_quantiles(forest.scored, ["score"], [contamination], small)["score"][0]
+    forest.offset = exact_quantiles(forest.scored, ["score"], [contamination])["score"][0]
     return forest

@@ -3,66 +3,96 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Up to this many rows the built-in exact aggregate is used; its buffer grows with the values.
-SMALL = 1_000_000
+# Values of one search that come to the driver at once; a longer interval is narrowed first.
+HELD = 10_000
 ACCURACY = 10_000
 
 
-def _rank_value(df: DataFrame, col: str, rank: int, small: int) -> float:
-    """The value at a 0-based rank, by narrowing an interval that holds it.
+@dataclass
+class _Search:
+    """Looks for the value at a 0-based rank of a column inside [lo, hi]."""
 
-    Each round is one aggregate with bounded buffers. Approximate quantiles with a known
-    rank error give the next interval; rank counts check it. A value repeated so often that
-    the interval cannot shrink is compared on its own and then left behind.
-    """
-    x = F.col(col)
-    ends = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi")).first()
-    lo, hi, widen = ends["lo"], ends["hi"], 2
-    while True:
-        inside = F.when((x >= lo) & (x <= hi), x)
-        c = df.agg(F.count_if(x < lo).alias("below"), F.count(inside).alias("n"),
-                   F.count_if(x == lo).alias("at_lo"),
-                   F.min(F.when((x > lo) & (x <= hi), x)).alias("next")).first()
-        place = rank - c["below"]
-        if place < 0 or place >= c["n"]:  # the estimate missed the rank
-            lo, hi, widen = ends["lo"], ends["hi"], widen * 4
-            continue
-        if place < c["at_lo"]:
-            return lo
-        if c["n"] - c["at_lo"] <= small:
-            rest = df.agg(F.sort_array(F.collect_list(F.when((x > lo) & (x <= hi), x))).alias("v"))
-            return rest.select(F.element_at("v", place - c["at_lo"] + 1)).first()[0]
-        lo = c["next"]
-        p, eps = (place - c["at_lo"]) / (c["n"] - c["at_lo"]), widen / ACCURACY
-        guess = df.agg(F.percentile_approx(
-            F.when((x >= lo) & (x <= hi), x), [max(0.0, p - eps), min(1.0, p + eps)], ACCURACY).alias("g")
-        ).first()["g"]
-        lo, hi = guess[0], guess[1]
+    column: str
+    rank: int
+    ends: tuple[float, float]
+    lo: float
+    hi: float
+    widen: int = 2
+    value: float | None = None
+    place: int = 0
+    rest: int = 0
+
+    def inside(self) -> Column:
+        x = F.col(self.column)
+        return F.when((x > self.lo) & (x <= self.hi), x)
+
+    def counts(self) -> Column:
+        x = F.col(self.column)
+        return F.struct(F.count_if(x < self.lo).alias("below"), F.count_if(x == self.lo).alias("at"),
+                        F.count(self.inside()).alias("rest"), F.min(self.inside()).alias("next"))
+
+    def take(self, c) -> None:
+        """Read the counts: found at lo, missed by the interval, or among the `rest` above lo."""
+        self.place = self.rank - c["below"] - c["at"]
+        self.rest = c["rest"]
+        if -c["at"] <= self.place < 0:
+            self.value = self.lo
+        elif self.place < 0 or self.place >= self.rest:  # the estimate missed the rank
+            self.lo, self.hi = self.ends
+            self.widen, self.rest = self.widen * 4, -1
+        elif self.rest > HELD:  # a value repeated so often that nothing shrinks is left behind
+            self.lo = c["next"]
+
+    def guess(self) -> Column:
+        p, eps = self.place / self.rest, self.widen / ACCURACY
+        x = F.col(self.column)
+        return F.percentile_approx(F.when((x >= self.lo) & (x <= self.hi), x),
+                                   [max(0.0, p - eps), min(1.0, p + eps)], ACCURACY)
 
 
-def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
-                    small: int = SMALL) -> dict[str, list[float]]:
-    """Linearly interpolated quantiles per column."""
-    n = df.select(columns[0]).count() if small else None
-    if n is not None and n <= small:
-        row = df.agg(*[F.percentile(F.col(c).cast("double"), probs).alias(c) for c in columns]).first()
-        return {c: list(row[c]) for c in columns}
+def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], held: int = HELD) -> dict[str, list[float]]:
+    """Linearly interpolated quantiles per column; nulls are left out, an empty column gives nulls.
+
+    All columns and ranks are searched at once. A round counts each search's interval in one
+    aggregate; intervals with few values are read, the others narrowed by approximate quantiles
+    with a known rank error, in one aggregate each. Some rounds do for any number of rows.
+    """
+    values = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    ends = values.agg(*[F.struct(F.min(c).alias("lo"), F.max(c).alias("hi"), F.count(c).alias("n")).alias(c) for c in columns]).first()
+    searches: dict[tuple[str, int], _Search] = {}
+    for c in columns:
+        lo, hi, n = ends[c]
+        for p in probs if n else []:
+            for rank in {math.floor(p * (n - 1)), math.ceil(p * (n - 1))}:
+                searches[c, rank] = _Search(c, rank, (lo, hi), lo, hi)
+    while todo := [s for s in searches.values() if s.value is None]:
+        row = values.agg(*[s.counts().alias(f"s{i}") for i, s in enumerate(todo)]).first()
+        for s, c in zip(todo, row):
+            s.take(c)
+        short = [s for s in todo if s.value is None and 0 <= s.rest <= held]
+        if short:
+            lists = values.agg(*[F.sort_array(F.collect_list(s.inside())).alias(f"s{i}") for i, s in enumerate(short)])
+            found = lists.select(*[F.element_at(f"s{i}", s.place + 1) for i, s in enumerate(short)]).first()
+            for s, v in zip(short, found):
+                s.value = v
+        long = [s for s in todo if s.value is None and s.rest > held]
+        if long:
+            row = values.agg(*[s.guess().alias(f"s{i}") for i, s in enumerate(long)]).first()
+            for s, (lo, hi) in zip(long, row):
+                s.lo, s.hi = lo, hi
     out = {}
     for c in columns:
-        values = df.select(F.col(c).cast("double").alias(c)).where(F.col(c).isNotNull())
-        n = values.count()
-        ranks: dict[int, float] = {}
-        for p in probs:
-            for r in (math.floor(p * (n - 1)), math.ceil(p * (n - 1))):
-                if r not in ranks:
-                    ranks[r] = _rank_value(values, c, r, min(small, 100_000))
-        out[c] = []
+        n, out[c] = ends[c]["n"], []
         for p in probs:
+            if not n:
+                out[c].append(None)
+                continue
             pos = p * (n - 1)
-            low, high = ranks[math.floor(pos)], ranks[math.ceil(pos)]
+            low, high = searches[c, math.floor(pos)].value, searches[c, math.ceil(pos)].value
             out[c].append(low + (high - low) * (pos - math.floor(pos)))
     return out
