@@ -32,7 +32,7 @@ def _address_pattern() -> str:
     return f"(?:{'|'.join(forms)})(?:%[^%]+)?"
 
 
-BRACKETED = rf"^\[(?:v[0-9a-f]+\.[^\n]+|{_address_pattern()})\](?::.*)?$"
+ADDRESS = rf"^(?:v[0-9a-f]+\.[^\n]+|{_address_pattern()})$"
 # Characters whose compatibility form holds a delimiter of URLs.
 DELIMITER_FORMS = "".join(c for c in map(chr, range(0x80, 0xFFFF)) if set("/?#@:") & set(unicodedata.normalize("NFKC", c)))
 
@@ -40,16 +40,16 @@ DELIMITER_FORMS = "".join(c for c in map(chr, range(0x80, 0xFFFF)) if set("/?#@:
 def reject_reason(url: Column) -> Column:
     """Why a request cannot be scanned; null if it can.
 
-    The host part is the one that with_url_parts finds. Brackets in it must be a pair that holds
-    an IPv6 address or a version tag, after the last @ and before the port or the end.
+    The host part is the one that with_url_parts finds. Brackets in it must come in pairs, and the
+    first must hold an IPv6 address or a version tag.
     """
     u = F.coalesce(canonical(url), F.lit(""))
     full = F.translate(F.when(F.contains(u, F.lit("://")), u).otherwise(F.concat(F.lit("http://"), u)), "\t\r\n", "")
     netloc = F.regexp_extract(full, r"^(?:[a-z][a-z0-9+.\-]*:)?//([^/?#]*)", 1)
     opened, closed = F.contains(netloc, F.lit("[")), F.contains(netloc, F.lit("]"))
-    after = F.substring_index(netloc, "@", -1)
+    address = F.substring_index(F.regexp_extract(netloc, r"\[(.*)$", 1), "]", 1)
     return (F.when(u == "", "blank url").when(opened != closed, "unbalanced brackets in host")
-            .when(opened & ~after.rlike(BRACKETED), "bad address in brackets")
+            .when(opened & ~address.rlike(ADDRESS), "bad address in brackets")
             .when(F.rlike(F.lower(netloc), F.lit(f"[{DELIMITER_FORMS}]")), "delimiter in another form in host"))
 
 

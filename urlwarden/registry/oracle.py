@@ -518,14 +518,14 @@ def oracle_sql() -> dict[str, str]:
         "scan_rejects": f"""with x as (select doc_id, unnest(string_split(text, '.')) as piece, generate_subscripts(string_split(text, '.'), 1) - 1 as pos from documents),
             r as (select doc_id, pos, {bracket_forms("piece", "pos")} as url from x),
             f as (select *, lower(trim(url, {WS})) as u, replace(replace(replace(if(contains(u, '://'), u, 'http://' || u), chr(9), ''), chr(13), ''), chr(10), '') as full_url,
-              regexp_extract(full_url, '^([a-z][a-z0-9+.-]*:)?//([^/?#]*)', 2) as n, string_split(n, '@')[-1] as h, split_part(substr(h, 2), ']', 1) as address,
-              substr(h, length(address) + 3) as port, string_split(split_part(address, '%', 1), '::') as halves,
+              regexp_extract(full_url, '^([a-z][a-z0-9+.-]*:)?//([^/?#]*)', 2) as n, split_part(substr(n, strpos(n, '[') + 1), ']', 1) as address,
+              string_split(split_part(address, '%', 1), '::') as halves,
               list_filter(flatten(list_transform(halves, lambda x: string_split(x, ':'))), lambda x: x <> '' or len(halves) = 1) as groups,
               list_bool_and(list_transform(groups, lambda x: regexp_full_match(x, '[0-9a-f]{{1,4}}'))) is not false as hex,
               regexp_full_match(address, 'v[0-9a-f]+\\..+') or (hex and len(string_split(address, '%')) <= 2 and address[-1:] <> '%' and len(halves) <= 2 and not regexp_matches(address, ':::')
                 and if(len(halves) = 2, len(groups) <= 7 and not regexp_matches(address, '^:[^:]|[^:]:$'), len(groups) = 8)) as fine from r),
             y as (select doc_id, pos, case when u = '' then 'blank url' when contains(n, '[') <> contains(n, ']') then 'unbalanced brackets in host'
-              when contains(n, '[') and not (h[1] = '[' and contains(h, ']') and (port = '' or port[1] = ':') and fine) then 'bad address in brackets' end as reason from f)
+              when contains(n, '[') and not fine then 'bad address in brackets' end as reason from f)
             select doc_id, pos::int as pos, reason from y where reason is not null""",
         "enrich_asn": with_(SCANS + "," + DNS, f"select s.scan_id, {NETWORK} from scans s left join dns d on d.host = lower({HOST.format(u=f'trim(s.url, {WS})')})"),
         "mitre_tags": with_(ALL_V4 + "," + exploded(TECHNIQUES), f"select {ID}, pos::int as pos, t.id as technique_id, t.name as technique from y"),
