@@ -16,11 +16,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from urlwarden.llm.words import slices
+from urlwarden.session import materialise
 
 SYMBOLS = 64
 GRAMS = SYMBOLS + SYMBOLS**2 + SYMBOLS**3
 SLICE = 32
 UNKNOWN = "und"
+MANY_LANGS = 100_000
 
 
 @dataclass(frozen=True)
@@ -135,6 +137,9 @@ def train(docs: DataFrame, p: Params = Params()) -> Model | None:
         F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out("doc_id"))
     shares = known.groupBy("lang").count().select(
         "lang", (F.least(F.lit(1.0), p.per_lang / F.col("count")) * (1 << 30)).cast("long").alias("limit"))
+    shares = materialise(shares, "shares")
+    # a row per language; only an unheard-of number of them is too many to send to every task
+    shares = F.broadcast(shares) if shares.count() <= MANY_LANGS else shares
     drawn = known.join(shares, "lang").where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) < F.col("limit"))
 
     def run(batches):
