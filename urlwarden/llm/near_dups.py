@@ -9,9 +9,8 @@ confirmation and connected components.
    all against all: first by signatures, then on full sets. The pivots differ from band to band,
    so groups of near copies hang together after one round.
 4. What a pivot could not decide is members of different components in one bucket. The members
-   outside the pivot's component are held against all of that component, block by block: signatures
-   first, then full sets, and a link at most leaves a block. Among each other they are held in
-   blocks of their bucket by signatures; passing pairs are confirmed on full sets.
+   outside the pivot's component are held against all of that component and against each other,
+   block by block: signatures first, then full sets. Only links that join components leave a task.
 
 Nothing is capped or dropped. Two sets of similarity 0.8 share no band of 5 minima in 32 with a
 chance of 3e-6, and fail the signature test with one of 2e-7.
@@ -29,10 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from urlwarden.llm.components import connected_components
-from urlwarden.llm.words import mix, shingle_hashes, words_of
+from urlwarden.llm.words import mix, shingle_hashes, slices, words_of
 from urlwarden.session import materialise
 
 SLICE = 128  # texts hashed together
+LANE_BLOCKS = 8  # blocks' worth of visitors that meet a block together
 BROADCAST_IDS = 1_000_000  # ids, 8 MB: the most that is broadcast; beyond it the join shuffles
 
 
@@ -81,19 +81,17 @@ def sketches(docs: DataFrame, p: Params) -> DataFrame:
         rng = np.random.default_rng(p.seed)
         factor = rng.integers(0, 1 << 32, p.minima, dtype=np.uint32) | np.uint32(1)
         shift = rng.integers(0, 1 << 32, p.minima, dtype=np.uint32)
-        for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
-                n, a, b, sig = [], [], [], []
-                for s in text_sets(part.column(1).to_pylist(), p.k):
-                    n.append(len(s))
-                    a.append(int(s.sum().astype(np.int64)) if len(s) else None)
-                    b.append(int(mix(s ^ np.uint64(p.seed)).sum().astype(np.int64)) if len(s) else None)
-                    sig.append(signature(s, factor, shift).tobytes() if len(s) else None)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()),
-                     pa.array(sig, pa.binary())],
-                    names=["doc_id", "n_shingles", "set_a", "set_b", "signature"])
+        for part in slices(batches, SLICE):
+            n, a, b, sig = [], [], [], []
+            for s in text_sets(part.column(1).to_pylist(), p.k):
+                n.append(len(s))
+                a.append(int(s.sum().astype(np.int64)) if len(s) else None)
+                b.append(int(mix(s ^ np.uint64(p.seed)).sum().astype(np.int64)) if len(s) else None)
+                sig.append(signature(s, factor, shift).tobytes() if len(s) else None)
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()),
+                 pa.array(sig, pa.binary())],
+                names=["doc_id", "n_shingles", "set_a", "set_b", "signature"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
         run, "doc_id long, n_shingles long, set_a long, set_b long, signature binary")
@@ -146,12 +144,10 @@ def _full_sets(ids: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
         wanted = F.broadcast(wanted)
 
     def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
-                sets = [s.view(np.int64) for s in text_sets(part.column(1).to_pylist(), p.k)]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
+        for part in slices(batches, SLICE):
+            sets = [s.view(np.int64) for s in text_sets(part.column(1).to_pylist(), p.k)]
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return materialise(texts.join(wanted, "doc_id", "left_semi").mapInArrow(run, "id long, shingles array<long>"), "sets")
@@ -175,14 +171,6 @@ def _labelled(ids: DataFrame, labels: DataFrame, id_col: str, out: str) -> DataF
     return ids.join(named, id_col, "left").withColumn(out, F.coalesce(out, id_col))
 
 
-def _spread(rows: DataFrame, size: str, everywhere: str, p: Params) -> DataFrame:
-    """Adds home, a row's own block of its group, and block: home, or each one if `everywhere`."""
-    blocks = F.ceil(F.col(size) / p.block).cast("int")
-    home = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    block = F.when(F.col(everywhere), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(home))
-    return rows.withColumn("home", home).withColumn("block", F.explode(block))
-
-
 def _like(sig: np.ndarray, n: np.ndarray, others: np.ndarray, i: int, p: Params) -> np.ndarray:
     """Those of others whose size and signature allow a link with i, the likest first."""
     fit = others[np.minimum(n[others], n[i]) * 100 >= np.maximum(n[others], n[i]) * p.percent]
@@ -190,51 +178,54 @@ def _like(sig: np.ndarray, n: np.ndarray, others: np.ndarray, i: int, p: Params)
     return fit[np.argsort(-share, kind="stable")][: int((share >= p.floor).sum())]
 
 
-def _outsiders_apart(outside: DataFrame, nodes: DataFrame, p: Params) -> DataFrame:
-    """(x, y): pairs of one bucket outside its pivot's component that lie in different components
-    and pass the signature test."""
-    sizes = outside.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    rows = _spread(outside.join(sizes, "key").withColumn("all", F.lit(True)), "size", "all", p)
-    full = rows.select("key", "block", "home", "id", "c").join(nodes.select("id", "n", "signature"), "id")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        sig = np.frombuffer(b"".join(pdf["signature"]), dtype=np.uint32).reshape(len(pdf), -1)
-        ids, comp, n, home = (pdf[c].to_numpy() for c in ("id", "c", "n", "home"))
-        here = np.flatnonzero(home == pdf["block"].iloc[0])
-        found = [(ids[i], ids[j]) for i in range(len(pdf)) for j in _like(sig, n, here[(comp[here] != comp[i]) & (ids[here] < ids[i])], i, p)]
-        return pd.DataFrame(found, columns=["x", "y"], dtype="int64")
-
-    return full.groupBy("key", "block").applyInPandas(run, "x long, y long").distinct()
-
+def _links_in_blocks(members: DataFrame, visitors: DataFrame, nodes: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
+    """(u, v): links from visitors to members of their groups, as many as join components.
 
-def _into_components(outside: DataFrame, labels: DataFrame, nodes: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
-    """(u, v): links from a node to members of a component whose pivot it shared a bucket with.
-
-    The members lie in blocks, and the node visits each. A block's task holds the full sets and
-    returns one link at most for each visitor, as one is enough to join the components.
+    Both tables are (kind, group, id, c), c the component known so far. Members of a group lie in
+    blocks, its visitors in lanes of some blocks' size; a task has one block and one lane, holds
+    their full sets, and returns a link only where it joins two components it has not joined yet.
+    In groups of kind 0 members and visitors are the same nodes, so each pair is met once.
     """
-    visits = materialise(outside.select("id", F.col("pc").alias("group")).distinct(), "visits")
-    everyone = _labelled(nodes.select("id"), labels, "id", "group")
-    members = everyone.join(visits.select("group").distinct(), "group", "left_semi")
-    sizes = members.groupBy("group").agg(F.count("*").alias("size"))
-    rows = members.withColumn("visitor", F.lit(False)).unionByName(visits.withColumn("visitor", F.lit(True)))
-    rows = materialise(_spread(rows.join(sizes, "group"), "size", "visitor", p), "blocks")
+    key = ["kind", "group"]
+    sizes = members.groupBy(*key).agg(F.ceil(F.count("*") / p.block).cast("int").alias("blocks"))
+    lanes = visitors.groupBy(*key).agg(F.ceil(F.count("*") / (p.block * LANE_BLOCKS)).cast("int").alias("lanes"))
+    rows = members.withColumn("visitor", F.lit(False)).unionByName(visitors.withColumn("visitor", F.lit(True)))
+    rows = rows.join(sizes.join(lanes, key), key)
+
+    def spread(own: str, mine, salt: int):
+        return F.explode(F.when(mine, F.array(F.pmod(F.xxhash64("id", F.lit(salt)), own).cast("int"))).otherwise(
+            F.sequence(F.lit(0), F.col(own) - 1)))
+
+    rows = rows.withColumn("block", spread("blocks", ~F.col("visitor"), 0)).withColumn("lane", spread("lanes", F.col("visitor"), 1))
+    rows = materialise(rows.drop("blocks", "lanes"), "blocks")
     sets = _full_sets(materialise(rows.select("id").distinct(), "ids"), docs, p)
-    full = rows.select("group", "block", "visitor", "id").join(nodes.select("id", "n", "signature"), "id").join(sets, "id")
+    full = rows.join(nodes.select("id", "n", "signature"), "id").join(sets, "id")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["visitor", "id"], kind="stable")
         sig = np.frombuffer(b"".join(pdf["signature"]), dtype=np.uint32).reshape(len(pdf), -1)
-        ids, n, visitor, sets = (pdf[c].to_numpy() for c in ("id", "n", "visitor", "shingles"))
-        members, found = np.flatnonzero(~visitor), []
+        ids, n, comp, visitor, sets = (pdf[c].to_numpy() for c in ("id", "n", "c", "visitor", "shingles"))
+        once = pdf["kind"].iloc[0] == 0
+        members, found, joined = np.flatnonzero(~visitor), [], {}
+
+        def root(x):
+            while x in joined:
+                x = joined[x]
+            return x
+
         for i in np.flatnonzero(visitor):
-            for j in _like(sig, n, members, i, p):
+            others = members[comp[members] != comp[i]]
+            for j in _like(sig, n, others[ids[others] < ids[i]] if once else others, i, p):
+                x, y = root(comp[i]), root(comp[j])
+                if x == y:
+                    continue
                 common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
                 if common * 100 >= (len(sets[i]) + len(sets[j]) - common) * p.percent:
+                    joined[x] = y
                     found.append((ids[i], ids[j]))
-                    break
         return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
 
-    return full.groupBy("group", "block").applyInPandas(run, "u long, v long")
+    return full.groupBy("kind", "group", "block", "lane").applyInPandas(run, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
@@ -271,8 +262,11 @@ def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
     # Round 2: members whose pivot is in another component, against that component and each other.
     known = _labelled(members.select("key", "id", "pivot"), labels, "id", "c").withColumnRenamed("pivot", "y")
     outside = materialise(_labelled(known, labels, "y", "pc").where("c != pc").select("key", "id", "c", "pc"), "outside")
-    others = materialise(_outsiders_apart(outside, nodes, p), "others")
-    found = _confirmed(others, docs, p).union(_into_components(outside, labels, nodes, docs, p))
+    visits = materialise(outside.select("id", "c", F.col("pc").alias("group")).distinct().withColumn("kind", F.lit(1)), "visits")
+    everyone = _labelled(nodes.select("id"), labels, "id", "group").withColumn("c", F.col("group"))
+    hosts = everyone.join(visits.select("group").distinct(), "group", "left_semi").withColumn("kind", F.lit(1))
+    peers = outside.select("id", "c", F.col("key").alias("group")).withColumn("kind", F.lit(0))
+    found = _links_in_blocks(hosts.unionByName(peers), visits.unionByName(peers), nodes, docs, p)
     more = _labelled(_labelled(found, labels, "u", "cu"), labels, "v", "cv")
     joined = connected_components(more.select(F.col("cu").alias("u"), F.col("cv").alias("v")))
     ids = nodes.select("set_a", "set_b", F.col("n").alias("n_shingles"), "id")
