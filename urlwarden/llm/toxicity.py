@@ -42,6 +42,9 @@ class Params:
     threshold: float = 0.3
 
 
+BAG = "toxic int, slots array<int>, sentences array<int>, n long"
+
+
 @dataclass
 class Model:
     """Word slots and weights (sorted by slot), sentence bias, and the document's leak."""
@@ -84,47 +87,40 @@ def _softplus(z: np.ndarray) -> np.ndarray:
     return np.logaddexp(0.0, z)
 
 
-def fit(bags: list[tuple[np.ndarray, np.ndarray, int]], labels: np.ndarray, p: Params) -> Model:
+def telling_slots(slot: np.ndarray, n: np.ndarray, k: np.ndarray, total: int, ones: int, p: Params) -> np.ndarray:
+    """Slots, sorted, whose presence speaks for the label: found in n of `total` documents, k of
+    them among the `ones`, by the log-likelihood ratio against chance."""
+    def part(a, among):
+        q = np.clip(a / np.maximum(among, 1), 1e-12, 1 - 1e-12)
+        return a * np.log(q) + (among - a) * np.log(1 - q)
+
+    ratio = 2 * (part(k, n) + part(ones - k, total - n) - part(ones, total))
+    good = np.flatnonzero((slot > 0) & (n >= p.min_docs) & (ratio >= p.evidence) & (k * total > n * ones))
+    return np.sort(slot[good[np.argsort(-ratio[good], kind="stable")[: p.max_words]]])
+
+
+def fit(slot: np.ndarray, bags: list[tuple[np.ndarray, np.ndarray, int]], labels: np.ndarray, p: Params) -> Model:
     """Fit by full-batch gradient steps on the noisy-or likelihood.
 
-    bags: for each document its word slots, their sentences, and the number of sentences. Without
-    labels of both kinds the model is the leak alone.
+    slot: the sorted slots that get weights. bags: for each document its entries among them, the
+    sentence of each, and its number of sentences. Without labels of both kinds, or without slots,
+    the model is the leak alone.
     """
     rate = float(labels.mean()) if len(labels) else 0.0
-    model = Model(leak=rate)
-    if not 0 < rate < 1:
-        return model
-    # 1. Words whose presence tells the labels apart.
-    present = [np.unique(slots) for slots, _, _ in bags]
-    docs = np.concatenate(present)
-    y = np.repeat(labels, [len(x) for x in present])
-    slot, inverse, n = np.unique(docs, return_inverse=True, return_counts=True)
-    k = np.bincount(inverse, weights=y, minlength=len(slot))
-
-    def part(a, total):
-        q = np.clip(a / np.maximum(total, 1), 1e-12, 1 - 1e-12)
-        return a * np.log(q) + (total - a) * np.log(1 - q)
-
-    total, ones = len(labels), labels.sum()
-    ratio = 2 * (part(k, n) + part(ones - k, total - n) - part(ones, total))
-    good = np.flatnonzero((slot > 0) & (n >= p.min_docs) & (ratio >= p.evidence) & (k / n > ones / total))
-    good = np.sort(good[np.argsort(-ratio[good], kind="stable")[: p.max_words]])
-    slot = slot[good]
-    if not len(slot):
-        return model
-    # 2. Sentences with such words; the others only count for the bias.
-    word, owner, doc_of, plain, base = [], [], [], np.zeros(total), 0
+    if not 0 < rate < 1 or not len(slot):
+        return Model(leak=rate)
+    # Sentences with such entries; the others only count for the bias.
+    total, base = len(labels), 0
+    word, owner, doc_of, plain = [], [], [], np.zeros(total)
     for d, (slots, sentence, count) in enumerate(bags):
-        at = np.searchsorted(slot, slots)
-        hit = np.flatnonzero(slot[np.minimum(at, len(slot) - 1)] == slots)
-        which, own = np.unique(sentence[hit], return_inverse=True)
-        word.append(at[hit])
+        which, own = np.unique(sentence, return_inverse=True)
+        word.append(np.searchsorted(slot, slots))
         owner.append(own + base)
         doc_of.append(np.full(len(which), d))
         plain[d] = count - len(which)
         base += len(which)
     word, owner, doc_of = (np.concatenate(x).astype(np.int64) for x in (word, owner, doc_of))
-    # 3. Adam on word weights, bias and leak.
+    # Adam on word weights, bias and leak.
     theta = np.concatenate((np.zeros(len(slot)), [-6.0, np.log(rate / (1 - rate)) - 1]))
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, p.steps + 1):
@@ -147,8 +143,8 @@ def train(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Model:
     """Learn from at most about train_docs labelled documents outside the held-out part.
 
     labels (doc_id, toxic): null ids and labels are left out, a doc_id with several labels is toxic
-    if one of them says so, and null texts are left out. The bags of the drawn documents, not their
-    texts, come to the driver; their number is bounded by train_docs.
+    if one of them says so, and null texts are left out. What comes to the driver of the drawn
+    documents is the counts of slots, 2 ** bits at most, and then the entries that get weights.
     """
     known = (labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out("doc_id"))
              .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).cast("int").alias("toxic")))
@@ -173,14 +169,40 @@ def train(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Model:
 
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # drawn has at most about train_docs rows of two numbers
-    bags = (text.where("text IS NOT NULL").join(F.broadcast(drawn), "doc_id").select("toxic", "text")
-            .mapInArrow(run, "toxic int, slots array<int>, sentences array<int>, n long").toArrow())
+    bags = materialise(text.where("text IS NOT NULL").join(F.broadcast(drawn), "doc_id").select("toxic", "text")
+                       .mapInArrow(run, BAG), "bags")
+
+    def count(batches):
+        n, k = (np.zeros(1 << p.bits, dtype=np.int64) for _ in range(2))
+        for batch in batches:
+            for toxic, slots in zip(batch.column(0).to_pylist(), batch.column(1)):
+                own = np.unique(slots.values.to_numpy())
+                n[own] += 1
+                k[own] += toxic
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some]), pa.array(k[some])], names=["slot", "n", "k"])
+
+    counts = (bags.select("toxic", "slots").mapInArrow(count, "slot long, n long, k long").groupBy("slot")
+              .agg(F.sum("n").alias("n"), F.sum("k").alias("k")).where(F.col("n") >= p.min_docs).toArrow())
+    total, ones = bags.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    slot = telling_slots(*(counts.column(c).to_numpy().astype(np.int64) for c in ("slot", "n", "k")), total, ones, p)
+
+    def thin(batches):
+        for batch in batches:
+            rows = []
+            for slots, sentences in zip(batch.column(1), batch.column(2)):
+                own = slots.values.to_numpy()
+                hit = np.isin(own, slot)
+                rows.append((own[hit], sentences.values.to_numpy()[hit]))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *[pa.array([r[i] for r in rows], pa.list_(pa.int32())) for i in (0, 1)], batch.column(3)],
+                names=["toxic", "slots", "sentences", "n"])
+
     rows = sorted(
-        ((y, s.values.to_numpy().astype(np.int64), o.values.to_numpy().astype(np.int64), n)
-         for batch in bags.to_batches()
-         for y, s, o, n in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3).to_pylist())),
+        ((r["toxic"], np.array(r["slots"], dtype=np.int64), np.array(r["sentences"], dtype=np.int64), r["n"])
+         for r in bags.mapInArrow(thin, BAG).toArrow().to_pylist()),
         key=lambda r: (r[0], r[3], len(r[1]), r[1].tobytes()))
-    return fit([r[1:] for r in rows], np.array([r[0] for r in rows], dtype=float), p)
+    return fit(slot, [r[1:] for r in rows], np.array([r[0] for r in rows], dtype=float), p)
 
 
 class Scorer:
