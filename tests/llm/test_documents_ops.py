@@ -56,11 +56,13 @@ def test_fewer_words_than_a_shingle():
 
 # --- 1 -----------------------------------------------------------------------------------------
 
-@settings(max_examples=50, deadline=None)
-@given(st.text("ab' .,<|endoftext|>é\n\t\r \x1c\xa0日1st", max_size=60))
+@settings(max_examples=300, deadline=None)
+@given(st.text("abT' .,<|endoftext|>éÀ×÷āŸ\n\t\r \x1c\xa0日1st", max_size=60))
 def test_pieces_encode_as_the_whole_text(text):
     e = wavelet.PieceEncoder.of(tokenizer_path())
     assert e.encode(text) == e._ids(text)
+    texts = [text, None, "", text[::-1], text.replace("日", "").replace("\xa0", "")]
+    assert [x.tobytes() for x in e.encode_batch(texts)] == [e._ids(t or "") for t in texts]
 
 
 @settings(max_examples=30, deadline=None)
@@ -166,12 +168,12 @@ def test_toxicity_finds_documents_and_sentences(spark):
 
 def test_noisy_or_against_sentences(spark):
     p = toxicity.Params()
-    w = words.words_of(["bad good worse"], words.MARKS)
-    slots = np.sort((w.hash >> np.uint64(64 - p.bits)).astype(np.int64))
+    slots = toxicity._bags(["bad good worse"], p.bits)[0][:, 0]
+    names = dict(zip(slots.tolist(), ["bad", "good", "worse"]))
+    slots = np.sort(slots)
     model = toxicity.Model(slots, np.array([1.0, 2.0, 3.0]), -2.0, 0.05)
     text = "Good bad! worse\nplain plain. bad worse bad"
-    weight = dict(zip((w.hash >> np.uint64(64 - p.bits)).tolist(), "bad good worse".split()))
-    by_word = {weight[s]: x for s, x in zip(slots.tolist(), model.weights)}
+    by_word = {names[s]: x for s, x in zip(slots.tolist(), model.weights)}
     none = 0.95
     for s in re.split(r"[.!?\n|]", text):
         ws = lower(s).split()
@@ -181,6 +183,11 @@ def test_noisy_or_against_sentences(spark):
     assert got == pytest.approx([1 - none, 0.05, 0.05])
 
 
+def test_stems_count_where_words_are_longer():
+    slots = toxicity._bags(["lowest lowester low"], 20)[0]
+    assert (slots[0, 1:3] == slots[1, 1:3]).all() and slots[0, 3] == 0 and slots[1, 3] > 0 and (slots[2, 1:] == 0).all()
+
+
 def test_toxicity_of_odd_rows(spark):
     labels = spark.createDataFrame([(4, 1, 1), (5, 1, 0)], "doc_id long, quality int, toxic int")
     docs = table(spark, ODD)

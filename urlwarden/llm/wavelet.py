@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import zlib
 from collections.abc import Callable
 
@@ -27,24 +28,75 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from urlwarden.llm.words import BLANK, slices, span_hashes
+
 END_ID = 2
 SHARD_TOKENS = 1 << 23
-CACHE_PIECES = 1_500_000
+CACHE_PIECES = 2_000_000
 BLOCK_BITS = 512
+SLICE = 256  # texts cut together
 SHARD_SCHEMA = ("part int, seq int, n_tokens long, planes array<binary>, ranks array<binary>, zeros array<long>, "
                 "doc_ids array<long>, lengths array<long>")
 
 # What the byte-level splitter never cuts across: a blank stays with the word after it, and of a
-# longer run of white space only the last blank does.
-# Letters before white space, a full stop or a comma end a piece, too.
+# longer run of white space only the last blank does. Letters before a full stop or comma end a
+# piece, too.
 PIECES = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[\s.,]|$)|[.,]+(?=\s|$)| ?\S+|\s+(?!\S)|\s+")
+WORD = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 # Characters that Python's \s and the tokenizer's differ on.
 UNSURE = re.compile("[\x1c-\x1f]")
-
-
-class PieceEncoder(dict):
-    """piece -> ids as bytes. Words repeat, so the tokenizer encodes each once; at most CACHE_PIECES
-    are held. A Python worker keeps its encoder from task to task."""
+# First bytes of white space beyond ASCII, and those characters: such texts are cut by PIECES.
+ODD = np.zeros(256, dtype=bool)
+ODD[[0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3]] = True
+# Bytes of the letters that PIECES knows. The second bytes of the two signs among them, × and ÷,
+# are letters' second bytes elsewhere only after C3, so a text with C3 97 or C3 B7 is odd as well.
+LETTER = np.zeros(256, dtype=bool)
+LETTER[[*range(65, 91), *range(97, 123), 0xC3, *range(0x80, 0xC0)]] = True
+# Signs that end a run of letters for the splitter.
+STOP = np.zeros(256, dtype=bool)
+STOP[[b for b in range(33, 127) if not chr(b).isalpha()]] = True
+
+
+def piece_bounds(buf: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Starts of the pieces in a batch of plain texts; text d ends at ends[d]. They are those of
+    PIECES, but letters at the start of a run end a piece before any ASCII sign or digit."""
+    n = len(buf)
+    white = BLANK[buf]
+    first = np.zeros(n + 1, dtype=bool)  # first bytes of texts
+    first[0] = True
+    first[ends] = True
+    before = np.concatenate(([True], white[:-1]))
+    head = ~white & (before | first[:n])  # first bytes of runs that are not white
+    start = first[:n] | head  # a run of white space starts a piece, as its last blank may, too
+    start[1:] |= white[1:] & ~white[:-1]
+    # the last of a white run before a word: a blank goes to the word, another is a piece of its own
+    at = np.flatnonzero(head & ~first[:n])
+    start[at - 1] = True
+    start[at[buf[at - 1] == 32]] = False
+    # letters from the start of a run up to a sign
+    at = np.flatnonzero(head)
+    if len(at):
+        plain = LETTER[buf]
+        stops = np.flatnonzero(~plain | first[:n])  # where a run of letters is over
+        after = np.searchsorted(stops, at + 1)
+        over = stops[np.minimum(after, len(stops) - 1)]
+        ok = (after < len(stops)) & plain[at] & STOP[buf[over]] & ~first[over]
+        start[over[ok]] = True
+    return np.flatnonzero(start)
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable bytes stand for
+    themselves, the others for the code points from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+class PieceEncoder:
+    """Encodes whole texts piece by piece. Words repeat, so the tokenizer encodes each once: at most
+    CACHE_PIECES are held by their 64-bit hash, and a Python worker keeps them from task to task.
+    A piece of letters is one word of the tokenizer's splitter and goes straight to its model."""
 
     kept: dict[str, PieceEncoder] = {}
 
@@ -58,21 +110,22 @@ class PieceEncoder(dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids of this vocabulary need more than 16 planes")
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
+        self.held: dict[int, bytes] = {}
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
 
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= CACHE_PIECES:
-            self.clear()
-        self[piece] = ids = self._ids(piece)
-        return ids
+    def _piece(self, piece: bytes) -> bytes:
+        if WORD.fullmatch(piece):
+            tokens = self.model.tokenize("".join(map(self.letters.__getitem__, piece)))
+            return struct.pack(f"<{len(tokens)}H", *[t.id for t in tokens])
+        return self._ids(piece.decode("utf-8"))
 
     def encode(self, text: str | None) -> bytes:
         """The ids of a whole text as little-endian 16-bit integers."""
@@ -80,7 +133,43 @@ class PieceEncoder(dict):
             return b""
         if UNSURE.search(text) or self.special and self.special.search(text):
             return self._ids(text)
-        return b"".join(map(self.__getitem__, PIECES.findall(text)))
+        return b"".join([self._piece(p.encode("utf-8")) for p in PIECES.findall(text)])
+
+    def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each whole text. Plain texts are cut together, and each distinct piece of the
+        batch is looked up once."""
+        raw = [(t or "").encode("utf-8", "replace") for t in texts]
+        plain = [bool(r) and not (self.special and self.special.search(t) or b"\xc3\x97" in r or b"\xc3\xb7" in r)
+                 for t, r in zip(texts, raw)]
+        buf = np.frombuffer(b"".join(raw), dtype=np.uint8)
+        ends = np.cumsum([len(r) for r in raw], dtype=np.int64)
+        odd = np.flatnonzero(ODD[buf])
+        for d in np.unique(np.searchsorted(ends, odd, side="right")):
+            plain[d] = False
+        out = [np.frombuffer(self.encode(t), dtype="<u2") if not p else None for t, p in zip(texts, plain)]
+        kept = [r for r, p in zip(raw, plain) if p]
+        if not kept:
+            return out
+        if len(kept) < len(raw):
+            buf, ends = np.frombuffer(b"".join(kept), dtype=np.uint8), np.cumsum([len(r) for r in kept], dtype=np.int64)
+        start = piece_bounds(buf, ends)
+        stop = np.concatenate((start[1:], [len(buf)]))
+        keys, one, which = np.unique(span_hashes(buf, start, stop), return_index=True, return_inverse=True)
+        keys = keys.tolist()
+        found = list(map(self.held.get, keys))
+        whole = buf.tobytes()
+        if len(self.held) > CACHE_PIECES:
+            self.held.clear()
+        for i in [i for i, f in enumerate(found) if f is None]:
+            found[i] = self.held[keys[i]] = self._piece(whole[start[one[i]] : stop[one[i]]])
+        table = np.frombuffer(b"".join(found), dtype="<u2")
+        size = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 2
+        begin = np.cumsum(size) - size
+        each = size[which]
+        last = np.cumsum(each)
+        ids = table[np.repeat(begin[which] - (last - each), each) + np.arange(last[-1])]
+        cuts = iter(np.split(ids, last[np.searchsorted(start, ends) - 1][:-1]))
+        return [next(cuts) if o is None else o for o in out]
 
 
 class WaveletMatrix:
@@ -192,15 +281,14 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
     """
 
     def run(batches):
-        encoder, end = PieceEncoder.of(tokenizer), np.array([end_id], dtype="<u2").tobytes()
-        part, seq = TaskContext.get().partitionId(), 0
+        encoder, end = PieceEncoder.of(tokenizer), np.array([end_id], dtype="<u2")
+        place, seq = TaskContext.get().partitionId(), 0
         held, ids, lengths = [], [], []
 
         def shard():
-            tokens = np.frombuffer(b"".join(held), dtype="<u2")
-            m = WaveletMatrix.build(tokens)
+            m = WaveletMatrix.build(np.concatenate(held))
             return pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([m.n], pa.int64()),
+                [pa.array([place], pa.int32()), pa.array([seq], pa.int32()), pa.array([m.n], pa.int64()),
                  pa.array([[p.tobytes() for p in m.planes]], pa.list_(pa.binary())),
                  pa.array([[r.tobytes() for r in m.ranks]], pa.list_(pa.binary())),
                  pa.array([m.zeros], pa.list_(pa.int64())), pa.array([ids], pa.list_(pa.int64())),
@@ -208,12 +296,11 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
                 names=["part", "seq", "n_tokens", "planes", "ranks", "zeros", "doc_ids", "lengths"])
 
         total = 0
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                encoded = encoder.encode(text.as_py())
+        for part in slices(batches, SLICE):
+            for doc_id, encoded in zip(part.column(0).to_pylist(), encoder.encode_batch(part.column(1).to_pylist())):
                 held += [encoded, end]
                 ids.append(doc_id)
-                lengths.append(len(encoded) // 2 + 1)
+                lengths.append(len(encoded) + 1)
                 total += lengths[-1]
                 if total >= shard_tokens:
                     yield shard()
