@@ -32,7 +32,7 @@ from urlwarden.llm.words import mix, shingle_hashes, slices, words_of
 from urlwarden.session import materialise
 
 SLICE = 128  # texts hashed together
-LANE_BLOCKS = 8  # blocks' worth of visitors that meet a block together
+LANE_BLOCKS = 4  # blocks' worth of visitors that meet a block together
 BROADCAST_IDS = 1_000_000  # ids, 8 MB: the most that is broadcast; beyond it the join shuffles
 
 
@@ -44,7 +44,7 @@ class Params:
     percent: int = 80
     bands: int = 32
     rows: int = 5
-    block: int = 128
+    block: int = 512
     seed: int = 20240101
 
     @property
