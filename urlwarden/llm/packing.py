@@ -2,7 +2,7 @@
 
 Every document is cut into pieces of at most `capacity` tokens. Pieces go, longest first, to the
 open bin with the least room that still holds them, unless that bin already has a document of the
-same source or of the same duplicate cluster; then the search goes on to the next larger room, and
+same source or of the same duplicate cluster (near-duplicate components, or else exact copies); then the search goes on to the next larger room, and
 a new bin opens if none is compatible. Bins lie ordered by room and carry one bitmap of sources
 and one of clusters.
 
@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from urlwarden.llm import near_dups
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -73,12 +75,21 @@ def pack(pieces: pd.DataFrame, capacity: int) -> pd.DataFrame:
     return order.assign(bin=[b for b, _ in placed], offset=[o for _, o in placed])
 
 
-def packed(docs: DataFrame, p: Params = Params(), cluster: str | None = None) -> DataFrame:
+def near_clusters(docs: DataFrame, key: str, near: near_dups.Params) -> DataFrame:
+    """(key, component): the keys of docs (key, text) whose near-duplicate component has a smaller key."""
+    found = near_dups.near_duplicates(docs.select(F.col(key).alias("doc_id"), F.lower("text").alias("text")), near)
+    return (found.where("n_shingles > 0 AND component_id != doc_id").groupBy(F.col("doc_id").alias(key))
+            .agg(F.min("component_id").alias("component")))
+
+
+def packed(docs: DataFrame, p: Params = Params(), cluster: str | None = None, near: near_dups.Params | None = None) -> DataFrame:
     """One row per piece: bin_id, slot, doc_id, piece, first_token, n_tokens, source, cluster.
 
     bin_id is pack:bin; slot is the piece's first token in the bin; first_token its first token in
-    the document. Tokens are words. `cluster` names a column with a document's duplicate cluster;
-    without one it is the hash of the lower-cased words, so exact copies share a cluster. A null
+    the document. Tokens are words. `cluster` names a column with a document's duplicate cluster.
+    With `near` it is the near-duplicate component of the lower-cased text instead, its smallest
+    doc_id; copies without doc_id are one document there, named by a hash of 2^62 or more. Without
+    either it is the hash of the lower-cased words, so only exact copies share a cluster. A null
     source or cluster conflicts with nothing. A null text, or one without words, is a piece of no
     tokens, so no document is lost. A row without doc_id is dealt by its text. Repeated rows are
     pieces of their own. An empty table gives no rows.
@@ -87,10 +98,15 @@ def packed(docs: DataFrame, p: Params = Params(), cluster: str | None = None) ->
     words = F.regexp_count(text, F.lit(WORD))
     plain = F.trim(F.regexp_replace(F.lower(text), r"[\x20\x09-\x0D]+", " "))
     own = F.col(cluster).cast("string") if cluster else F.when(words > 0, F.xxhash64(plain).cast("string"))
+    doc_id = F.col("doc_id").cast("long")
+    key = F.when(words > 0, F.coalesce(doc_id, F.shiftrightunsigned(F.xxhash64(plain), 2).bitwiseOR(F.lit(1 << 62))))
     items = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), words.cast("long").alias("words"),
-        F.col("source").cast("string").alias("source"), own.alias("cluster"),
+        doc_id.alias("doc_id"), words.cast("long").alias("words"),
+        F.col("source").cast("string").alias("source"), (key if near else own).alias("cluster"),
         F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), text)).alias("deal"))
+    if near:  # words are counted before the join, so no text is shuffled
+        found = near_clusters(docs.select(key.alias("cluster"), text.alias("text")).where("cluster IS NOT NULL"), "cluster", near)
+        items = items.join(found, "cluster", "left").withColumn("cluster", F.coalesce("component", "cluster").cast("string"))
     packs = max(1, -(-docs.count() // p.pack_docs))
     last = F.greatest(F.lit(0), F.ceil(F.col("words") / p.capacity) - 1).cast("int")
     first = F.col("piece").cast("long") * p.capacity

@@ -49,7 +49,7 @@ def op4_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed(_table(spark, sf_dir, "documents"))
+    return packing.packed(_table(spark, sf_dir, "documents"), near=near_dups.Params())
 
 
 def flip(record: str, text: str) -> str:
