@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from urlwarden.llm import near_dups, packing, queries
+from urlwarden.llm import decontaminate, near_dups, packing, queries
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -42,3 +42,22 @@ def test_packing_clusters_are_components(spark, sf_dir):
     got = packing.packed(docs, near=near).where("n_tokens > 0")
     assert {r["doc_id"]: r["cluster"] for r in got.collect()} == want
     assert got.groupBy("bin_id", "cluster").count().where(F.col("count") > 1).count() == 0
+
+
+def test_small_items_are_found_wherever_they_stand():
+    rng = np.random.default_rng(13)
+    prose = lambda n: " ".join(f"v{x}" for x in rng.integers(0, 5000, n))
+    items = [(j, prose(5 + j % 8)) for j in range(320)]
+    index = decontaminate.Index(items, decontaminate.Params())
+    texts = [f"{prose(int(rng.integers(1, 40)))} {t} {prose(int(rng.integers(1, 40)))}" for _, t in items]
+    for (j, t), text, found in zip(items, texts, index.matches(texts)):
+        assert [(i, s, text[a:b]) for i, s, a, b in found if i == j] == [(j, 1.0, t)]
+
+
+def test_small_items_in_texts_one_word_short():
+    rng = np.random.default_rng(17)
+    items = [(j, " ".join(f"v{x}" for x in rng.integers(0, 5000, 6 + j % 6))) for j in range(300)]
+    index = decontaminate.Index(items, decontaminate.Params())
+    for (j, t), found in zip(items, index.matches([t.rpartition(" ")[0] for _, t in items])):
+        n = len(t.split()) - 4
+        assert [i for i, *_ in found] == ([j] if (n - 1) / n >= 0.8 else [])

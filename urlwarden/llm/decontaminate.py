@@ -33,7 +33,8 @@ CHUNK_ITEMS = 2_000  # items that a task holds at a time (160 MB); more are met
 class Params:
     """k words make a shingle. An item at `least` similarity has its nearest window at about 27 of
     128 bits when sizes and starts fit worst, and 19 when they fit; the radius is three standard
-    deviations beyond the worst."""
+    deviations beyond the worst. Items of up to 7 shingles meet windows of their own size at every
+    start, and of those only equal ones are similar enough, at 0 bits, or a shorter whole text."""
 
     k: int = 5
     least: float = 0.8
@@ -82,14 +83,19 @@ class Index:
                 self.sizes.append((size, part, prints.view("<u8"), tables))
 
     def _size(self, n: int) -> int:
-        """The window size nearest n: strides grow by `ratio`, by one at least."""
+        """The window size nearest n: strides grow by `ratio`, by one at least. Where windows start
+        at every shingle, it is n itself."""
         stride = 1
         while True:
             above = max(stride + 1, round(stride * self.p.ratio))
             if n * n <= stride * above * self.p.steps**2:
-                return stride * self.p.steps
+                return n if stride == 1 else stride * self.p.steps
             stride = above
 
+    def _radius(self, n: int) -> int:
+        """No bits for items so small that only an equal window is similar enough."""
+        return 0 if self._size(n) == n and n - 1 < self.p.least * n else self.p.radius
+
     def hits(self, hashes: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         """(text, item, first start, last start) around each window within the radius of an item.
 
@@ -108,16 +114,17 @@ class Index:
             room = min(SEGMENT, len(hashes) - at)
             done, words, blocks = 0, None, None
             for size, members, marks, tables in self.sizes:
-                stride = size // self.p.steps
+                stride = max(1, size // self.p.steps)
+                steps = size // stride
                 if size != done:
                     done, n = size, -(-room // stride)
                     kind = np.uint8 if size < 256 else np.uint32
-                    rows = bits[: (n + self.p.steps - 1) * stride].reshape(-1, stride, BITS)
+                    rows = bits[: (n + steps - 1) * stride].reshape(-1, stride, BITS)
                     block = rows[:, 0].astype(kind)
                     for i in range(1, stride):
                         block += rows[:, i]
                     ones = block[:n].copy()
-                    for i in range(1, self.p.steps):
+                    for i in range(1, steps):
                         ones += block[i : i + n]
                     prints = np.packbits(ones.ravel() > size // 2).reshape(n, -1)
                     words, blocks = np.ascontiguousarray(prints.view("<u8").T), np.ascontiguousarray(prints.view("<u2").T)
@@ -128,7 +135,7 @@ class Index:
                     near = np.flatnonzero(mask & np.uint64(1 << j))
                     if len(near):
                         apart = np.bitwise_count(words[0][near] ^ marks[j, 0]) + np.bitwise_count(words[1][near] ^ marks[j, 1])
-                        for i in near[apart <= self.p.radius]:
+                        for i in near[apart <= self._radius(self.items[item][1])]:
                             start = at + int(i) * stride
                             slack = stride + abs(size - self.items[item][1])
                             yield int(text[min(start + size // 2, len(text) - 1)]), item, start - slack, start + slack
