@@ -1,8 +1,10 @@
 """The ways taken for hot keys, copies and large tables give the results of the plain ways."""
 
 import time
+from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from urlwarden.registry import corpora as C
 from urlwarden.registry import queries as Q
 from urlwarden.sources import labeled, telemetry_store
 from urlwarden.streaming.scan_stream import start_scan_stream
-from urlwarden.streaming.ttl_stream import replay_batch
+from urlwarden.streaming.ttl_stream import replay_batch, start_ttl_stream
 from urlwarden.session import workspace
 
 
@@ -39,20 +41,67 @@ def as_dict(df, value="hit"):
     return {r["scan_id"]: r[value] for r in df.collect()}
 
 
-@pytest.mark.parametrize("hot_rows", [replay.HOT_ROWS, 500, 0])
-def test_replay_ways_agree(spark, hot_rows):
-    scans = skewed_scans(spark, 1500 if hot_rows == 0 else 3000)
-    scans = scans.where("url_hash = 'hot'") if hot_rows == 0 else scans
-    got = as_dict(replay.ttl_replay(scans, hot_rows=hot_rows))
+@pytest.mark.parametrize("partitions, fan, keys", [(8, 32, "all"), (40, 3, "all"), (40, 2, "hot"), (3, 2, "hot"), (1, 2, "all")])
+def test_replay_of_hot_keys(spark, monkeypatch, partitions, fan, keys):
+    """One key fills many ranges, whose functions are combined in several rounds."""
+    monkeypatch.setattr(replay, "FAN", fan)
+    scans = skewed_scans(spark)
+    scans = scans.where("url_hash = 'hot'") if keys == "hot" else scans
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        got = as_dict(replay.ttl_replay(scans))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
     assert got == brute_replay(scans.collect())
 
 
-def test_hot_keys(spark):
-    assert replay.hot_keys(skewed_scans(spark), "url_hash", 500) == ["hot"]
+def test_replay_of_a_null_key_ties_and_nothing(spark):
+    rows = [(i, None if i % 2 else "a", f"2024-01-01 00:00:{i // 4:02d}", 3) for i in range(80)]
+    scans = spark.createDataFrame(rows, "scan_id long, url_hash string, at string, ttl int").selectExpr(
+        "scan_id", "url_hash", "cast(at as timestamp) as ts", "ttl")
+    assert as_dict(replay.ttl_replay(scans)) == brute_replay(scans.collect())
+    assert as_dict(replay.ttl_replay(scans.limit(0))) == {}
+
+
+def test_steps_are_the_replay_of_a_range():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        n, ttl = int(rng.integers(1, 40)), int(rng.integers(0, 30))
+        ranges = [np.sort(rng.integers(a * 50, a * 50 + 50, n)) for a in range(3)]
+
+        def chain(e, t):
+            for x in t:
+                e = x + ttl if x > e else e
+            return e
+
+        steps = [replay.range_steps(t, ttl) for t in ranges]
+        for e in range(-60, int(ranges[0][0]) + ttl + 1):
+            assert replay.apply_steps(np.array([e]), *steps[0])[0] == chain(e, ranges[0])
+        frames = [pd.DataFrame({"place": i, "_group": 0, "upto": u, "out": o}) for i, (u, o) in enumerate(steps)]
+        (whole,) = replay._combine(iter(frames))
+        assert len(whole) <= sum(map(len, frames))
+        for e in (-60, int(ranges[0][0]) - 1, int(ranges[0][0]), int(ranges[0][0]) + ttl):
+            assert replay.apply_steps(np.array([e]), whole["upto"].to_numpy(), whole["out"].to_numpy())[0] == chain(e, np.concatenate(ranges))
+
+
+def test_a_year_of_hourly_spans_takes_few_jobs(spark):
+    """8,760 spans of one key; the number of jobs does not follow the number of spans."""
+    ids = spark.range(60000, numPartitions=8)
+    ts = F.timestamp_seconds(F.lit(1704067200) + F.floor(F.col("id") * 365 * 86400 / 60000))
+    scans = ids.select(F.col("id").alias("scan_id"), F.lit("k").alias("url_hash"), ts.alias("ts"), F.lit(3600).alias("ttl"))
+    context = spark.sparkContext
+    context.setJobGroup("year", "replay of a year")
+    try:
+        got = as_dict(replay.ttl_replay(scans))
+        jobs = context.statusTracker().getJobIdsForGroup("year")
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert got == brute_replay(scans.collect())
+    assert sum(1 - h for h in got.values()) > 7000 and 0 < len(jobs) < 20
 
 
-@pytest.mark.parametrize("hot_rows", [replay.HOT_ROWS, 100])
-def test_stream_batches_continue_the_replay(spark, hot_rows):
+def test_stream_batches_continue_the_replay(spark):
     scans = skewed_scans(spark, 1500)
     root, out = workspace(spark, "batches"), {}
     cut = F.pmod(F.unix_seconds("ts"), F.lit(1 << 40))
@@ -61,13 +110,94 @@ def test_stream_batches_continue_the_replay(spark, hot_rows):
     for i in range(3):
         lo = ends[0] + i * step
         batch = scans.where((cut >= lo) & (cut < lo + step))
-        done = replay_batch(batch, i, root, hot_rows=hot_rows)
+        done = replay_batch(batch, i, root)
         out.update(as_dict(done))
         if i == 1:  # a batch that runs again gives the same result
-            assert as_dict(replay_batch(batch, i, root, hot_rows=hot_rows)) == as_dict(done)
+            assert as_dict(replay_batch(batch, i, root)) == as_dict(done)
     assert out == brute_replay(scans.collect())
 
 
+def fed(spark, parts):
+    """A stream of the tables, one after the other, a table per micro-batch."""
+    path = workspace(spark, "fed")
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def brute_stream(batches):
+    """Batch by batch; scans before the newest time of earlier batches only look."""
+    entry, out, seen = {}, {}, None
+    for rows in batches:
+        at = lambda r: r["ts"].timestamp()
+        late = [r for r in rows if seen is not None and at(r) < seen]
+        for r in late:
+            e = entry.get(r["url_hash"])
+            out[r["scan_id"]] = int(e is not None and e[0] <= at(r) <= e[1])
+        for r in sorted((r for r in rows if r not in late), key=lambda r: (r["ts"], r["scan_id"])):
+            e = entry.get(r["url_hash"])
+            hit = e is not None and at(r) <= e[1]
+            if not hit:
+                entry[r["url_hash"]] = (at(r), at(r) + r["ttl"])
+            out[r["scan_id"]] = int(hit)
+        seen = max([at(r) for r in rows] + ([seen] if seen is not None else []))
+    return out
+
+
+def state_bytes(root, version):
+    return sum(f.stat().st_size for f in Path(root, "checkpoint/state").rglob(f"{version}*.changelog"))
+
+
+def test_state_store_follows_the_keys_of_a_batch(spark):
+    """Seven batches, some out of order: hits as by a plain replay, few bytes for few keys, timers end entries."""
+    base = 1704067200
+    def part(ids, key, at, ttl=3600):
+        return ids.select(F.col("id").alias("scan_id"), key.alias("url_hash"), F.timestamp_seconds(at).alias("ts"), F.lit(ttl).alias("ttl"))
+
+    key = F.concat(F.lit("k"), F.pmod(F.xxhash64("id"), F.lit(3000)).cast("string"))
+    few = F.concat(F.lit("k"), (F.col("id") % 20).cast("string"))
+    at = lambda lo, width: F.lit(base + lo) + F.pmod(F.xxhash64(F.col("id"), F.lit(1)), F.lit(width))
+    parts = [part(spark.range(0, 8000), key, at(0, 1800)), part(spark.range(8000, 8100), few, at(2000, 600)),
+             part(spark.range(8100, 8200), few, at(1000, 1700)), part(spark.range(8200, 8300), few, at(2700, 3000)),
+             part(spark.range(8300, 8400), few, at(1500, 5000)), part(spark.range(8400, 8500), few, at(9000, 600)),
+             part(spark.range(8500, 8600), few, at(30000, 10))]
+    root = workspace(spark, "store")
+    query = start_ttl_stream(fed(spark, parts), root, buckets=1 << 20)
+    query.awaitTermination()
+    got = as_dict(spark.read.parquet(f"{root}/out"))
+    assert got == brute_stream([p.collect() for p in parts])
+    written = [state_bytes(root, v) for v in range(1, 5)]
+    assert written[0] > 50_000 and max(written[1:]) < written[0] / 10
+    kept = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert max(kept) > 2500 and kept[-1] <= 20  # timers dropped the entries no scan can hit
+
+
+def test_late_scans_and_rows_without_a_time_on_the_stream(spark):
+    schema = "scan_id long, at string, url_hash string, ttl int"
+    def part(*rows):
+        return spark.createDataFrame(rows, schema).selectExpr("scan_id", "cast(at as timestamp) as ts", "url_hash", "ttl")
+
+    parts = [part((1, "2024-01-01 00:00:10", "a", 60)),
+             part((2, "2024-01-01 00:00:09", "a", 60), (3, "2024-01-01 00:00:11", "a", 60), (4, "2024-01-01 00:00:09", "b", 60),
+                  (5, None, "a", 60)),
+             part((6, "2024-01-01 00:00:10.5", "a", 60), (7, "2024-01-01 00:00:10.5", None, 60))]
+    root = workspace(spark, "late-stream")
+    start_ttl_stream(fed(spark, parts), root).awaitTermination()
+    assert as_dict(spark.read.parquet(f"{root}/out")) == {1: 0, 2: 0, 3: 1, 4: 0, 5: 0, 6: 1, 7: 0}
+
+
+def test_a_stream_that_starts_again_goes_on(spark):
+    scans = skewed_scans(spark, 600)
+    cut = F.unix_seconds("ts")
+    middle = scans.agg(F.avg(cut)).first()[0]
+    parts, root = [scans.where(cut < middle), scans.where(cut >= middle)], workspace(spark, "again")
+    path = workspace(spark, "again-fed")
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(path)
+        start_ttl_stream(spark.readStream.schema(scans.schema).parquet(path), root, buckets=5).awaitTermination()
+    assert as_dict(spark.read.parquet(f"{root}/out")) == brute_replay(scans.collect())
+
+
 def test_late_rows_read_the_state(spark):
     root = workspace(spark, "late")
     rows = spark.sql("""select 1L as scan_id, timestamp'2024-01-01 00:00:10' as ts, 'a' as url_hash, 60 as ttl""")

@@ -66,8 +66,8 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             delete_folder(spark, path)
 
 
-def workspace(spark: SparkSession, name: str) -> str:
-    """A fresh folder for one job's tables, below the shared folder of the cluster."""
+def shared_root(spark: SparkSession) -> str:
+    """The folder that all executors reach; on a local master without one, a fresh folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
@@ -76,7 +76,12 @@ def workspace(spark: SparkSession, name: str) -> str:
         if app not in _LOCAL_ROOT:
             _LOCAL_ROOT[app] = tempfile.mkdtemp(prefix="urlwarden-", dir="/tmp")
         root = _LOCAL_ROOT[app]
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    return root.rstrip("/")
+
+
+def workspace(spark: SparkSession, name: str) -> str:
+    """A fresh folder for one job's tables, below the shared folder of the cluster."""
+    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     if _SCRATCH:
         _SCRATCH[-1].append(path)
     return path
@@ -87,3 +92,11 @@ def materialise(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) ->
     path = workspace(df.sparkSession, name)
     df.write.partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Write the rows as they lie in their partitions: partitions and their order stay what they are."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_root(df.sparkSession))
+    return df.checkpoint()
