@@ -8,9 +8,10 @@ confirmation and connected components.
 3. A node goes to one bucket per band. In a bucket every member is held against one pivot, never
    all against all: first by signatures, then on full sets. The pivots differ from band to band,
    so groups of near copies hang together after one round.
-4. What a pivot could not decide is members of different components in one bucket. The members
-   outside the pivot's component are held against all of that component and against each other,
-   block by block: signatures first, then full sets. Only links that join components leave a task.
+4. What the pivots could not decide is members of different components in one bucket. The members
+   outside its most frequent component are held against all of that component and against each
+   other, block by block: signatures first, then full sets. Only links that join components leave
+   a task.
 
 Nothing is capped or dropped. Two sets of similarity 0.8 share no band of 5 minima in 32 with a
 chance of 3e-6, and fail the signature test with one of 2e-7.
@@ -228,6 +229,11 @@ def _links_in_blocks(members: DataFrame, visitors: DataFrame, nodes: DataFrame,
     return full.groupBy("kind", "group", "block", "lane").applyInPandas(run, "u long, v long")
 
 
+def _of_several(rows: DataFrame) -> DataFrame:
+    """Keys of rows (key, c) with more than one component."""
+    return rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("key")
+
+
 def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs (doc_id, text, any others).
 
@@ -259,13 +265,18 @@ def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
     links = materialise(_confirmed(best, docs, p).union(ties), "links")
     labels = materialise(connected_components(links), "labels")
 
-    # Round 2: members whose pivot is in another component, against that component and each other.
-    known = _labelled(members.select("key", "id", "pivot"), labels, "id", "c").withColumnRenamed("pivot", "y")
-    outside = materialise(_labelled(known, labels, "y", "pc").where("c != pc").select("key", "id", "c", "pc"), "outside")
-    visits = materialise(outside.select("id", "c", F.col("pc").alias("group")).distinct().withColumn("kind", F.lit(1)), "visits")
+    # Round 2, where a bucket has members of several components: those outside its most frequent
+    # one against that component and each other.
+    known = materialise(_labelled(members.select("key", "id"), labels, "id", "c"), "known")
+    opened = materialise(known.join(_of_several(known), "key", "left_semi"), "open")
+    hosted = (opened.groupBy("key", "c").agg(F.count("*").alias("size")).groupBy("key")
+              .agg(F.max_by("c", F.struct("size", -F.col("c"))).alias("host")))
+    outside = materialise(opened.join(hosted, "key").where("c != host"), "outside")
+    visits = materialise(outside.select("id", "c", F.col("host").alias("group")).distinct().withColumn("kind", F.lit(1)), "visits")
     everyone = _labelled(nodes.select("id"), labels, "id", "group").withColumn("c", F.col("group"))
     hosts = everyone.join(visits.select("group").distinct(), "group", "left_semi").withColumn("kind", F.lit(1))
-    peers = outside.select("id", "c", F.col("key").alias("group")).withColumn("kind", F.lit(0))
+    peers = outside.join(_of_several(outside), "key", "left_semi").select(
+        "id", "c", F.col("key").alias("group")).withColumn("kind", F.lit(0))
     found = _links_in_blocks(hosts.unionByName(peers), visits.unionByName(peers), nodes, docs, p)
     more = _labelled(_labelled(found, labels, "u", "cu"), labels, "v", "cv")
     joined = connected_components(more.select(F.col("cu").alias("u"), F.col("cv").alias("v")))
