@@ -42,6 +42,23 @@ def pattern_match(domain: Column) -> Column:
     return F.rlike(domain, F.lit(TRUSTED_PATTERN))
 
 
+def suffix_match(hosts: DataFrame, suffixes: DataFrame, host: str = "domain") -> DataFrame:
+    """Add ``suffix``: the longest of suffixes (suffix) that is the host or the end of it behind a dot.
+
+    Each distinct host meets the table by its own label suffixes, an equi-join, so the cost follows
+    the labels and not the number of patterns. Hosts of all rows are told apart first; a null host,
+    or one no suffix fits, gets null. Suffixes are compared lower-cased, with outer dots and blanks off.
+    """
+    clean = F.lower(F.regexp_replace("suffix", r"^[\s.]+|[\s.]+$", ""))
+    table = suffixes.select(clean.alias("suffix")).where("suffix <> ''").distinct()
+    labels = F.split(F.lower("_host"), r"\.")
+    ends = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    distinct = hosts.select(F.col(host).alias("_host")).where("_host IS NOT NULL").distinct()
+    found = (distinct.select("_host", F.explode(ends).alias("suffix")).join(table, "suffix")
+             .groupBy("_host").agg(F.max_by("suffix", F.length("suffix")).alias("suffix")))
+    return hosts.join(found, hosts[host] == found["_host"], "left").drop("_host")
+
+
 def _in_list(column: str, domains: list[str]) -> Column:
     return F.expr(f"{column} IN ({', '.join(map(quoted, domains))})")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 VERDICTS = ["MALICIOUS", "SAFE", "SUSPICIOUS"]
+TIERS = [("Tier-3", "tier3_whitelist"), ("Tier-1", "tier1_redis_cache"), ("Tier-2", "tier2_nlp_ensemble")]
 
 
 def recent(log: DataFrame, n: int = 50) -> DataFrame:
@@ -36,13 +37,32 @@ def stats(log: DataFrame, recent_rows: int | None = None) -> DataFrame:
     if recent_rows is not None:
         log = recent(log, recent_rows)
     per_verdict = [F.count_if(F.col("verdict") == v).alias(f"{v.lower()}_count") for v in VERDICTS]
-    per_tier = [F.count_if(F.contains("source", F.lit(t))).alias(name) for t, name in [
-        ("Tier-3", "tier3_whitelist"), ("Tier-1", "tier1_redis_cache"), ("Tier-2", "tier2_nlp_ensemble")]]
+    per_tier = [F.count_if(F.contains("source", F.lit(t))).alias(name) for t, name in TIERS]
     return log.agg(F.count("*").alias("total_scans"), *per_verdict,
                    F.round(F.coalesce(F.avg("latency"), F.lit(0.0)), 3).alias("avg_latency_ms"),
                    *per_tier)
 
 
+def stats_of_sums(sums: DataFrame) -> DataFrame:
+    """The result of ``stats`` from the stored sums of a log."""
+    def count(when: Column) -> Column:
+        return F.coalesce(F.sum(F.when(when, F.col("n"))), F.lit(0)).cast("long")
+
+    per_verdict = [count(F.col("verdict") == v).alias(f"{v.lower()}_count") for v in VERDICTS]
+    per_tier = [count(F.contains("source", F.lit(t))).alias(name) for t, name in TIERS]
+    mean = F.sum("latency") / F.sum("timed")
+    return sums.agg(count(F.lit(True)).alias("total_scans"), *per_verdict,
+                    F.round(F.coalesce(mean, F.lit(0.0)), 3).alias("avg_latency_ms"), *per_tier)
+
+
+def verdict_counts_of_sums(sums: DataFrame) -> DataFrame:
+    return sums.groupBy("verdict").agg(F.sum("n").alias("n"))
+
+
+def tier_counts_of_sums(sums: DataFrame) -> DataFrame:
+    return sums.groupBy(tier(F.col("source")).alias("tier")).agg(F.sum("n").alias("n"))
+
+
 def stats_v3(log: DataFrame) -> DataFrame:
     return log.agg(F.count("*").alias("total_scans"),
                    F.count_if(F.col("verdict") == "MALICIOUS").alias("malicious_detected"),

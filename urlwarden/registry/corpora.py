@@ -11,6 +11,7 @@ from urlwarden.functions.risk import score
 from urlwarden.functions.text import literals, text_features
 from urlwarden.operators import verdicts
 from urlwarden.plans import scan as scan_plan
+from urlwarden.session import fingerprint_of, scratch, shared
 
 TEMPLATES = V.BENIGN_URLS + V.PHISHING_URLS
 HOST_TLDS = [".com", ".xyz", ".top", ".tk", ".ru", ".cn", ".info", ".org", ".net", ".io",
@@ -144,6 +145,27 @@ def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(200).alias("http_status"), "forensics")
 
 
+def stored_log(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of the scan log with its sums: written once, read by every report."""
+    from urlwarden.sources.telemetry_store import append_log
+
+    def build(path: str) -> None:
+        with scratch(spark):
+            append_log(telemetry(spark, sf_dir), path)
+
+    return shared(spark, f"log-{fingerprint_of(spark, f'{sf_dir}/events.parquet')}", build)
+
+
+def ip_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Address ranges (lo, hi, owner) that lie in and across each other, from nations and suppliers."""
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("k"), F.col("n_name").alias("owner"))
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("k"), F.col("s_name").alias("owner"))
+    first = F.element_at(F.array(*[F.lit(int(p[:-1]) << 24).cast("long") for p in IP_PREFIXES]), (F.col("k") % 4 + 1).cast("int"))
+    wide = n.select((first + F.col("k") * 3).alias("lo"), (first + F.col("k") * 3 + 60 - F.col("k")).alias("hi"), "owner")
+    small = s.select((first + F.col("k") * 7 % 90).alias("lo"), (first + F.col("k") * 7 % 90 + F.col("k") % 11).alias("hi"), "owner")
+    return wide.unionByName(small)
+
+
 def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled payloads: document text features and the toxicity label as target."""
     d = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars"))

@@ -372,6 +372,21 @@ NETWORK = f"""coalesce(d.ip, {q(NET['no_ip'])}) as resolved_ip,
       when starts_with(d.ip, '104.') or starts_with(d.ip, '172.') then {q(V.ASN_BY_PREFIX[0][1])}
       when starts_with(d.ip, '185.') or starts_with(d.ip, '192.') then {q(V.ASN_BY_PREFIX[1][1])}
       else printf({q(NET['resolved'])}, d.ip) end as asn_owner"""
+RANGES = f"""nets as (
+  select {[int(p[:-1]) for p in IP_PREFIXES]}[n_nationkey % 4 + 1] * 16777216::bigint + n_nationkey * 3 as lo, lo + 60 - n_nationkey as hi,
+    n_name as owner from nation
+  union all select {[int(p[:-1]) for p in IP_PREFIXES]}[s_suppkey % 4 + 1] * 16777216::bigint + s_suppkey * 7 % 90 as lo, lo + s_suppkey % 11 as hi,
+    s_name from supplier),
+ips as (
+  select distinct ip, split_part(ip, '.', 1)::bigint * 16777216 + split_part(ip, '.', 2)::bigint * 65536
+    + split_part(ip, '.', 3)::bigint * 256 + split_part(ip, '.', 4)::bigint as ip_number from dns),
+owned as (
+  select ip, ip_number, (select owner from nets where ip_number between lo and hi order by hi - lo, lo, owner limit 1) as owner from ips)"""
+SUFFIXES = """suffixes as (
+  select distinct trim(regexp_replace(lower(regexp_extract(url, '//([^/?#:]*)', 1)), '^[^.]*\\.', ''), ' .') as suffix from pages),
+ended as (
+  select h.domain, max_by(s.suffix, length(s.suffix)) as suffix from (select distinct domain from p) h
+  join suffixes s on s.suffix <> '' and (lower(h.domain) = s.suffix or ends_with(lower(h.domain), '.' || s.suffix)) group by 1)"""
 LOG = REPLAY + "," + cascade("replayed", "rhit = 1", "results", "verdict", "risk_score") + f""", {DNS},
 log as (
   select r.scan_id as id, r.url, r.verdict, r.source, r.risk_score, r.latency, r.ts as timestamp,
@@ -486,6 +501,7 @@ def oracle_sql() -> dict[str, str]:
             group by label, n_urls having min(distance) >= 1"""),
         "lure_counts": with_(ALL_V4, "select t.c as category, t.k as keyword, count(*) as n from (select unnest(lures) as t from f) group by all"),
         "allow_match": with_(ALL_PARTS + "," + ONE_PAGE_ALLOW, f"select {ID}, (case when domain in (select domain from allow) or apex in (select domain from allow) then 1 else 0 end) as listed from p"),
+        "allow_suffix": with_(ALL_PARTS + "," + SUFFIXES, f"select {ID}, e.suffix from p left join ended e on e.domain = p.domain"),
         "allow_pattern": with_(ALL_PARTS, f"select {ID}, {trusted('domain')}::int as trusted from p"),
         "allow_guard": with_(ALL_PARTS, f"select {ID}, domain from p where not {guarded('domain')}"),
         "allow_decision": with_(ALL_PARTS, f"select {ID}, {allowed('domain', 'apex')}::int as allowed from p"),
@@ -527,6 +543,8 @@ def oracle_sql() -> dict[str, str]:
             y as (select doc_id, pos, case when u = '' then 'blank url' when contains(n, '[') <> contains(n, ']') then 'unbalanced brackets in host'
               when contains(n, '[') and not fine then 'bad address in brackets' end as reason from f)
             select doc_id, pos::int as pos, reason from y where reason is not null""",
+        "enrich_asn_ranges": with_(SCANS + "," + DNS + "," + RANGES, f"""select s.scan_id, coalesce(d.ip, {q(NET['no_ip'])}) as resolved_ip, n.owner
+          from scans s left join dns d on d.host = lower({HOST.format(u=f'trim(s.url, {WS})')}) left join owned n on n.ip = d.ip"""),
         "enrich_asn": with_(SCANS + "," + DNS, f"select s.scan_id, {NETWORK} from scans s left join dns d on d.host = lower({HOST.format(u=f'trim(s.url, {WS})')})"),
         "mitre_tags": with_(ALL_V4 + "," + exploded(TECHNIQUES), f"select {ID}, pos::int as pos, t.id as technique_id, t.name as technique from y"),
         "indicators": with_(ALL_V4 + "," + exploded(INDICATORS), f"select {ID}, pos::int as pos, t as text from y"),

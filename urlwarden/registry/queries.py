@@ -12,7 +12,7 @@ from urlwarden.functions.lexical import PROFILES, feature_vector, url_features
 from urlwarden.functions.risk import score, ttl_seconds
 from urlwarden.functions.text import literals, unnest
 from urlwarden.operators import (allowlist, forensics, lookalikes, metrics, neighbours, ngrams,
-                                 outliers, resample, scaling, split, telemetry, verdicts)
+                                 outliers, ranges, resample, scaling, split, telemetry, verdicts)
 from urlwarden.operators.network import enrich_network
 from urlwarden.operators.replay import ttl_replay
 from urlwarden.plans import prepare, train
@@ -195,6 +195,13 @@ def allow_pattern(spark, sf):
     return _decided(spark, sf).select(*KEY, F.col("trusted").cast("int").alias("trusted"))
 
 
+def allow_suffix(spark, sf):
+    """Hosts that end like a page host without its first label."""
+    host = F.lower(F.regexp_extract("url", "//([^/?#:]*)", 1))
+    pages = C.page_urls(spark, sf).select(F.regexp_replace(host, r"^[^.]*\.", "").alias("suffix"))
+    return allowlist.suffix_match(U.with_domain(U.with_url_parts(C.all_urls(spark, sf))), pages).select(*KEY, "suffix")
+
+
 def allow_guard(spark, sf):
     return _decided(spark, sf).where(~F.col("guarded")).select(*KEY, "domain")
 
@@ -335,6 +342,12 @@ def enrich_asn(spark, sf):
     return df.select("scan_id", "resolved_ip", "asn_owner")
 
 
+def enrich_asn_ranges(spark, sf):
+    scans = enrich_network(C.scan_requests(spark, sf), C.dns(spark, sf)).select("scan_id", "resolved_ip")
+    found = ranges.match_ranges(scans.withColumn("ip_number", ranges.ip_number(F.col("resolved_ip"))), C.ip_ranges(spark, sf))
+    return found.select("scan_id", "resolved_ip", "owner")
+
+
 # ---- forensics --------------------------------------------------------------
 
 def _scored(spark, sf) -> DataFrame:
@@ -381,7 +394,7 @@ def technique_report(spark, sf):
 
 
 def incident_report(spark, sf):
-    log = C.telemetry(spark, sf)
+    log = telemetry_store.read_log(spark, C.stored_log(spark, sf))
     text = forensics.incident_report(F.col("url"), F.col("verdict"), F.col("risk_score"), F.col("source"))
     return log.select("id", text.alias("report"))
 
@@ -391,38 +404,42 @@ def incident_report(spark, sf):
 LOG = ["id", "url", "verdict", "source", "risk_score", "latency", "timestamp", "resolved_ip", "asn_owner"]
 
 
+def _sums(spark, sf) -> DataFrame:
+    return telemetry_store.read_sums(spark, C.stored_log(spark, sf))
+
+
 def log_recent(spark, sf):
-    return telemetry.recent(C.telemetry(spark, sf).select(*LOG), 50)
+    return telemetry_store.newest(spark, C.stored_log(spark, sf), 50).select(*LOG)
 
 
 def log_detail(spark, sf):
-    return telemetry.log_detail(C.telemetry(spark, sf).select(*LOG))
+    return telemetry.log_detail(telemetry_store.read_log(spark, C.stored_log(spark, sf)).select(*LOG))
 
 
 def stats_recent(spark, sf):
-    return telemetry.stats(C.telemetry(spark, sf), recent_rows=200)
+    return telemetry.stats(telemetry_store.newest(spark, C.stored_log(spark, sf), 200))
 
 
 def stats_all(spark, sf):
-    return telemetry.stats(C.telemetry(spark, sf))
+    return telemetry.stats_of_sums(_sums(spark, sf))
 
 
 def verdict_counts(spark, sf):
-    return telemetry.verdict_counts(C.telemetry(spark, sf))
+    return telemetry.verdict_counts_of_sums(_sums(spark, sf))
 
 
 def tier_counts(spark, sf):
-    return telemetry.tier_counts(C.telemetry(spark, sf))
+    return telemetry.tier_counts_of_sums(_sums(spark, sf))
 
 
 def log_json(spark, sf):
-    return telemetry.log_json(C.telemetry(spark, sf),
+    return telemetry.log_json(telemetry_store.read_log(spark, C.stored_log(spark, sf)),
                               ["id", "url", "verdict", "source", "resolved_ip", "asn_owner", "http_status"])
 
 
 def log_json_back(spark, sf):
     """Every column of the log through JSON and back."""
-    log = C.telemetry(spark, sf)
+    log = telemetry_store.read_log(spark, C.stored_log(spark, sf)).drop("scan_date")
     rows = telemetry.log_json(log, log.columns)
     back = telemetry.read_log_json(rows, log.schema)
     return back.select(*LOG, "http_status", F.col("forensics.summary").alias("summary"),
@@ -655,10 +672,10 @@ src_labeled_urls src_template_corpus src_custom_allowlist sink_telemetry dataset
 url_canonical url_hash url_parts allow_domain network_host apex_domain
 feat_v4_ratios feat_v4_structure feat_entropy feat_brand feat_lures feat_homograph feat_dga
 feat_vector_v4 feat_train10 feat_v3_17 feat_payload brand_lookalikes brand_table lure_counts
-allow_match allow_pattern allow_guard allow_decision allow_decision_strict allow_rejects allow_add
+allow_match allow_pattern allow_suffix allow_guard allow_decision allow_decision_strict allow_rejects allow_add
 allow_stats allow_decision_v3
 cache_lookup cache_upsert cache_purge cache_expire cache_stats cache_ttl_replay batch_first_seen
-risk_heuristic risk_verdict scan_cascade scan_batch scan_rejects enrich_asn
+risk_heuristic risk_verdict scan_cascade scan_batch scan_rejects enrich_asn enrich_asn_ranges
 mitre_tags indicators playbook_actions threat_summary xai_attribution forensic_metrics mitre_rollup
 incident_report technique_report
 log_recent log_detail stats_recent stats_all verdict_counts tier_counts log_json log_json_back

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -79,6 +80,27 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_SHARED: dict[tuple[str, str], str] = {}
+
+
+def shared(spark: SparkSession, name: str, build: Callable[[str], None]) -> str:
+    """The folder of a table that jobs of one application share: built by the first that asks for it."""
+    key = (spark.sparkContext.applicationId, name)
+    if key not in _SHARED:
+        path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        build(path)
+        _SHARED[key] = path
+    return _SHARED[key]
+
+
+def fingerprint_of(spark: SparkSession, path: str) -> str:
+    """Sizes and times of the files of a table, so that a table written anew is told from the old one."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = place.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(place)
+    told = sorted(f"{f.getPath().getName()} {f.getLen()} {f.getModificationTime()}" for f in found)
+    return hashlib.sha256("\n".join([path, *told]).encode()).hexdigest()[:16]
+
+
 def workspace(spark: SparkSession, name: str) -> str:
     """A fresh folder for one job's tables, below the shared folder of the cluster."""
     path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
