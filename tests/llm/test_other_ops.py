@@ -108,6 +108,27 @@ def pages(spark, n=200):
     return spark.createDataFrame([*rows, (None, None, None), (6, "again", ""), (6, "again", "")], PAGES)
 
 
+def test_archives_without_files(spark, tmp_path):
+    none = spark.createDataFrame([], "page_id long, url string, html string")
+    assert fixity.drill(none, lambda record, text: text).collect() == []
+    a, b, c = (str(tmp_path / x) for x in "abc")
+    fixity.write_archive(pages(spark), a, shard_pages=40)
+    fixity.copy_archive(spark, a, b, lambda record, text: None)  # loses every record and so every shard
+    lost = fixity.audit(spark, a, b).collect()
+    assert {r["kind"] for r in lost} == {"missing"} and len(lost) == pages(spark).count()
+    assert {r["kind"] for r in fixity.audit(spark, b, a).collect()} == {"extra"}
+    fixity.copy_archive(spark, b, c)
+    assert fixity.audit(spark, b, c).collect() == []
+
+
+def test_copy_of_a_record_without_an_id(spark, tmp_path):
+    a, b = str(tmp_path / "a"), str(tmp_path / "b")
+    record = "WARC/1.0\r\nWARC-Type: resource\r\nContent-Length: 2\r\n\r\nhi"
+    fixity._write(spark.createDataFrame([(0, 0, record)], "shard long, pos long, value string"), a)
+    fixity.copy_archive(spark, a, b, lambda name, text: text if name == "" else None)
+    assert fixity.audit(spark, a, b).collect() == []
+
+
 def test_archive_holds_the_pages(spark, tmp_path):
     path = str(tmp_path / "a")
     fixity.write_archive(pages(spark), path, shard_pages=16)

@@ -99,6 +99,12 @@ FINDINGS = "shard long, idx long, record string, first long, last long, kind str
 NODES = "shard long, level int, idx long, first long, last long, digest string, record string"
 
 
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    """(shard, content) of each file below path; a folder without files gives no rows."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return files.select(F.regexp_extract("path", "shard=([0-9]+)", 1).cast("long").alias("shard"), "content")
+
+
 def archive_tree(spark: SparkSession, path: str) -> tuple[DataFrame, list[DataFrame]]:
     """(nodes inside shards, levels above them). A level is (idx, digest); the first has the shards'
     roots, the last the archive's."""
@@ -109,8 +115,7 @@ def archive_tree(spark: SparkSession, path: str) -> tuple[DataFrame, list[DataFr
                     for node in shard_tree(gzip.decompress(content))]
             yield pd.DataFrame(rows, columns=[f.split()[0] for f in NODES.split(", ")])
 
-    files = spark.read.format("binaryFile").load(path).select(F.col("shard").cast("long").alias("shard"), "content")
-    nodes = materialise(files.mapInPandas(run, NODES), "tree")
+    nodes = materialise(_files(spark, path).mapInPandas(run, NODES), "tree")
     top = nodes.groupBy("shard").agg(F.max_by("digest", "level").alias("digest"))
     levels = [materialise(top.select(F.col("shard").alias("idx"), "digest"), "level")]
     while levels[-1].limit(2).count() > 1:
@@ -170,7 +175,8 @@ def _raised(level: DataFrame) -> DataFrame:
 
 def copy_archive(spark: SparkSession, source: str, target: str, damage=None) -> None:
     """Copy an archive record by record. damage(record id, record text) may return another text, or
-    None to lose the record: a drill for the audit."""
+    None to lose the record: a drill for the audit. A record without an id has the id ''. An archive
+    without files gives a copy without files, and so does one that loses all records."""
 
     def run(frames):
         for pdf in frames:
@@ -179,17 +185,18 @@ def copy_archive(spark: SparkSession, source: str, target: str, damage=None) ->
                 for start, end in split_records(data):
                     text = data[start : end - 4].decode("utf-8", "replace")
                     if damage:
-                        text = damage(re.search(r"WARC-Record-ID: <([^>\r\n]*)>", text)[1], text)
+                        name = re.search(r"WARC-Record-ID: <([^>\r\n]*)>", text)
+                        text = damage(name[1] if name else "", text)
                     if text is not None:
                         values.append(text)
-                yield pd.DataFrame({"shard": shard, "pos": range(len(values)), "value": values})
+                if values:
+                    yield pd.DataFrame({"shard": shard, "pos": range(len(values)), "value": values})
 
-    files = spark.read.format("binaryFile").load(source).select(F.col("shard").cast("long").alias("shard"), "content")
-    _write(files.mapInPandas(run, "shard long, pos long, value string"), target)
+    _write(_files(spark, source).mapInPandas(run, "shard long, pos long, value string"), target)
 
 
 def drill(pages: DataFrame, damage, shard_pages: int = 4096) -> DataFrame:
-    """Archive the pages, copy the archive with damage, and audit the copy."""
+    """Archive the pages, copy the archive with damage, and audit the copy. No pages, no rows."""
     spark = pages.sparkSession
     original, replica = workspace(spark, "warc"), workspace(spark, "warc")
     write_archive(pages, original, shard_pages)

@@ -39,7 +39,8 @@ BROADCAST_IDS = 1_000_000  # ids, 8 MB: the most that is broadcast; beyond it th
 
 @dataclass(frozen=True)
 class Params:
-    """k words make a shingle; texts link at `percent` of the union or more."""
+    """k words make a shingle; texts link at `percent` of the union or more. With `lower` all letters
+    are lower-cased, else A-Z."""
 
     k: int = 5
     percent: int = 80
@@ -47,6 +48,7 @@ class Params:
     rows: int = 5
     block: int = 512
     seed: int = 20240101
+    lower: bool = False
 
     @property
     def minima(self) -> int:
@@ -59,11 +61,11 @@ class Params:
         return p - 5 * (p * (1 - p) / self.minima) ** 0.5
 
 
-def text_sets(texts: list[str | None], k: int) -> Iterator[np.ndarray]:
+def text_sets(texts: list[str | None], p: Params) -> Iterator[np.ndarray]:
     """Sorted distinct shingle hashes of each whole text."""
-    w = words_of(texts)
+    w = words_of([t and t.lower() for t in texts] if p.lower else texts)
     for a, b in zip(w.bounds[:-1], w.bounds[1:]):
-        yield np.unique(shingle_hashes(w.hash[a:b], k))
+        yield np.unique(shingle_hashes(w.hash[a:b], p.k))
 
 
 def signature(shingles: np.ndarray, factor: np.ndarray, shift: np.ndarray) -> np.ndarray:
@@ -84,7 +86,7 @@ def sketches(docs: DataFrame, p: Params) -> DataFrame:
         shift = rng.integers(0, 1 << 32, p.minima, dtype=np.uint32)
         for part in slices(batches, SLICE):
             n, a, b, sig = [], [], [], []
-            for s in text_sets(part.column(1).to_pylist(), p.k):
+            for s in text_sets(part.column(1).to_pylist(), p):
                 n.append(len(s))
                 a.append(int(s.sum().astype(np.int64)) if len(s) else None)
                 b.append(int(mix(s ^ np.uint64(p.seed)).sum().astype(np.int64)) if len(s) else None)
@@ -146,7 +148,7 @@ def _full_sets(ids: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
 
     def run(batches):
         for part in slices(batches, SLICE):
-            sets = [s.view(np.int64) for s in text_sets(part.column(1).to_pylist(), p.k)]
+            sets = [s.view(np.int64) for s in text_sets(part.column(1).to_pylist(), p)]
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
 

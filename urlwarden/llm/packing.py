@@ -12,7 +12,7 @@ whatever its sources are, and a source or cluster with a third of all rows is sp
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -77,7 +77,7 @@ def pack(pieces: pd.DataFrame, capacity: int) -> pd.DataFrame:
 
 def near_clusters(docs: DataFrame, key: str, near: near_dups.Params) -> DataFrame:
     """(key, component): the keys of docs (key, text) whose near-duplicate component has a smaller key."""
-    found = near_dups.near_duplicates(docs.select(F.col(key).alias("doc_id"), F.lower("text").alias("text")), near)
+    found = near_dups.near_duplicates(docs.select(F.col(key).alias("doc_id"), "text"), replace(near, lower=True))
     return (found.where("n_shingles > 0 AND component_id != doc_id").groupBy(F.col("doc_id").alias(key))
             .agg(F.min("component_id").alias("component")))
 
@@ -99,13 +99,13 @@ def packed(docs: DataFrame, p: Params = Params(), cluster: str | None = None, ne
     plain = F.trim(F.regexp_replace(F.lower(text), r"[\x20\x09-\x0D]+", " "))
     own = F.col(cluster).cast("string") if cluster else F.when(words > 0, F.xxhash64(plain).cast("string"))
     doc_id = F.col("doc_id").cast("long")
-    key = F.when(words > 0, F.coalesce(doc_id, F.shiftrightunsigned(F.xxhash64(plain), 2).bitwiseOR(F.lit(1 << 62))))
+    key = F.coalesce(doc_id, F.shiftrightunsigned(F.xxhash64(plain), 2).bitwiseOR(F.lit(1 << 62)))
     items = docs.select(
         doc_id.alias("doc_id"), words.cast("long").alias("words"),
-        F.col("source").cast("string").alias("source"), (key if near else own).alias("cluster"),
+        F.col("source").cast("string").alias("source"), (F.when(words > 0, key) if near else own).alias("cluster"),
         F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), text)).alias("deal"))
     if near:  # words are counted before the join, so no text is shuffled
-        found = near_clusters(docs.select(key.alias("cluster"), text.alias("text")).where("cluster IS NOT NULL"), "cluster", near)
+        found = near_clusters(docs.select(key.alias("cluster"), text.alias("text")), "cluster", near)
         items = items.join(found, "cluster", "left").withColumn("cluster", F.coalesce("component", "cluster").cast("string"))
     packs = max(1, -(-docs.count() // p.pack_docs))
     last = F.greatest(F.lit(0), F.ceil(F.col("words") / p.capacity) - 1).cast("int")
