@@ -34,6 +34,7 @@ from urlwarden.session import materialise
 
 SLICE = 128  # texts hashed together
 LANE_BLOCKS = 4  # blocks' worth of visitors that meet a block together
+TASK_ROWS = 512  # rows of small blocks and lanes that one call takes, on average
 BROADCAST_IDS = 1_000_000  # ids, 8 MB: the most that is broadcast; beyond it the join shuffles
 
 
@@ -204,31 +205,38 @@ def _links_in_blocks(members: DataFrame, visitors: DataFrame, nodes: DataFrame,
     sets = _full_sets(materialise(rows.select("id").distinct(), "ids"), docs, p)
     full = rows.join(nodes.select("id", "n", "signature"), "id").join(sets, "id")
 
+    cell = [*key, "block", "lane"]
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["visitor", "id"], kind="stable")
+        pdf = pdf.sort_values([*cell, "visitor", "id"], kind="stable")
         sig = np.frombuffer(b"".join(pdf["signature"]), dtype=np.uint32).reshape(len(pdf), -1)
         ids, n, comp, visitor, sets = (pdf[c].to_numpy() for c in ("id", "n", "c", "visitor", "shingles"))
-        once = pdf["kind"].iloc[0] == 0
-        members, found, joined = np.flatnonzero(~visitor), [], {}
-
-        def root(x):
-            while x in joined:
-                x = joined[x]
-            return x
-
-        for i in np.flatnonzero(visitor):
-            others = members[comp[members] != comp[i]]
-            for j in _like(sig, n, others[ids[others] < ids[i]] if once else others, i, p):
-                x, y = root(comp[i]), root(comp[j])
-                if x == y:
-                    continue
-                common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if common * 100 >= (len(sets[i]) + len(sets[j]) - common) * p.percent:
-                    joined[x] = y
-                    found.append((ids[i], ids[j]))
+        cells = pdf[cell].to_numpy()
+        cuts = np.flatnonzero((cells[1:] != cells[:-1]).any(axis=1)) + 1
+        found: list[tuple[int, int]] = []
+        for lo, hi in zip(np.r_[0, cuts], np.r_[cuts, len(pdf)]):
+            once, members, joined = cells[lo, 0] == 0, lo + np.flatnonzero(~visitor[lo:hi]), {}
+
+            def root(x):
+                while x in joined:
+                    x = joined[x]
+                return x
+
+            for i in lo + np.flatnonzero(visitor[lo:hi]):
+                others = members[comp[members] != comp[i]]
+                for j in _like(sig, n, others[ids[others] < ids[i]] if once else others, i, p):
+                    x, y = root(comp[i]), root(comp[j])
+                    if x == y:
+                        continue
+                    common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    if common * 100 >= (len(sets[i]) + len(sets[j]) - common) * p.percent:
+                        joined[x] = y
+                        found.append((ids[i], ids[j]))
         return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
 
-    return full.groupBy("kind", "group", "block", "lane").applyInPandas(run, "u long, v long")
+    # Most blocks are small, so some of them share a call.
+    calls = 1 + rows.count() // TASK_ROWS
+    return full.groupBy(F.pmod(F.xxhash64(*cell), F.lit(calls)).alias("call")).applyInPandas(run, "u long, v long")
 
 
 def _of_several(rows: DataFrame) -> DataFrame:

@@ -18,12 +18,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from urlwarden.llm import near_dups
 
-WORD = r"[^\x20\x09-\x0D]+"
-
-
 @dataclass(frozen=True)
 class Params:
     capacity: int = 2048
@@ -82,6 +80,12 @@ def near_clusters(docs: DataFrame, key: str, near: near_dups.Params) -> DataFram
             .agg(F.min("component_id").alias("component")))
 
 
+@F.pandas_udf(T.LongType())
+def word_count(texts: pd.Series) -> pd.Series:
+    """Longest pieces without blank, tab, line feed, vertical tab, form feed and carriage return."""
+    return pd.Series([0 if t is None else len(t.encode().split()) for t in texts], dtype="int64")
+
+
 def packed(docs: DataFrame, p: Params = Params(), cluster: str | None = None, near: near_dups.Params | None = None) -> DataFrame:
     """One row per piece: bin_id, slot, doc_id, piece, first_token, n_tokens, source, cluster.
 
@@ -95,13 +99,14 @@ def packed(docs: DataFrame, p: Params = Params(), cluster: str | None = None, ne
     pieces of their own. An empty table gives no rows.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    words = F.regexp_count(text, F.lit(WORD))
+    docs = docs.withColumn("_words", word_count(F.col("text").cast("string")))
+    words = F.col("_words")
     plain = F.trim(F.regexp_replace(F.lower(text), r"[\x20\x09-\x0D]+", " "))
     own = F.col(cluster).cast("string") if cluster else F.when(words > 0, F.xxhash64(plain).cast("string"))
     doc_id = F.col("doc_id").cast("long")
     key = F.coalesce(doc_id, F.shiftrightunsigned(F.xxhash64(plain), 2).bitwiseOR(F.lit(1 << 62)))
     items = docs.select(
-        doc_id.alias("doc_id"), words.cast("long").alias("words"),
+        doc_id.alias("doc_id"), words.alias("words"),
         F.col("source").cast("string").alias("source"), (F.when(words > 0, key) if near else own).alias("cluster"),
         F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), text)).alias("deal"))
     if near:  # words are counted before the join, so no text is shuffled
