@@ -65,6 +65,19 @@ def test_pieces_encode_as_the_whole_text(text):
     assert [x.tobytes() for x in e.encode_batch(texts)] == [e._ids(t or "") for t in texts]
 
 
+def test_held_pieces_survive_full_slots_and_a_full_cache(monkeypatch):
+    """Few slots, so that pieces share them, and a cache that overflows give the ids of whole texts."""
+    monkeypatch.setattr(wavelet, "SLOT_BITS", 3)
+    e = wavelet.PieceEncoder(tokenizer_path())
+    texts = [" ".join(f"word{'abcdefghij'[i % 10]}é{i % 37} and{'xyz'[i % 3]}" for i in range(n)) for n in range(1, 60)]
+    want = [e._ids(t) for t in texts]
+    for pieces in (10**6, 20):
+        monkeypatch.setattr(wavelet, "CACHE_PIECES", pieces)
+        for _ in range(2):
+            assert [x.tobytes() for i in range(0, 59, 7) for x in e.encode_batch(texts[i : i + 7])] == want
+    assert len(e.held) < 500
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.lists(st.integers(0, 65535), max_size=1500), st.integers(0, 3))
 def test_wavelet_against_lists(ids, pool):

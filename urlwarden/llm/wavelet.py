@@ -33,6 +33,8 @@ from urlwarden.llm.words import BLANK, slices, span_hashes
 END_ID = 2
 SHARD_TOKENS = 1 << 23
 CACHE_PIECES = 2_000_000
+CACHE_IDS = 8 * CACHE_PIECES
+SLOT_BITS = 20
 BLOCK_BITS = 512
 SLICE = 256  # texts cut together
 SHARD_SCHEMA = ("part int, seq int, n_tokens long, planes array<binary>, ranks array<binary>, zeros array<long>, "
@@ -94,8 +96,10 @@ def _byte_letters() -> dict[int, str]:
 
 
 class PieceEncoder:
-    """Encodes whole texts piece by piece. Words repeat, so the tokenizer encodes each once: at most
+    """Encodes whole texts piece by piece. Words repeat, so the tokenizer encodes each once: about
     CACHE_PIECES are held by their 64-bit hash, and a Python worker keeps them from task to task.
+    Their ids lie in one table. A slot for each start of a hash tells the piece met there last, so
+    most pieces of a batch are found by array lookups; the rest are looked up once each.
     A piece of letters is one word of the tokenizer's splitter and goes straight to its model."""
 
     kept: dict[str, PieceEncoder] = {}
@@ -116,7 +120,74 @@ class PieceEncoder:
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.model, self.letters = self.tokenizer.model, _byte_letters()
-        self.held: dict[int, bytes] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        """Start with no piece held: piece i has the ids begin[i]:begin[i] + size[i] of the table."""
+        self.held: dict[int, int] = {}
+        self.table, self.used = np.zeros(1 << 16, dtype="<u2"), 0
+        self.begin, self.size = np.zeros(1 << 14, dtype=np.int64), np.zeros(1 << 14, dtype=np.int64)
+        # An empty slot holds a key that belongs to its neighbour, so no piece is found there.
+        self.slot_key = (np.arange(1 << SLOT_BITS, dtype=np.uint64) ^ np.uint64(1)) << np.uint64(64 - SLOT_BITS)
+        self.slot_piece = np.zeros(1 << SLOT_BITS, dtype=np.int64)
+
+    @staticmethod
+    def _grown(values: np.ndarray, n: int) -> np.ndarray:
+        if n <= len(values):
+            return values
+        out = np.zeros(max(n, 2 * len(values)), dtype=values.dtype)
+        out[: len(values)] = values
+        return out
+
+    def _learn(self, keys: list[int], pieces: list[bytes]) -> np.ndarray:
+        """Encode new pieces of plain texts and hold them; returns their numbers."""
+        joined = b"".join(pieces)
+        ends = np.cumsum([len(x) for x in pieces])
+        starts = ends - [len(x) for x in pieces]
+        buf = np.frombuffer(joined, dtype=np.uint8)
+        other = ~LETTER[buf]
+        blank = buf[starts] == 32
+        word = (np.add.reduceat(other, starts, dtype=np.int64) == blank) & (ends - starts > blank)
+        shown, tokenize = joined.decode("latin-1").translate(self.letters), self.model.tokenize
+        ids, size = [], []
+        for piece, a, b, plain in zip(pieces, starts.tolist(), ends.tolist(), word.tolist()):
+            if plain:
+                found = [t.id for t in tokenize(shown[a:b])]
+            else:
+                found = self.tokenizer.encode(piece.decode("utf-8"), add_special_tokens=False).ids
+            ids += found
+            size.append(len(found))
+        first, n = len(self.held), len(self.held) + len(keys)
+        self.table = self._grown(self.table, self.used + len(ids))
+        self.table[self.used : self.used + len(ids)] = ids
+        self.begin, self.size = self._grown(self.begin, n), self._grown(self.size, n)
+        self.size[first:n] = size
+        self.begin[first:n] = self.used + np.cumsum(size) - size
+        self.used += len(ids)
+        self.held.update(zip(keys, range(first, n)))
+        return np.arange(first, n)
+
+    def _numbers(self, buf: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """The number of each piece of a batch; new ones are encoded."""
+        keys = span_hashes(buf, start, stop)
+        slot = (keys >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        numbers = self.slot_piece[slot]
+        missed = np.flatnonzero(self.slot_key[slot] != keys)
+        if not len(missed):
+            return numbers
+        some, one, which = np.unique(keys[missed], return_index=True, return_inverse=True)
+        found = np.fromiter((self.held.get(k, -1) for k in some.tolist()), dtype=np.int64, count=len(some))
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            at, whole = missed[one[new]], buf.tobytes()
+            pieces = [whole[a:b] for a, b in zip(start[at].tolist(), stop[at].tolist())]
+            found[new] = self._learn(some[new].tolist(), pieces)
+        # Sorted keys share a slot only with their neighbours: the last of each slot stays.
+        place = (some >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        last = np.flatnonzero(np.append(place[1:] != place[:-1], True))
+        self.slot_key[place[last]], self.slot_piece[place[last]] = some[last], found[last]
+        numbers[missed] = found[which]
+        return numbers
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
@@ -136,8 +207,7 @@ class PieceEncoder:
         return b"".join([self._piece(p.encode("utf-8")) for p in PIECES.findall(text)])
 
     def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
-        """The ids of each whole text. Plain texts are cut together, and each distinct piece of the
-        batch is looked up once."""
+        """The ids of each whole text. Plain texts are cut together."""
         raw = [(t or "").encode("utf-8", "replace") for t in texts]
         plain = [bool(r) and not (self.special and self.special.search(t) or b"\xc3\x97" in r or b"\xc3\xb7" in r)
                  for t, r in zip(texts, raw)]
@@ -154,20 +224,12 @@ class PieceEncoder:
             buf, ends = np.frombuffer(b"".join(kept), dtype=np.uint8), np.cumsum([len(r) for r in kept], dtype=np.int64)
         start = piece_bounds(buf, ends)
         stop = np.concatenate((start[1:], [len(buf)]))
-        keys, one, which = np.unique(span_hashes(buf, start, stop), return_index=True, return_inverse=True)
-        keys = keys.tolist()
-        found = list(map(self.held.get, keys))
-        whole = buf.tobytes()
-        if len(self.held) > CACHE_PIECES:
-            self.held.clear()
-        for i in [i for i, f in enumerate(found) if f is None]:
-            found[i] = self.held[keys[i]] = self._piece(whole[start[one[i]] : stop[one[i]]])
-        table = np.frombuffer(b"".join(found), dtype="<u2")
-        size = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 2
-        begin = np.cumsum(size) - size
-        each = size[which]
+        if len(self.held) > CACHE_PIECES or self.used > CACHE_IDS:
+            self._forget()
+        numbers = self._numbers(buf, start, stop)
+        each = self.size[numbers]
         last = np.cumsum(each)
-        ids = table[np.repeat(begin[which] - (last - each), each) + np.arange(last[-1])]
+        ids = self.table[np.repeat(self.begin[numbers] - (last - each), each) + np.arange(last[-1])]
         cuts = iter(np.split(ids, last[np.searchsorted(start, ends) - 1][:-1]))
         return [next(cuts) if o is None else o for o in out]
 
