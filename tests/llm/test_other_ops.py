@@ -278,6 +278,16 @@ def test_viterbi_against_all_splits():
         assert sum(map(cost, best)) == pytest.approx(max(sum(map(cost, s)) for s in every(label)))
 
 
+def test_long_words_stay_whole(spark):
+    """A counted word of 27 letters, an unseen label of 70 and one of 3,000."""
+    word, odd = "internationalisierungswoche", "q" * 70
+    urls = [f"http://{word}.net/x", f"http://the{word}.net/x", f"http://{odd}.net/x", f"http://{'the' * 1000}.net/"]
+    rows = [(i, u, f"<p>the {word} net</p>") for i, u in enumerate(urls)]
+    got = {r["page_id"]: r["words"] for r in url_filter.judge(spark.createDataFrame(rows, PAGES)).collect()}
+    assert sorted(got[0]) == [word, "net"] and sorted(got[1]) == [word, "net", "the"] and sorted(got[2]) == ["net", odd]
+    assert Counter(got[3]) == {"the": 1000, "net": 1}
+
+
 def test_bayes_against_counts(spark):
     from math import log
 

@@ -24,7 +24,6 @@ RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org"
 @dataclass(frozen=True)
 class Params:
     rules: tuple[tuple[str, str, str], ...] = RULES
-    longest_word: int = 20
     unseen: float = 10.0  # an unseen word of n letters counts as 10 ** -n of one occurrence
     smoothing: float = 1.0
 
@@ -55,15 +54,24 @@ def page_words(pages: DataFrame) -> DataFrame:
 
 
 def best_split(label: str, counts: dict[str, int], total: int, p: Params) -> list[str]:
-    """The likeliest split of a host label into words; of equal ones that with the shorter last word."""
+    """The likeliest split of a host label into words; of equal ones that with the shorter last word.
+
+    Words of any length take part. A counted word is tried where it ends; an unseen one grows letter
+    by letter from its best start, so a label costs its length times the lengths of its counted words.
+    """
+    lengths = sorted({len(w) for w in counts})
+    letter, opening = log(p.unseen), log(total)
     best: list[tuple[float, int]] = [(0.0, 0)]
+    unseen = (-opening, 0)  # score of an unseen word of no letters so far, less what its start saves
     for end in range(1, len(label) + 1):
-        tries = []
-        for start in range(max(0, end - p.longest_word), end):
-            word = label[start:end]
-            n = counts.get(word)
-            score = log(n / total) if n else -log(total) - len(word) * log(p.unseen)
-            tries.append((best[start][0] + score, start))
+        unseen = max(unseen, (best[end - 1][0] - opening + (end - 1) * letter, end - 1))
+        tries = [(unseen[0] - end * letter, unseen[1])]
+        for size in lengths:
+            if size > end:
+                break
+            n = counts.get(label[end - size : end])
+            if n:
+                tries.append((best[end - size][0] + log(n / total), end - size))
         best.append(max(tries))
     out, end = [], len(label)
     while end:
@@ -74,13 +82,19 @@ def best_split(label: str, counts: dict[str, int], total: int, p: Params) -> lis
 
 
 def host_words(hosts: DataFrame, words: DataFrame, p: Params = Params()) -> DataFrame:
-    """(host, words) of distinct hosts. Only words that occur in a label are looked up, by a join."""
+    """(host, words) of distinct hosts. Only words that occur in a label are looked up, by a join.
+
+    Every piece of a label that is as long as some counted word is looked up; these lengths are
+    numbers up to the longest label.
+    """
     total = words.agg(F.sum("n")).first()[0] or 1
     labels = hosts.select("host", F.explode(F.split("host", r"[^\p{L}\p{N}]+")).alias("label")).where("label != ''")
     one = labels.select("label").distinct()
-    starts = F.explode(F.sequence(F.lit(1), F.length("label"))).alias("start")
-    lengths = F.explode(F.sequence(F.lit(1), F.least(F.lit(p.longest_word), F.length("label") - F.col("start") + 1)))
-    pieces = one.select("label", starts).select("label", F.col("start"), lengths.alias("size")).select(
+    longest = one.agg(F.max(F.length("label"))).first()[0] or 0
+    sizes = [r["size"] for r in words.select(F.length("word").alias("size")).where(F.col("size") <= longest).distinct().collect()]
+    lengths = F.explode(F.array(*[F.lit(n) for n in sorted(sizes)]).cast("array<int>")).alias("size")
+    starts = F.explode(F.sequence(F.lit(1), F.length("label") - F.col("size") + 1)).alias("start")
+    pieces = one.select("label", lengths).where(F.length("label") >= F.col("size")).select("label", "size", starts).select(
         "label", F.col("label").substr(F.col("start"), F.col("size")).alias("word")).distinct()
     known = pieces.join(words, "word").groupBy("label").agg(F.collect_list(F.struct("word", "n")).alias("known"))
 
