@@ -462,6 +462,33 @@ YJ = ("(case when {x} >= 0 then (case when abs({l}) < 1e-9 then ln(1 + {x}) else
       "else (case when abs({l} - 2) < 1e-9 then -ln(1 - {x}) else -(pow(1 - {x}, 2 - {l}) - 1) / (2 - {l}) end) end)")
 
 
+def extra_tree(features: list[str], depth: int, tried: int) -> str:
+    """CTEs that grow one extra-tree over payloads level by level: ``nodes`` in the end."""
+    def drawn(what: str) -> str:
+        return f"(('0x' || substr(sha256('42|0|' || node || '|' || f || '|{what}'), 1, 8))::bigint / 4294967296.0::double)"
+
+    def impurity(n: str, p: str) -> str:
+        return f"(case when {n} > 0 then ({p})::double * (({n}) - ({p})) / ({n}) else 0 end)"
+
+    values = " union all ".join(f"select doc_id, {i} as f, {c}::double as v from payloads" for i, c in enumerate(features))
+    out = [f"vals as ({values})", "at0 as (select doc_id, target, 1::bigint as node from payloads)"]
+    for k in range(depth):
+        out.append(f"""size{k} as (select node, count(*) as n, sum(target)::bigint as pos from at{k} group by node),
+        cuts{k} as (select node, f, lo + {drawn('cut')} * (hi - lo) as cut, n, pos,
+            row_number() over (partition by node order by {drawn('order')}, f) as j
+          from (select node, f, min(v) as lo, max(v) as hi from at{k} join vals using (doc_id) group by 1, 2) join size{k} using (node)
+          where lo < hi and pos > 0 and pos < n),
+        tried{k} as (select node, f, cut, n, pos, j, count(*) filter (where v <= cut) as w, coalesce(sum(target) filter (where v <= cut), 0) as p
+          from cuts{k} join at{k} using (node) join vals using (doc_id, f) where j <= {tried} group by all),
+        best{k} as (select node, f, cut from tried{k} qualify row_number() over (partition by node
+          order by round({impurity('w', 'p')} + {impurity('n - w', 'pos - p')}, 9), j) = 1),
+        at{k + 1} as (select doc_id, target, 2 * node + (v > cut)::bigint as node from at{k} join best{k} using (node) join vals using (doc_id, f))""")
+    levels = [f"select node, coalesce(f, -1)::bigint as feature, coalesce(round(cut, 6), 0) as cut, n, pos from size{k} left join best{k} using (node)"
+              for k in range(depth)]
+    levels.append(f"select node, -1::bigint, 0::double, count(*), sum(target)::bigint from at{depth} group by node")
+    return ",".join([*out, f"nodes as ({' union all '.join(levels)})"])
+
+
 def oracle_sql() -> dict[str, str]:
     sql = {
         "src_labeled_urls": with_(SCANS, "select url, is_phishing as label from scans"),
@@ -593,6 +620,7 @@ def oracle_sql() -> dict[str, str]:
               count(*) filter (where is_phishing = 0 and risk_score < 0.4) as tn from scored),
             (select sum(r) - count(*) * (count(*) + 1) / 2.0 as wins from (select is_phishing,
               rank() over (order by risk_score) + (count(*) over (partition by risk_score) - 1) / 2.0 as r from scored) where is_phishing = 1)"""),
+        "extra_tree": with_(PAYLOADS + "," + extra_tree(PAYLOAD_FEATURES, 2, 2), "select * from nodes"),
         "prep_features": with_(PAYLOADS, "select * from payloads"),
         "split_stratified": with_(SPLITS, "select doc_id, target, split, fold from splits"),
         "scale_robust": with_(PAYLOADS + "," + SPLITS + ", data as (select p.*, split from payloads p join splits s using (doc_id)), fit as (select * from data where split = 'train')",

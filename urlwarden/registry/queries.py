@@ -13,6 +13,8 @@ from urlwarden.functions.risk import score, ttl_seconds
 from urlwarden.functions.text import literals, unnest
 from urlwarden.operators import (allowlist, forensics, lookalikes, metrics, neighbours, ngrams,
                                  outliers, ranges, resample, scaling, split, telemetry, verdicts)
+from urlwarden.operators import online_logit as online
+from urlwarden.operators.extra_trees import fit_extra_trees
 from urlwarden.operators.network import enrich_network
 from urlwarden.operators.replay import ttl_replay
 from urlwarden.plans import prepare, train
@@ -579,6 +581,36 @@ def hashing_logit(spark, sf):
     return train.score_hashing_logit(model, C.scan_requests(spark, sf)).select("scan_id", "probability")
 
 
+def online_logit(spark, sf):
+    """Scores of all scan requests by the online learner over hashed character n-grams."""
+    data = train.training_set(_labeled(spark, sf)).select("id", "url", "label", "weight")
+    grams = ngrams.char_wb_grams_stage()
+    model = online.fit_online(grams.transform(data), "id", "wb_grams", "label", "weight")
+    return _score_distinct(spark, sf, lambda urls: model.score(grams.transform(urls).select("url", "wb_grams"), "wb_grams"))
+
+
+def _score_distinct(spark, sf, scored) -> DataFrame:
+    """Probabilities of all scan requests; each distinct canonical URL is scored once."""
+    scans = C.scan_requests(spark, sf).select("scan_id", U.canonical(F.col("url")).alias("url"))
+    found = materialise(scored(scans.select("url").distinct()).select("url", *_r6("probability")), "scores")
+    return scans.join(found, "url", "left").select("scan_id", "probability")
+
+
+def extra_tree(spark, sf):
+    """The nodes of one extra-tree of two levels over all payloads."""
+    p = materialise(C.payloads(spark, sf), "payloads")
+    model = fit_extra_trees(p, C.PAYLOAD_FEATURES, "target", trees=1, depth=2, tried=2)
+    nodes = model.nodes.astype({"node": "int64", "feature": "int64", "cut": "float64", "n": "int64", "pos": "int64"})
+    return spark.createDataFrame(nodes[["node", "feature", "cut", "n", "pos"]]).withColumn("cut", F.round("cut", 6))
+
+
+def extra_trees(spark, sf):
+    """Scores of all scan requests by extra-trees over the ten lexical features."""
+    data = train.training_set(_labeled(spark, sf))
+    model = fit_extra_trees(data, train.LEXICAL, "label", "weight")
+    return _score_distinct(spark, sf, lambda urls: model.score(url_features(urls, profile="train")))
+
+
 # ---- dataset preparation ----------------------------------------------------
 
 def prep_features(spark, sf):
@@ -680,7 +712,7 @@ mitre_tags indicators playbook_actions threat_summary xai_attribution forensic_m
 incident_report technique_report
 log_recent log_detail stats_recent stats_all verdict_counts tier_counts log_json log_json_back
 stream_scan stream_ttl_state stream_stats
-ngrams_char ngrams_word tfidf_vocab tfidf_weights scale_standard binary_metrics hashing_logit
+ngrams_char ngrams_word tfidf_vocab tfidf_weights scale_standard binary_metrics hashing_logit online_logit extra_tree extra_trees
 ensemble_score risk_model batch_score cv_metrics train_manifest
 prep_features split_stratified scale_robust power_yeojohnson class_balance outlier_iforest
 resample_smote resample_smote_tomek resample_adasyn tomek_links prep_dataset
