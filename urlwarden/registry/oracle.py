@@ -602,14 +602,15 @@ def oracle_sql() -> dict[str, str]:
         "stream_scan": with_(REPLAY + "," + cascade("replayed", "rhit = 1", "results", "verdict", "risk_score"), "select scan_id, url, verdict, source, risk_score, summary from results"),
         "stream_ttl_state": with_(REPLAY, "select scan_id, rhit as hit from replayed where not is_allowed"),
         "stream_stats": with_(SCORED, "select date_trunc('hour', ts) as window_start, verdict, count(*) as n, round(avg(latency), 6) as avg_latency from scored group by 1, 2"),
-        "ngrams_char": with_("p as (select page_id as url_id, url from pages), " + char_terms("p", "url_id"), "select url_id, term, count(*) as tf from grams group by 1, 2"),
+        "ngrams_char": with_(ALL_URLS + "," + char_terms("all_urls", "corpus, url_id"), "select corpus, term, count(*) as tf from grams group by 1, 2"),
         "ngrams_word": with_(ALL_URLS + "," + WORD_GRAMS, "select corpus, term, count(*) as tf from wgrams group by 1, 2"),
         "tfidf_vocab": with_(ALL_URLS + "," + char_terms("all_urls", "corpus, url_id"), "select term, count(*) as tf from grams group by term order by tf desc, term limit 1200"),
-        "tfidf_weights": with_("p as (select page_id as url_id, url from pages), " + char_terms("p", "url_id") + """,
-            vocab as (select term, count(distinct url_id) as df from grams group by term order by count(*) desc, term limit 1200),
-            w as (select g.url_id, g.term, count(*) * (ln((1 + (select count(*) from p)) / (1 + any_value(v.df))::double) + 1) as x
-              from grams g join vocab v using (term) group by 1, 2)""",
-            "select url_id, term, round(x / sqrt(sum(x * x) over (partition by url_id)), 6) as weight from w"),
+        "tfidf_weights": with_(ALL_URLS + "," + char_terms("all_urls", "corpus, url_id") + """,
+            tf as (select corpus, url_id, term, count(*) as n from grams group by 1, 2, 3),
+            vocab as (select term, count(*) as df from tf group by term order by sum(n) desc, term limit 1200),
+            w as (select corpus, url_id, term, n * (ln((1 + (select count(*) from all_urls)) / (1 + df)::double) + 1) as x
+              from tf join vocab using (term))""",
+            "select corpus, url_id, term, round(x / sqrt(sum(x * x) over (partition by corpus, url_id)), 6) as weight from w"),
         "scale_standard": with_(PAYLOADS, f"select doc_id, {', '.join(standard(c) for c in PAYLOAD_FEATURES)} from payloads"),
         "binary_metrics": with_(SCORED, """select round((tp + tn) / (tp + fp + fn + tn)::double, 6) as accuracy,
             round(tp / (tp + fp)::double, 6) as precision, round(tp / (tp + fn)::double, 6) as recall,

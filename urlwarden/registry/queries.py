@@ -494,8 +494,8 @@ def stream_stats(spark, sf):
 # ---- training and scoring ---------------------------------------------------
 
 def ngrams_char(spark, sf):
-    df = ngrams.char_grams_stage().transform(C.page_urls(spark, sf))
-    return unnest(df, ["url_id"], "char_grams", "term").groupBy("url_id", "term").agg(
+    df = ngrams.char_grams_stage().transform(C.all_urls(spark, sf))
+    return unnest(df, KEY, "char_grams", "term").groupBy("corpus", "term").agg(
         F.count("*").alias("tf"))
 
 
@@ -511,12 +511,12 @@ def tfidf_vocab(spark, sf):
 
 
 def tfidf_weights(spark, sf):
-    pages = C.page_urls(spark, sf)
-    model = ngrams.fit_char_tfidf(pages)
+    urls = C.all_urls(spark, sf)
+    model = ngrams.fit_char_tfidf(urls)
     terms = literals(model.stages[1].vocabulary)
-    weights = unnest(model.transform(pages), ["url_id"], vector_to_array("char_tfidf"), "weight", "i")
+    weights = unnest(model.transform(urls), KEY, vector_to_array("char_tfidf"), "weight", "i")
     return weights.where(F.col("weight") > 0).select(
-        "url_id", F.element_at(terms, F.col("i") + 1).alias("term"), *_r6("weight"))
+        *KEY, F.element_at(terms, F.col("i") + 1).alias("term"), *_r6("weight"))
 
 
 def scale_standard(spark, sf):
