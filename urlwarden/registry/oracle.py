@@ -462,6 +462,13 @@ YJ = ("(case when {x} >= 0 then (case when abs({l}) < 1e-9 then ln(1 + {x}) else
       "else (case when abs({l} - 2) < 1e-9 then -ln(1 - {x}) else -(pow(1 - {x}, 2 - {l}) - 1) / (2 - {l}) end) end)")
 
 
+def yj_search(grid: str, k: int) -> str:
+    """CTEs up to ``best{k}``: the likeliest Yeo-Johnson exponent of events.value on a grid."""
+    return f"""llf{k} as (select lam, -count(*) / 2.0::double * ln(var_pop({YJ.format(x='value', l='lam')})) + (lam - 1) * sum(sign(value) * ln(1 + abs(value))) as f
+          from events, {grid} group by lam),
+        best{k} as (select arg_max(lam, (f, -lam)) as lam from llf{k})"""
+
+
 def extra_tree(features: list[str], depth: int, tried: int) -> str:
     """CTEs that grow one extra-tree over payloads level by level: ``nodes`` in the end."""
     def drawn(what: str) -> str:
@@ -626,10 +633,10 @@ def oracle_sql() -> dict[str, str]:
         "split_stratified": with_(SPLITS, "select doc_id, target, split, fold from splits"),
         "scale_robust": with_(PAYLOADS + "," + SPLITS + ", data as (select p.*, split from payloads p join splits s using (doc_id)), fit as (select * from data where split = 'train')",
             f"select doc_id, split, {', '.join(robust(c) for c in PAYLOAD_FEATURES)} from data"),
-        "power_yeojohnson": with_(f"""grid as (select round(-2 + i * 0.05::double, 10) as lam from range(81) t(i)),
-            llf as (select lam, -count(*) / 2.0::double * ln(var_pop({YJ.format(x='value', l='lam')})) + (lam - 1) * sum(sign(value) * ln(1 + abs(value))) as f
-              from events, grid group by lam),
-            best as (select arg_max(lam, (f, -lam)) as lam from llf),
+        "power_yeojohnson": with_(yj_search("(select round(-10 + i * 0.05::double, 10) as lam from range(401) t(i))", 0)
+            + "".join("," + yj_search(f"(select round(lam + i * {step}::double, 10) as lam from best{k - 1}, range(-10, 11) t(i))", k)
+                      for k, step in ((1, 0.005), (2, 0.0005))) + f""",
+            best as (from best2),
             y as (select event_id, lam, {YJ.format(x='value', l='lam')} as value from events, best)""",
             f"select event_id, lam, {standard('value')} from y"),
         "class_balance": with_(SPLITS, "select 'all' as stage, target, count(*) as n from splits group by 1, 2 union all select 'train', target, count(*) from splits where split = 'train' group by 1, 2"),

@@ -638,7 +638,7 @@ def scale_robust(spark, sf):
 
 def power_yeojohnson(spark, sf):
     events = C.table(spark, sf, "events").select("event_id", "value")
-    lams = scaling.fit_power(events, ["value"])
+    lams = scaling.fit_power(events, ["value"], refine=2)
     y = scaling.apply_power(events, lams)
     z = scaling.apply_scale(y, scaling.fit_standard(y, ["value"]))
     return z.select("event_id", F.lit(lams["value"]).alias("lam"), *_r6("value"))
