@@ -1,4 +1,4 @@
-"""Extra-trees and the online learner: properties, quality, and a plain loop."""
+"""Extra-trees, the online learner and quantile sketches: properties, quality, and a plain loop."""
 
 import math
 
@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from urlwarden.operators.extra_trees import fit_extra_trees
 from urlwarden.operators.metrics import binary_metrics
 from urlwarden.operators.online_logit import OnlineConfig, OnlineLogit, fit_online
+from urlwarden.operators.quantiles import SKETCH_ERROR, merge_sketches, quantile_sketches
 from urlwarden.registry import corpora, queries
 
 ROWS = "id long, a double, b double, c double, y int"
@@ -119,3 +120,18 @@ def test_scores_of_scans_tell_labels(spark, sf_dir, key):
     labels = corpora.scan_requests(spark, sf_dir).select("scan_id", F.col("label").cast("int").alias("y"))
     scored = queries.queries()[key](spark, sf_dir).join(labels, "scan_id")
     assert scored.count() == labels.count() and area(scored) > 0.9
+
+
+def test_sketches_of_parts_hold_their_ranks(spark):
+    """40,000 values in uneven groups with a frequent one, nulls and an empty group, merged."""
+    df = spark.range(40_000).selectExpr("CASE WHEN id % 3 = 0 THEN 'hot' ELSE string(id % 5) END AS part", "id",
+                                        "CASE WHEN id % 4 = 0 THEN 7.0 WHEN id % 11 = 0 THEN NULL ELSE (id * 7919) % 40000 END AS x",
+                                        "CAST(NULL AS DOUBLE) AS y")
+    sketches = quantile_sketches(df, ["x", "y"], ["part"])
+    got = merge_sketches(sketches, [], [0.0, 0.1, 0.5, 0.9, 1.0]).collect()
+    xs = np.sort([r["x"] for r in df.where("x IS NOT NULL").select("x").collect()])
+    assert {r["column"] for r in got} == {"x"} and {r["n"] for r in got} == {len(xs)} and len(got) == 5
+    for r in got:
+        below, upto = np.searchsorted(xs, r["value"], "left"), np.searchsorted(xs, r["value"], "right")
+        assert below - SKETCH_ERROR * len(xs) - 1 <= r["prob"] * len(xs) <= upto + SKETCH_ERROR * len(xs) + 1
+    assert merge_sketches(quantile_sketches(df.limit(0), ["x"], ["part"]), ["part"], [0.5]).count() == 0

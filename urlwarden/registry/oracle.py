@@ -633,6 +633,8 @@ def oracle_sql() -> dict[str, str]:
         "split_stratified": with_(SPLITS, "select doc_id, target, split, fold from splits"),
         "scale_robust": with_(PAYLOADS + "," + SPLITS + ", data as (select p.*, split from payloads p join splits s using (doc_id)), fit as (select * from data where split = 'train')",
             f"select doc_id, split, {', '.join(robust(c) for c in PAYLOAD_FEATURES)} from data"),
+        "quantile_sketch": """select event_type, prob, count(value) as n, true as within
+            from events, (select unnest([0.01, 0.25, 0.5, 0.75, 0.99])::double as prob) group by 1, 2""",
         "power_yeojohnson": with_(yj_search("(select round(-10 + i * 0.05::double, 10) as lam from range(401) t(i))", 0)
             + "".join("," + yj_search(f"(select round(lam + i * {step}::double, 10) as lam from best{k - 1}, range(-10, 11) t(i))", k)
                       for k, step in ((1, 0.005), (2, 0.0005))) + f""",

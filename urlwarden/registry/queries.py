@@ -11,7 +11,7 @@ from urlwarden.functions import urls as U
 from urlwarden.functions.lexical import PROFILES, feature_vector, url_features
 from urlwarden.functions.risk import score, ttl_seconds
 from urlwarden.functions.text import literals, unnest
-from urlwarden.operators import (allowlist, forensics, lookalikes, metrics, neighbours, ngrams,
+from urlwarden.operators import (allowlist, forensics, lookalikes, metrics, neighbours, ngrams, quantiles,
                                  outliers, ranges, resample, scaling, split, telemetry, verdicts)
 from urlwarden.operators import online_logit as online
 from urlwarden.operators.extra_trees import fit_extra_trees
@@ -636,6 +636,21 @@ def scale_robust(spark, sf):
     return scaled.select("doc_id", "split", *_r6(*C.PAYLOAD_FEATURES))
 
 
+def quantile_sketch(spark, sf):
+    """Quantiles of event values per type from stored sketches of days, and whether their ranks hold."""
+    events = C.table(spark, sf, "events").select("event_type", F.to_date("ts").alias("day"), F.col("value").cast("double").alias("value"))
+    days = materialise(quantiles.quantile_sketches(events, ["value"], ["event_type", "day"]), "sketches")
+    probs = [0.01, 0.25, 0.5, 0.75, 0.99]
+    found = materialise(quantiles.merge_sketches(days, ["event_type"], probs).withColumnRenamed("value", "q"), "quantiles")
+    # A row per type and rank: some tens, joined by type.
+    below = events.join(found.select("event_type", "prob", "q"), "event_type").groupBy("event_type", "prob").agg(
+        F.count_if(F.col("value") < F.col("q")).alias("below"), F.count_if(F.col("value") <= F.col("q")).alias("upto"))
+    slack = F.col("n") * quantiles.SKETCH_ERROR + 1
+    place = F.col("prob") * F.col("n")
+    return found.join(below, ["event_type", "prob"]).select(
+        "event_type", "prob", "n", ((F.col("below") <= place + slack) & (F.col("upto") >= place - slack)).alias("within"))
+
+
 def power_yeojohnson(spark, sf):
     events = C.table(spark, sf, "events").select("event_id", "value")
     lams = scaling.fit_power(events, ["value"], refine=2)
@@ -714,7 +729,7 @@ log_recent log_detail stats_recent stats_all verdict_counts tier_counts log_json
 stream_scan stream_ttl_state stream_stats
 ngrams_char ngrams_word tfidf_vocab tfidf_weights scale_standard binary_metrics hashing_logit online_logit extra_tree extra_trees
 ensemble_score risk_model batch_score cv_metrics train_manifest
-prep_features split_stratified scale_robust power_yeojohnson class_balance outlier_iforest
+prep_features split_stratified scale_robust quantile_sketch power_yeojohnson class_balance outlier_iforest
 resample_smote resample_smote_tomek resample_adasyn tomek_links prep_dataset
 """.split()
 
