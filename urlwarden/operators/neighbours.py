@@ -116,6 +116,14 @@ def _search(k: int):
     return run
 
 
+def further_copies(points: DataFrame, first: DataFrame, k: int) -> DataFrame:
+    """Neighbours of queries beyond the first copies: the first copies of their vector, at distance 0."""
+    others = points.where("is_query").join(first.select("id"), "id", "left_anti")
+    copies = first.select("vec", F.col("id").alias("neighbour"), F.col("copy").alias("rank"))
+    return others.join(copies.where(F.col("rank") <= k), "vec").select(
+        "id", "neighbour", F.lit(0.0).alias("dist2"), "rank")
+
+
 def knn(points: DataFrame, k: int) -> DataFrame:
     """The k nearest other points of every query: (id, rank, neighbour, dist2).
 
@@ -160,12 +168,7 @@ def knn(points: DataFrame, k: int) -> DataFrame:
         _search(k), "id long, neighbour long, dist2 double")
     nearest = Window.partitionBy("id").orderBy("dist2", "neighbour")
     near = found.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)
-    # Further copies have the first copies of their vector as neighbours, at distance 0.
-    others = points.where("is_query").join(first.select("id"), "id", "left_anti")
-    copies = first.select("vec", F.col("id").alias("neighbour"), F.col("copy").alias("rank"))
-    rest = others.join(copies.where(F.col("rank") <= k), "vec").select(
-        "id", "neighbour", F.lit(0.0).alias("dist2"), "rank")
-    return near.unionByName(rest).select("id", "rank", "neighbour", "dist2")
+    return near.unionByName(further_copies(points, first, k)).select("id", "rank", "neighbour", "dist2")
 
 
 def tomek_links(points: DataFrame) -> DataFrame:

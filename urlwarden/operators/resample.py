@@ -1,11 +1,14 @@
 """Class balancing: SMOTE, SMOTE with Tomek cleaning, ADASYN, class counts.
 
 Rows are (id, vec, label) with labels 0 and 1. Random choices are hashes of the row id, the
-copy number and the seed, so a repeated or retried run gives the same rows.
+copy number and the seed, so a repeated or retried run gives the same rows. Neighbours are exact;
+``search=approx_neighbours.lsh_knn`` finds them by random-projection trees instead.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +17,7 @@ from urlwarden.operators.split import pick_exactly
 from urlwarden.session import materialise
 
 NEIGHBOURS = 5
+Search = Callable[[DataFrame, int], DataFrame]
 
 
 def class_counts(df: DataFrame, label: str = "label") -> DataFrame:
@@ -31,12 +35,12 @@ def _uniform(*parts: Column) -> Column:
     return F.pmod(F.xxhash64(*parts), F.lit(1 << 30)) / float(1 << 30)
 
 
-def _grow(minority: DataFrame, quota: DataFrame, label: int, seed: int, k: int) -> DataFrame:
+def _grow(minority: DataFrame, quota: DataFrame, label: int, seed: int, k: int, search: Search) -> DataFrame:
     """New rows on the way from a minority row to one of its minority neighbours.
 
     ``quota`` (id, new) says how many rows grow from each row.
     """
-    near = knn(minority.select("id", "vec"), k)
+    near = search(minority.select("id", "vec"), k)
     lists = near.groupBy("id").agg(  # k entries per row
         F.sort_array(F.collect_list(F.struct("rank", "neighbour"))).alias("near"))
     seeds = minority.join(quota.where(F.col("new") > 0), "id").join(lists, "id")
@@ -51,7 +55,7 @@ def _grow(minority: DataFrame, quota: DataFrame, label: int, seed: int, k: int)
                         vec.alias("vec"), F.lit(label).alias("label"))
 
 
-def smote(df: DataFrame, seed: int = 42, k: int = NEIGHBOURS) -> DataFrame:
+def smote(df: DataFrame, seed: int = 42, k: int = NEIGHBOURS, search: Search = knn) -> DataFrame:
     """Grow the minority class to the size of the other one."""
     df = materialise(df.select("id", "vec", F.col("label").cast("int").alias("label")), "smote-in")
     label, n_min, n_maj = _counts(df)
@@ -59,23 +63,23 @@ def smote(df: DataFrame, seed: int = 42, k: int = NEIGHBOURS) -> DataFrame:
     each, extra = divmod(n_maj - n_min, n_min)
     quota = pick_exactly(minority.select("id"), "id", extra, seed).select(
         "id", (F.lit(each) + F.col("picked").cast("int")).alias("new"))
-    return df.unionByName(_grow(minority, quota, label, seed, min(k, n_min - 1)))
+    return df.unionByName(_grow(minority, quota, label, seed, min(k, n_min - 1), search))
 
 
-def smote_tomek(df: DataFrame, seed: int = 42, k: int = NEIGHBOURS) -> DataFrame:
+def smote_tomek(df: DataFrame, seed: int = 42, k: int = NEIGHBOURS, search: Search = knn) -> DataFrame:
     """SMOTE, then both rows of every Tomek link are removed."""
-    grown = materialise(smote(df, seed, k), "smote-out")
+    grown = materialise(smote(df, seed, k, search), "smote-out")
     links = tomek_links(grown)
     gone = links.select(F.explode(F.array("id", "other")).alias("id"))
     return grown.join(gone, "id", "left_anti")
 
 
-def adasyn(df: DataFrame, seed: int = 42, k: int = NEIGHBOURS) -> DataFrame:
+def adasyn(df: DataFrame, seed: int = 42, k: int = NEIGHBOURS, search: Search = knn) -> DataFrame:
     """Grow the minority class where most of its neighbours belong to the other class."""
     df = materialise(df.select("id", "vec", F.col("label").cast("int").alias("label")), "adasyn-in")
     label, n_min, n_maj = _counts(df)
     minority = df.where(F.col("label") == label)
-    near = knn(df.select("id", "vec", (F.col("label") == label).alias("is_query")), k)
+    near = search(df.select("id", "vec", (F.col("label") == label).alias("is_query")), k)
     labels = df.select(F.col("id").alias("neighbour"), "label")
     shares = materialise(near.join(labels, "neighbour").groupBy("id").agg(
         F.avg((F.col("label") != label).cast("double")).alias("share")), "adasyn-shares")
@@ -83,4 +87,4 @@ def adasyn(df: DataFrame, seed: int = 42, k: int = NEIGHBOURS) -> DataFrame:
     if not total:
         raise ValueError("no minority row has neighbours of the other class")
     quota = shares.select("id", F.rint(F.col("share") / total * (n_maj - n_min)).alias("new"))
-    return df.unionByName(_grow(minority, quota, label, seed, min(k, n_min - 1)))
+    return df.unionByName(_grow(minority, quota, label, seed, min(k, n_min - 1), search))

@@ -11,7 +11,7 @@ from urlwarden.functions import urls as U
 from urlwarden.functions.lexical import PROFILES, feature_vector, url_features
 from urlwarden.functions.risk import score, ttl_seconds
 from urlwarden.functions.text import literals, unnest
-from urlwarden.operators import (allowlist, forensics, lookalikes, metrics, neighbours, ngrams, quantiles,
+from urlwarden.operators import (allowlist, approx_neighbours, forensics, lookalikes, metrics, neighbours, ngrams, quantiles,
                                  outliers, ranges, resample, scaling, split, telemetry, verdicts)
 from urlwarden.operators import online_logit as online
 from urlwarden.operators.extra_trees import fit_extra_trees
@@ -699,6 +699,13 @@ def resample_adasyn(spark, sf):
     return _flat(resample.adasyn(_prep_vectors(spark, sf)))
 
 
+def neighbours_lsh(spark, sf):
+    """The five nearest other vectors of every twentieth one, among all."""
+    e = C.table(spark, sf, "embeddings").select(
+        F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"))
+    return approx_neighbours.lsh_knn(e.withColumn("is_query", F.col("id") % 20 == 0), 5)
+
+
 def tomek_links(spark, sf):
     e = C.table(spark, sf, "embeddings").select(
         F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"), "label")
@@ -730,7 +737,7 @@ stream_scan stream_ttl_state stream_stats
 ngrams_char ngrams_word tfidf_vocab tfidf_weights scale_standard binary_metrics hashing_logit online_logit extra_tree extra_trees
 ensemble_score risk_model batch_score cv_metrics train_manifest
 prep_features split_stratified scale_robust quantile_sketch power_yeojohnson class_balance outlier_iforest
-resample_smote resample_smote_tomek resample_adasyn tomek_links prep_dataset
+resample_smote resample_smote_tomek resample_adasyn tomek_links neighbours_lsh prep_dataset
 """.split()
 
 
