@@ -1,11 +1,13 @@
 """Neighbours by random-projection trees against a plain search."""
 
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from urlwarden.operators import neighbours, resample
-from urlwarden.operators.approx_neighbours import Params, grow, lsh_knn, probes_needed
+from urlwarden.operators.approx_neighbours import Params, best_of, cheapest, grow, lsh_knn, probes_needed
 
 SMALL = Params(leaf_rows=32, audits=64)
 SCHEMA = "id bigint, vec array<double>, is_query boolean"
@@ -108,3 +110,28 @@ def test_resampling_with_trees(spark):
     assert counts == {0: 170, 1: 170}
     near, far = (sorted(map(str, resample.smote(df, search=s).collect())) for s in (lsh_knn, neighbours.knn))
     assert near == far  # so few rows are one leaf
+
+
+def test_best_of_candidates():
+    """Repeated candidates count once, ties go to the smaller other."""
+    ids, others = np.array([2, 1, 1, 1, 2, 1]), np.array([9, 7, 5, 7, 8, 6])
+    got = best_of(ids, others, np.array([0.5, 1.0, 1.0, 1.0, 0.5, 2.0]), 2)
+    assert [x.tolist() for x in got] == [[1, 1, 2, 2], [5, 7, 8, 9], [1.0, 1.0, 0.5, 0.5]]
+
+
+def test_tasks_that_reduce_often(spark):
+    x = vectors("crowds", 1000, 8)
+    points = table(spark, x)
+    assert sorted(lsh_knn(points, 3, SMALL).collect()) == sorted(lsh_knn(points, 3, replace(SMALL, held=50)).collect())
+
+
+def test_the_plan_follows_the_data():
+    """Structure is used where there is some; without it the work is no more than the exact search's."""
+    rng = np.random.default_rng(1)
+    for kind, share in (("crowds", 0.5), ("even", 1.0)):
+        x = vectors(kind)
+        trees = [grow(x, 5, rng) for _ in range(8)]
+        asked = rng.choice(len(x), 50, replace=False)
+        near = [j for js in plain(x, 5, asked).values() for j in js]
+        used, probes = cheapest(trees, np.repeat(x[asked], 5, axis=0), x[near], 10**9, 10**8, Params())
+        assert len(used) * probes / used[0].leaves <= share

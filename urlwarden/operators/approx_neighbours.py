@@ -2,12 +2,14 @@
 
 Each of several trees halves the points level by level along random directions; the cuts are
 medians of a bounded sample, the leaves hold every point. A query visits the leaves of each tree
-whose cuts it violates least. How many is not guessed: a bounded number of queries is compared
-with all points first, and the number is the least at which the wanted share of their true
-neighbours lies in a visited leaf; at most all leaves, which is the exact search.
+whose cuts it violates least. How many trees, levels and visits is not guessed: a bounded number
+of queries is compared with all points first, and of the plans by which the wanted share of their
+true neighbours lies in a visited leaf the one with the least work is taken. Where vectors have no
+structure to find, that is one tree of few levels, at last the exact search.
 
 Copies of one vector are reduced to the k+1 smallest ids, so leaves do not fill with them. Leaves
-are cut into blocks and their queries into batches of bounded size.
+are cut into blocks and their queries into batches of bounded size. A task streams its groups and
+keeps the k best per query, so what is shuffled back does not grow with the visits.
 """
 
 from __future__ import annotations
@@ -26,7 +28,8 @@ from urlwarden.session import materialise
 @dataclass(frozen=True)
 class Params:
     """sample_rows bounds the rows the cuts are fitted on, audits the queries compared with all
-    points; both are drawn by hashes of the id."""
+    points; both are drawn by hashes of the id. visit_rows and ship_rows are the work of a visit and
+    of a point in one tree more, in compared rows."""
 
     trees: int = 8
     leaf_rows: int = 256
@@ -34,6 +37,9 @@ class Params:
     least_sample: int = 16  # sample rows of a leaf
     audits: int = 256
     recall: float = 0.95
+    visit_rows: int = 256
+    ship_rows: int = 64
+    held: int = 400_000  # candidates a task holds before it reduces them
     seed: int = 42
 
 
@@ -42,9 +48,16 @@ class Tree:
     directions: np.ndarray  # levels x dimensions, of unit length
     cuts: list[np.ndarray]  # per level, one for each node
 
+    @property
+    def depth(self) -> int:
+        return len(self.cuts)
+
     @property
     def leaves(self) -> int:
-        return 1 << len(self.cuts)
+        return 1 << self.depth
+
+    def upper(self, levels: int) -> Tree:
+        return Tree(self.directions[:levels], self.cuts[:levels])
 
     def leaf(self, x: np.ndarray) -> np.ndarray:
         node = np.zeros(len(x), dtype="int64")
@@ -74,6 +87,23 @@ def grow(sample: np.ndarray, depth: int, rng: np.random.Generator) -> Tree:
     return Tree(directions, cuts)
 
 
+def cheapest(trees: list[Tree], asked: np.ndarray, near: np.ndarray, n: int, queries: int, p: Params) -> tuple[list[Tree], int]:
+    """The trees to use and the leaves to visit in each, by the least work at the wanted recall."""
+    plans = []
+    for levels in range(trees[0].depth + 1):
+        upper = [t.upper(levels) for t in trees]
+        need = np.array([probes_needed([t], asked, near) for t in upper])
+        used = 1
+        while used <= len(trees):
+            own = np.sort(need[:used].min(axis=0))
+            probes = int(own[max(0, int(np.ceil(p.recall * len(own))) - 1)])
+            work = queries * used * probes * (n / (1 << levels) + p.visit_rows) + used * n * p.ship_rows
+            plans.append((work, used, levels, probes))
+            used *= 2
+    _, used, levels, probes = min(plans)
+    return [t.upper(levels) for t in trees[:used]], probes
+
+
 def probes_needed(trees: list[Tree], queries: np.ndarray, near: np.ndarray) -> np.ndarray:
     """For each pair of a query and a neighbour, the leaves to visit in every tree to meet it."""
     need = np.full(len(queries), np.iinfo("int64").max)
@@ -135,6 +165,54 @@ def _leaves(trees: list[Tree]):
     return run
 
 
+def best_of(ids: np.ndarray, others: np.ndarray, dist: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k nearest different others of each id, ties by the smaller other."""
+    order = np.lexsort((others, dist, ids))
+    ids, others, dist = ids[order], others[order], dist[order]
+    new = np.ones(len(ids), dtype=bool)
+    new[1:] = (ids[1:] != ids[:-1]) | (others[1:] != others[:-1])
+    ids, others, dist = ids[new], others[new], dist[new]
+    start = np.ones(len(ids), dtype=bool)
+    start[1:] = ids[1:] != ids[:-1]
+    at = np.arange(len(ids))
+    keep = at - np.maximum.accumulate(np.where(start, at, 0)) < k
+    return ids[keep], others[keep], dist[keep]
+
+
+GROUP = ["tree", "leaf", "block", "batch"]
+
+
+def _answers(k: int, held: int):
+    """Over rows sorted by group, points before queries: the k best of each query in this task."""
+
+    def run(batches):
+        key, points, found, n = None, [], [], 0
+        for pdf in batches:
+            for own, part in pdf.groupby(GROUP, sort=False):
+                if own != key:
+                    key, points = own, []
+                asks = part["asks"].to_numpy()
+                if not asks.all():
+                    points.append((part["id"].to_numpy()[~asks], exact._matrix(part["vec"][~asks])))
+                if not asks.any() or not points:
+                    continue
+                ids, x = np.concatenate([i for i, _ in points]), np.concatenate([v for _, v in points])
+                asked = part["id"].to_numpy()[asks]
+                r, c, d = exact._top_k(exact._squared(exact._matrix(part["vec"][asks]), x), ids, asked, k)
+                found.append((asked[r], ids[c], d))
+                n += len(r)
+                if n > held:
+                    found = [best_of(*(np.concatenate(x) for x in zip(*found)), k)]
+                    n = len(found[0][0])
+                    if n > held // 2:
+                        yield pd.DataFrame(dict(zip(("id", "neighbour", "dist2"), found[0])))
+                        found, n = [], 0
+        if found:
+            found = best_of(*(np.concatenate(x) for x in zip(*found)), k)
+            yield pd.DataFrame(dict(zip(("id", "neighbour", "dist2"), found)))
+    return run
+
+
 def lsh_knn(points: DataFrame, k: int, p: Params = Params()) -> DataFrame:
     """Nearly always the k nearest other points of every query: (id, rank, neighbour, dist2).
 
@@ -162,9 +240,10 @@ def lsh_knn(points: DataFrame, k: int, p: Params = Params()) -> DataFrame:
         trees = [grow(sample, depth, rng) for _ in range(p.trees)]
     if depth and len(asked):
         true = _true_neighbours(first, asked, k).merge(asked, on="id", suffixes=("", "_asked"))
-        need = np.sort(probes_needed(trees, exact._matrix(true["vec_asked"]), exact._matrix(true["vec"])))
-        probes = int(need[max(0, int(np.ceil(p.recall * len(need))) - 1)])
-    trees = trees[:1] if probes >= 1 << depth else trees  # all leaves of one tree hold all points
+        queries = first.where("is_query").count()
+        trees, probes = cheapest(trees, exact._matrix(true["vec_asked"]), exact._matrix(true["vec"]), n, queries, p)
+    if len(trees) and probes >= trees[0].leaves:
+        trees, probes = [trees[0].upper(0)], 1  # all leaves of one tree hold all points
     held = first.select("id", "vec").mapInPandas(_leaves(trees), "id long, vec array<double>, leaves array<int>")
     held = held.select("id", "vec", F.posexplode("leaves").alias("tree", "leaf"))
     visits = materialise(first.where("is_query").select("id", "vec").mapInPandas(
@@ -179,10 +258,11 @@ def lsh_knn(points: DataFrame, k: int, p: Params = Params()) -> DataFrame:
         every = F.explode(F.sequence(F.lit(0), F.col(parts[1]) - 1))
         return rows.join(room, at).select(*at, each.alias(own), every.alias(other), "id", "vec")
 
-    group = [*at, "block", "batch"]
-    queries = dealt(visits, "batch", "block", ("batches", "blocks")).groupBy(group)
-    offered = dealt(held, "block", "batch", ("blocks", "batches")).groupBy(group)
-    found = queries.cogroup(offered).applyInPandas(exact._search(k), "id long, neighbour long, dist2 double")
+    asking = dealt(visits, "batch", "block", ("batches", "blocks")).withColumn("asks", F.lit(True))
+    offered = dealt(held, "block", "batch", ("blocks", "batches")).withColumn("asks", F.lit(False))
+    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = asking.unionByName(offered).repartition(tasks, *GROUP).sortWithinPartitions(*GROUP, "asks")
+    found = met.mapInPandas(_answers(k, p.held), "id long, neighbour long, dist2 double")
     nearest = Window.partitionBy("id").orderBy("dist2", "neighbour")
     near = found.distinct().withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)
     return near.unionByName(exact.further_copies(points, first, k)).select("id", "rank", "neighbour", "dist2")
