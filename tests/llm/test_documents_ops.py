@@ -397,6 +397,27 @@ def test_messages_are_exact_on_a_chain():
     assert np.allclose(got[1:], total[1:] / total[1:].sum(axis=1, keepdims=True), atol=1e-3)
 
 
+def test_field_reaches_over_chains_of_links():
+    """A word that is like a word like a base word is hidden too; one like neither is not."""
+    text = "Write to anna.berg@example.org or anna.berg@intern today, ask anna.berg.intern but not clara.stein."
+    spans = pii.base_spans(text)
+    f = pii.document_field(text, spans)
+    assert [w[2] for w, o in zip(f.words, f.observed) if o < 0] == ["anna.berg@intern", "anna.berg.intern"]
+    added = pii.added_spans(text, spans, pii.Model(np.zeros((pii.LABELS, pii.SHAPES)), 0.5, 6.0), pii.Params())
+    assert [text[a:b] for a, _, b in added] == ["anna.berg@intern", "anna.berg.intern"]
+
+
+def test_reached_keys_against_all_rounds():
+    rng = np.random.default_rng(4)
+    for _ in range(50):
+        words = [[str(k) for k in set(rng.integers(0, 30, rng.integers(0, 4)))] for _ in range(25)]
+        known, more = {"0", "1"}, True
+        while more:
+            grown = known.union(*(w for w in words if known.intersection(w)))
+            known, more = grown, grown != known
+        assert pii.reached(["0", "1"], words) == known
+
+
 def test_pii_of_odd_rows(spark):
     docs = table(spark, [*ODD, (9, "mail a.b@c.de and a.b@c.de")])
     model = pii.train(docs)

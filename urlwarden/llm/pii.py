@@ -107,8 +107,8 @@ def _keys(word: str) -> list[str]:
 
 @dataclass
 class Field:
-    """The words that matter in one document: those of base spans, those that are linked to them,
-    and others with digits or @. observed is a label, or -1 for a linked word without base span."""
+    """The words that matter in one document: those of base spans, those that links over any number
+    of words join to them, and others with digits or @. observed is a label, or -1 for a linked word without base span."""
 
     words: list[tuple[int, int, str]] = field(default_factory=list)
     observed: list[int] = field(default_factory=list)
@@ -116,10 +116,25 @@ class Field:
     skip: list[tuple[int, int]] = field(default_factory=list)
 
 
+def reached(start: list[str], words: list[list[str]]) -> set[str]:
+    """The keys that can be reached from those of start by words that have several."""
+    beside: dict[str, set[str]] = {}
+    for keys in words:
+        if len(keys) > 1:
+            for k in keys:
+                beside.setdefault(k, set()).update(keys)
+    known, todo = set(start), list(set(start))
+    while todo:
+        new = beside.get(todo.pop(), set()) - known
+        known |= new
+        todo += new
+    return known
+
+
 def document_field(text: str, spans: list[tuple[int, int, int]]) -> Field:
     """The random field of a document with base spans. Each word is linked to the one before it and
-    to the last ones with its keys. A word that shares no key with a base word hears of no label:
-    it is observed as none, and left out where it has neither digits nor @."""
+    to the last ones with its keys. A word that no chain of such links joins to a base word hears of
+    no label: it is observed as none, and left out where it has neither digits nor @."""
     out, words, at = Field(), [], 0
     for m in WORD.finditer(text):
         raw = m[0]
@@ -128,28 +143,27 @@ def document_field(text: str, spans: list[tuple[int, int, int]]) -> Field:
         core = raw.strip(EDGES)
         start = m.start() + raw.find(core) if core else m.start()
         words.append((start, start + len(core), core))
-    known = set()
-    labels = []
-    for start, end, core in words:
+    base, labels, keys = [], [], [_keys(core) for _, _, core in words]
+    for (start, end, _), own in zip(words, keys):
         while at < len(spans) and spans[at][2] <= start:
             at += 1
         hit = next((s for s in spans[at : at + 8] if s[0] < end and start < s[2]), None)
         labels.append(hit[1] + 1 if hit else -1)
         if hit:
-            known.update(_keys(core))
+            base += own
+    known = reached(base, keys)
     last: dict[str, int] = {}
-    for (start, end, core), label in zip(words, labels):
-        keys = _keys(core)
-        if label < 0 and not known.intersection(keys):
+    for (start, end, core), label, own in zip(words, labels, keys):
+        if label < 0 and known.isdisjoint(own):
             if "@" not in core and not any("0" <= c <= "9" for c in core):
                 continue
             label = 0
         i = len(out.words)
         if out.words and start - out.words[-1][1] <= 2:
             out.chain.append((i - 1, i))
-        linked = {last[k] for k in keys if k in last}
+        linked = {last[k] for k in own if k in last}
         out.skip += [(j, i) for j in sorted(linked)]
-        last.update(dict.fromkeys(keys, i))
+        last.update(dict.fromkeys(own, i))
         out.words.append((start, end, core))
         out.observed.append(label)
     return out
