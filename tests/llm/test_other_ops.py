@@ -75,6 +75,16 @@ def test_successor_skips_conflicts():
     assert dict(zip(got["doc_id"], got["bin"])) == {1: 0, 2: 1, 3: 1, 4: 2, 5: 1, 6: 0}
 
 
+def test_rows_of_one_id_fill_many_packs(spark):
+    """A third of the rows have one doc_id, a third no doc_id and one text; no pack gets many more than its share."""
+    rows = [(7 if i % 3 == 0 else None if i % 3 == 1 else i, "some words here" if i % 3 < 2 else f"text {i}", "en", f"s{i % 5}", 10)
+            for i in range(6000)]
+    got = packing.packed(spark.createDataFrame(rows, DOCS), packing.Params(capacity=256, pack_docs=256)).toPandas()
+    assert len(got) == 6000
+    assert got["n_tokens"].sum() == sum(len(r[1].split()) for r in rows)
+    assert got["bin_id"].str.split(":").str[0].value_counts().max() < 2 * 256
+
+
 def test_packed_holds_every_token(spark):
     rows = [(i, "w " * (i * 37 % 400), "en", f"s{i % 3}" if i % 4 else None, i) for i in range(300)]
     rows += [(900, "long " * 5000, "en", "s1", None), (901, None, None, None, None), (902, "", "en", "s0", 0), (None, "no id here", "en", "s0", 3),

@@ -8,6 +8,8 @@ and one of clusters.
 
 Documents are dealt to packs of about `pack_docs` by a hash of their id, so a pack is bounded
 whatever its sources are, and a source or cluster with a third of all rows is spread over all.
+Rows that repeat one id, or one text without id, so often that they would crowd a pack are dealt
+by their place in a table written before.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from urlwarden.llm import near_dups
+from urlwarden.session import materialise
+
 
 @dataclass(frozen=True)
 class Params:
@@ -112,7 +116,11 @@ def packed(docs: DataFrame, p: Params = Params(), cluster: str | None = None, ne
     if near:  # words are counted before the join, so no text is shuffled
         found = near_clusters(docs.select(key.alias("cluster"), text.alias("text")), "cluster", near)
         items = items.join(found, "cluster", "left").withColumn("cluster", F.coalesce("component", "cluster").cast("string"))
-    packs = max(1, -(-docs.count() // p.pack_docs))
+    items = materialise(items.withColumn("place", F.monotonically_increasing_id()), "pack-items")
+    packs = max(1, -(-items.count() // p.pack_docs))
+    often = items.groupBy("deal").agg(F.count("*").alias("rows")).where(F.col("rows") > p.pack_docs // 8)
+    items = items.join(often, "deal", "left").withColumn(
+        "deal", F.when(F.col("rows").isNull(), F.col("deal")).otherwise(F.xxhash64("deal", "place")))
     last = F.greatest(F.lit(0), F.ceil(F.col("words") / p.capacity) - 1).cast("int")
     first = F.col("piece").cast("long") * p.capacity
     pieces = (items.select("*", F.explode(F.sequence(F.lit(0), last)).alias("piece"))
