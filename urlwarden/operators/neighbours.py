@@ -23,6 +23,8 @@ QUERY_ROWS = 8192
 COPY_SALTS = 64
 SLACK = 1e-6
 DIGITS = 9
+# Values of the matrices and frames that one step of a task holds.
+HELD = 1 << 20
 
 
 def _matrix(series: pd.Series) -> np.ndarray:
@@ -48,6 +50,41 @@ def _top_k(dist: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int):
     return rows[keep], cols[keep], dist[rows[keep], cols[keep]]
 
 
+def _nearest(asked: np.ndarray, own: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int):
+    """The result of ``_top_k`` over ``_squared``, in slices of rows. Products of matrices tell which
+    points can be among the k nearest, and only their distances are computed term by term."""
+    if not len(x):
+        return np.empty(0, int), np.empty(0, int), np.empty(0)
+    found = [(np.empty(0, int), np.empty(0, int), np.empty(0))]
+    with np.errstate(over="ignore", invalid="ignore"):
+        norm_x, norm_a = (x * x).sum(axis=1), (asked * asked).sum(axis=1)
+    top = norm_x.max()
+    step = max(1, HELD // len(x))
+    for lo in range(0, len(asked), step):
+        a, mine = asked[lo:lo + step], own[lo:lo + step]
+        with np.errstate(over="ignore", invalid="ignore"):
+            rough = norm_a[lo:lo + step, None] + norm_x[None, :] - 2.0 * (a @ x.T)
+        if not np.isfinite(rough).all():  # beyond the range of the products
+            r, c, d = _top_k(_squared(a, x), ids, mine, k)
+            found.append((r + lo, c, d))
+            continue
+        rough[ids[None, :] == mine[:, None]] = np.inf
+        limit = np.partition(rough, k - 1, axis=1)[:, k - 1] if k < len(x) else np.full(len(a), np.inf)
+        # Twice the error of the products, and of the rounding.
+        limit = limit + 1e-11 * (norm_a[lo:lo + step] + top) + 2 * 10.0 ** -DIGITS
+        r, c = np.nonzero((rough <= limit[:, None]) & np.isfinite(rough))
+        d, part = np.empty(len(r)), max(1, HELD // x.shape[1])
+        for i in range(0, len(r), part):
+            gap = x[c[i:i + part]] - a[r[i:i + part]]
+            d[i:i + part] = (gap * gap).sum(axis=1)
+        d = np.round(d, DIGITS)
+        order = np.lexsort((ids[c], d, r))
+        r, c, d = r[order], c[order], d[order]
+        first = np.arange(len(r)) - np.searchsorted(r, r) < k
+        found.append((r[first] + lo, c[first], d[first]))
+    return tuple(np.concatenate(part) for part in zip(*found))
+
+
 def _first_copies(points: DataFrame, k: int) -> DataFrame:
     """Add ``copy``: the place among the k+1 smallest ids of equal vectors, null beyond them."""
     salted = points.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(COPY_SALTS)))
@@ -98,11 +135,17 @@ def _visits(pivots: np.ndarray, radii: np.ndarray, blocks: np.ndarray):
             plane = np.where(cells[None, :] == own[:, None], 0.0, np.nan_to_num(plane, nan=0.0, posinf=0.0))
             reach = np.maximum(plane, to_pivot - radii[None, :]) <= bound[:, None] + SLACK
             q, c = np.nonzero(reach & (blocks[None, :] > 0))
-            n = blocks[c]
-            q, c = np.repeat(q, n), np.repeat(c, n)
-            block = np.concatenate([np.arange(m) for m in n]) if len(n) else np.empty(0)
-            yield pd.DataFrame({"id": pdf["id"].to_numpy()[q], "vec": pdf["vec"].to_numpy()[q],
-                                "cell": c.astype("int32"), "block": block.astype("int32")})
+            # A query meets many blocks: its vector leaves as often, a bounded frame at a time.
+            step = max(1, HELD // max(1, x.shape[1]))
+            upto = np.cumsum(blocks[c])
+            total = int(upto[-1]) if len(upto) else 0
+            ids, vecs = pdf["id"].to_numpy(), pdf["vec"].to_numpy()
+            for lo in range(0, total, step):
+                row = np.arange(lo, min(total, lo + step))
+                at = np.searchsorted(upto, row, side="right")
+                block = row - upto[at] + blocks[c[at]]
+                yield pd.DataFrame({"id": ids[q[at]], "vec": vecs[q[at]],
+                                    "cell": c[at].astype("int32"), "block": block.astype("int32")})
     return run
 
 
@@ -111,7 +154,7 @@ def _search(k: int):
         if not len(queries) or not len(points):
             return pd.DataFrame({"id": [], "neighbour": [], "dist2": []})
         own, ids = queries["id"].to_numpy(), points["id"].to_numpy()
-        r, c, d = _top_k(_squared(_matrix(queries["vec"]), _matrix(points["vec"])), ids, own, k)
+        r, c, d = _nearest(_matrix(queries["vec"]), own, _matrix(points["vec"]), ids, k)
         return pd.DataFrame({"id": own[r], "neighbour": ids[c], "dist2": d})
     return run
 
