@@ -18,6 +18,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # The JVM compiles no method above this size: such stages run as functions it does compile.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     # Long texts and vectors go to Python workers in batches of bounded size.
     "spark.sql.execution.arrow.maxBytesPerBatch": "4m",
 }
