@@ -27,13 +27,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a table of few files over all cores before heavy work on its rows.
+PART_BYTES = 8 << 20  # stored bytes of a table that one task gets: more rows make more tasks, not longer ones
+
 
-    Large tables have more scan partitions than cores and stay as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a table over all cores, and a large one over tasks of bounded size, before heavy work on its rows."""
+    spark = df.sparkSession
+    configuration, path_of = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
+    stored = 0
+    for name in df.inputFiles():
+        place = path_of(spark._jvm.java.net.URI(name))
+        stored += place.getFileSystem(configuration).getFileStatus(place).getLen()
+    wanted = max(spark.sparkContext.defaultParallelism, -(-stored // PART_BYTES))
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
 
 
 def _pick(values: list[str], index) -> F.Column:
