@@ -4,7 +4,10 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from urlwarden.operators import neighbours
+from urlwarden.operators import neighbours, ngrams
+from urlwarden.plans import scan as scan_plan
+from urlwarden.registry import corpora as C
+from urlwarden.session import workspace
 
 
 @pytest.mark.parametrize("digits", [0, 8])
@@ -33,3 +36,43 @@ def test_visits_leave_in_bounded_frames(monkeypatch):
     want = {(i, c, b) for i in range(n) for c in range(50) for b in range(blocks[c])}
     assert len(rows) == len(want) and set(zip(rows["id"], rows["cell"], rows["block"])) == want
     assert all((v == pdf["vec"][i]).all() for i, v in zip(rows["id"], rows["vec"]))
+
+
+def test_char_grams_are_counted_in_batches(spark, monkeypatch):
+    texts = ["http://Aa.bb/  x", "ab", "abc", "\u0130\u00e4\U0001f600\U0001f600z\u20ac", "abc\x00\x00\x00", None, "", *["same-text"] * 9]
+    df = spark.createDataFrame([(k, t) for t in texts for k in ("a", "b", None)], "corpus string, url string").repartition(3)
+    whole = ngrams.char_grams_stage().transform(df).selectExpr("corpus", "explode(char_grams) as term").groupBy("corpus", "term").count()
+    got = ngrams.char_gram_counts(df, ["corpus"])
+    assert got.dtypes[-1] == ("tf", "bigint")
+    assert sorted(map(str, got.collect())) == sorted(str(r).replace("count=", "tf=") for r in whole.collect())
+    # One window of a batch is one row, however often it occurs.
+    (terms, counts), *_ = ngrams.window_counts(["same-text"] * 9, 3, 5)
+    assert terms.to_pylist().count("sam") == 1 and set(counts) == {9}
+
+
+def test_entries_of_vectors_hold_no_zeros(spark):
+    df = spark.createDataFrame([(1, "abcd"), (2, "")], "id int, url string")
+    made = ngrams.fit_char_tfidf(df).transform(df)
+    sizes = {r["id"]: len(r["e"]) for r in made.select("id", ngrams.entries("char_tfidf").alias("e")).collect()}
+    assert sizes == {1: 3, 2: 0}
+
+
+def test_reasons_are_told_behind_the_dealing(spark):
+    rows = spark.createDataFrame([("http://a.b/x",), ("http://[x/",), (None,), ("http://a\uff0fb/",)], "url string").repartition(3)
+    accepted, rejects = scan_plan.split_requests(rows)
+    plan = accepted._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Repartition")
+    assert "regexp_extract" not in plan[plan.index("Repartition"):]
+    assert [r["url"] for r in accepted.collect()] == ["http://a.b/x"]
+    assert sorted(r["reason"] for r in rejects.collect()) == [
+        "blank url", "delimiter in another form in host", "unbalanced brackets in host"]
+
+
+def test_tables_are_spread_by_their_size(spark, monkeypatch):
+    path = workspace(spark, "spread")
+    spark.range(20000).coalesce(1).write.parquet(path)
+    table = spark.read.parquet(path)
+    monkeypatch.setattr(C, "PART_BYTES", 1000, raising=False)
+    wide = C.spread(table)
+    assert wide.rdd.getNumPartitions() > 40 and wide.count() == 20000
+    assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"

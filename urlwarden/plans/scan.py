@@ -37,25 +37,51 @@ ADDRESS = rf"^(?:v[0-9a-f]+\.[^\n]+|{_address_pattern()})$"
 DELIMITER_FORMS = "".join(c for c in map(chr, range(0x80, 0xFFFF)) if set("/?#@:") & set(unicodedata.normalize("NFKC", c)))
 
 
-def reject_reason(url: Column) -> Column:
-    """Why a request cannot be scanned; null if it can.
+def _url_text(url: Column) -> Column:
+    return F.coalesce(canonical(url), F.lit(""))
 
-    The host part is the one that with_url_parts finds. Brackets in it must come in pairs, and the
-    first must hold an IPv6 address or a version tag.
-    """
-    u = F.coalesce(canonical(url), F.lit(""))
+
+def _host_part(u: Column) -> Column:
+    """The host part that with_url_parts finds in a canonical URL."""
     full = F.translate(F.when(F.contains(u, F.lit("://")), u).otherwise(F.concat(F.lit("http://"), u)), "\t\r\n", "")
-    netloc = F.regexp_extract(full, r"^(?:[a-z][a-z0-9+.\-]*:)?//([^/?#]*)", 1)
+    return F.regexp_extract(full, r"^(?:[a-z][a-z0-9+.\-]*:)?//([^/?#]*)", 1)
+
+
+def _reason(u: Column, netloc: Column) -> Column:
     opened, closed = F.contains(netloc, F.lit("[")), F.contains(netloc, F.lit("]"))
     address = F.substring_index(F.regexp_extract(netloc, r"\[(.*)$", 1), "]", 1)
+    # All forms are longer than one byte, so most hosts need no search.
+    wide = F.octet_length(netloc) > F.length(netloc)
     return (F.when(u == "", "blank url").when(opened != closed, "unbalanced brackets in host")
             .when(opened & ~address.rlike(ADDRESS), "bad address in brackets")
-            .when(F.rlike(F.lower(netloc), F.lit(f"[{DELIMITER_FORMS}]")), "delimiter in another form in host"))
+            .when(wide & F.rlike(F.lower(netloc), F.lit(f"[{DELIMITER_FORMS}]")), "delimiter in another form in host"))
+
+
+def reject_reason(url: Column) -> Column:
+    """Why a request cannot be scanned; null if it can.
+
+    The host part is the one that with_url_parts finds. Brackets in it must come in pairs, and the
+    first must hold an IPv6 address or a version tag.
+    """
+    u = _url_text(url)
+    return _reason(u, _host_part(u))
+
+
+def with_reject_reason(requests: DataFrame, url_col: str = "url") -> DataFrame:
+    """Add ``reason`` as ``reject_reason`` tells it, each step computed once a row.
+
+    It leaves as an inlined struct: filters on it stay here, behind the dealing of the rows, and are
+    not pushed down to the few tasks that read the table.
+    """
+    df = requests.withColumn("_u", _url_text(F.col(url_col)))
+    df = df.withColumn("_netloc", _host_part(F.col("_u")))
+    reason = _reason(F.col("_u"), F.col("_netloc")).alias("reason")
+    return df.select(*[c for c in requests.columns if c != "reason"], F.inline(F.array(F.struct(reason))))
 
 
 def split_requests(requests: DataFrame, url_col: str = "url") -> tuple[DataFrame, DataFrame]:
     """Accepted requests and rejects. Rejects do not stop the batch."""
-    marked = requests.withColumn("reason", reject_reason(F.col(url_col)))
+    marked = with_reject_reason(requests, url_col)
     return (marked.where(F.col("reason").isNull()).drop("reason"),
             marked.where(F.col("reason").isNotNull()))
 

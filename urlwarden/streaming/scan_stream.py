@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from urlwarden.functions.risk import ttl_seconds
 from urlwarden.functions.text import strip
 from urlwarden.functions.urls import with_url_hash
-from urlwarden.plans.scan import reject_reason, resolve_tiers, scored_requests
+from urlwarden.plans.scan import resolve_tiers, scored_requests, with_reject_reason
 from urlwarden.streaming.ttl_stream import replay_stream, run_batches
 
 RESULT = ["scan_id", "ts", "url", "latency", "verdict", "source", "risk_score", "forensics"]
@@ -23,7 +23,7 @@ def marked_requests(source: DataFrame, allow: DataFrame | None = None, delay: st
     alone, so a hit carries the verdict the scorer gives.
     """
     columns = source.columns
-    told = source.withColumn("reason", reject_reason(F.col("url")))
+    told = with_reject_reason(source)
     scored = with_url_hash(scored_requests(told.where("reason IS NULL").drop("reason"), allow))
     scored = scored.select(*columns, "allowed", "url_hash", ttl_seconds(F.col("verdict")).alias("ttl"))
     asked = replay_stream(scored.where(~F.col("allowed")).drop("allowed"), delay=delay)
