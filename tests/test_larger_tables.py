@@ -1,7 +1,9 @@
 """Steps whose tasks or passes must not grow faster than their tables, on rows made here."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from urlwarden.operators import online_logit
 from urlwarden.plans import train
 from urlwarden.session import workspace
 
@@ -30,3 +32,17 @@ def test_training_rows_are_dealt_over_tasks(spark, monkeypatch):
     assert sorted(r["fold"] for r in spark.read.parquet(f"{path}/cv").collect()) == [0, 1]
     scores = train.score_urls(train.load_model(f"{path}/model"), _labeled(spark))
     assert scores.count() == 85 and scores.where(F.col("probability").isNull()).count() == 0
+
+
+def test_rows_of_a_shard_are_cut_over_batches():
+    rows = [(k // 7, [k] * (k % 3), float(k)) for k in range(20)]
+    schema = pa.schema({"x": pa.list_(pa.int32()), "y": pa.float64(), "w": pa.float64(), "o": pa.int64(), "shard": pa.int64()})
+    batches = [pa.RecordBatch.from_pylist([
+        {"x": x or None, "y": y, "w": 1.0, "o": 0, "shard": s} for s, x, y in part], schema) for part in (rows[:3], rows[3:11], rows[11:11], rows[11:])]
+    units = list(online_logit._unit_rows(iter(batches)))
+    assert [u.column("v").to_pylist() for u in units][0] == [[], [1.0], [1.0]]  # two of one bucket are one of length 1
+    parts = list(online_logit._parts(iter(units), 4))
+    assert [(s, len(p[0]), list(p[3])) for s, p in parts] == [
+        (0, 4, [0.0, 1.0, 2.0, 3.0]), (0, 3, [4.0, 5.0, 6.0]), (1, 4, [7.0, 8.0, 9.0, 10.0]), (1, 3, [11.0, 12.0, 13.0]),
+        (2, 4, [14.0, 15.0, 16.0, 17.0]), (2, 2, [18.0, 19.0])]
+    assert all(len(p[1]) == len(p[2]) == sum(p[0]) for _, p in parts)
