@@ -76,3 +76,20 @@ def test_tables_are_spread_by_their_size(spark, monkeypatch):
     wide = C.spread(table)
     assert wide.rdd.getNumPartitions() > 40 and wide.count() == 20000
     assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
+
+
+def test_rows_of_one_row_group_are_dealt(spark, monkeypatch):
+    """More splits than tasks are wanted, but one of them reads all rows."""
+    path = workspace(spark, "one-group")
+    spark.range(200000).coalesce(1).write.parquet(path)
+    monkeypatch.setitem(C.__dict__, "PART_BYTES", 1 << 20)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        table = spark.read.parquet(path)
+        assert table.rdd.getNumPartitions() >= 8
+        sizes = C.spread(table).rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert sum(sizes) == 200000 and max(sizes) < 2 * 200000 / 8
+    assert len(sizes) % spark.sparkContext.defaultParallelism == 0

@@ -31,15 +31,18 @@ PART_BYTES = 8 << 20  # stored bytes of a table that one task gets: more rows ma
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Spread a table over all cores, and a large one over tasks of bounded size, before heavy work on its rows."""
+    """Deal a table over whole rounds of all cores, a large one over more tasks of bounded size, before heavy work on its rows.
+
+    The splits of a file tell nothing: a row group is read by one of them, and the others stay empty.
+    """
     spark = df.sparkSession
     configuration, path_of = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
     stored = 0
     for name in df.inputFiles():
         place = path_of(spark._jvm.java.net.URI(name))
         stored += place.getFileSystem(configuration).getFileStatus(place).getLen()
-    wanted = max(spark.sparkContext.defaultParallelism, -(-stored // PART_BYTES))
-    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores * max(1, -(-stored // (PART_BYTES * cores))))
 
 
 def _pick(values: list[str], index) -> F.Column:
