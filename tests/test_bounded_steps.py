@@ -3,11 +3,13 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from urlwarden.operators import neighbours, ngrams
+from urlwarden.plans import prepare
 from urlwarden.plans import scan as scan_plan
 from urlwarden.registry import corpora as C
-from urlwarden.session import workspace
+from urlwarden.session import materialise, workspace
 
 
 @pytest.mark.parametrize("digits", [0, 8])
@@ -93,3 +95,18 @@ def test_rows_of_one_row_group_are_dealt(spark, monkeypatch):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert sum(sizes) == 200000 and max(sizes) < 2 * 200000 / 8
     assert len(sizes) % spark.sparkContext.defaultParallelism == 0
+
+
+def test_power_grids_run_on_all_cores(spark, monkeypatch):
+    seen = {}
+
+    def kept(df, name, *more):
+        made = materialise(df, name, *more)
+        seen[name] = made
+        return made
+
+    monkeypatch.setattr(prepare, "materialise", kept)
+    x = F.pmod(F.xxhash64("id"), F.lit(1000)) / 10.0
+    train = spark.range(400).coalesce(1).select("id", x.alias("a"), (x * x).alias("b"))
+    prepare.fit_transforms(train, "id", ["a", "b"], prepare.PrepConfig(reject_outliers=False))
+    assert seen["prep-scaled"].rdd.getNumPartitions() >= 8 and seen["prep-scaled"].count() == 400

@@ -71,7 +71,9 @@ def _vector(columns: list[str]):
 def fit_transforms(train: DataFrame, id_col: str, features: list[str],
                    cfg: PrepConfig = PrepConfig()) -> FittedTransforms:
     robust = scaling.fit_robust(train, features)
-    scaled = materialise(scaling.apply_scale(train, robust), "prep-scaled")
+    # Few bytes and much work a row: the grids of the power fit would else run in the task that reads the file.
+    dealt = scaling.apply_scale(train, robust).repartition(train.sparkSession.sparkContext.defaultParallelism)
+    scaled = materialise(dealt, "prep-scaled")
     power = scaling.fit_power(scaled, features, refine=2)
     standard = scaling.fit_standard(scaling.apply_power(scaled, power), features)
     forest = None
