@@ -34,6 +34,17 @@ def test_training_rows_are_dealt_over_tasks(spark, monkeypatch):
     assert scores.count() == 85 and scores.where(F.col("probability").isNull()).count() == 0
 
 
+def test_fits_side_by_side_share_the_cores(spark):
+    cfg = train.TrainConfig(task_rows=20, most_rows=1000)
+    cores = spark.sparkContext.defaultParallelism
+    rows = spark.range(20 * cores).select(F.col("id").cast("string").alias("id")).coalesce(1)
+    assert train._dealt(rows, cfg).rdd.getNumPartitions() == cores
+    assert train._dealt(rows, cfg, 2).rdd.getNumPartitions() == cores // 2
+    assert train._dealt(rows, cfg, 2 * cores).rdd.getNumPartitions() == 1
+    # A task holds a bounded number of rows, however many cores there are.
+    assert train._dealt(rows, train.TrainConfig(task_rows=20, most_rows=5), 2).rdd.getNumPartitions() == 4 * cores
+
+
 def test_rows_of_a_shard_are_cut_over_batches():
     rows = [(k // 7, [k] * (k % 3), float(k)) for k in range(20)]
     schema = pa.schema({"x": pa.list_(pa.int32()), "y": pa.float64(), "w": pa.float64(), "o": pa.int64(), "shard": pa.int64()})
