@@ -59,6 +59,24 @@ def test_entries_of_vectors_hold_no_zeros(spark):
     assert sizes == {1: 3, 2: 0}
 
 
+def test_weights_are_those_of_the_vectors(spark):
+    """Rows made by batches, without windows or vectors, are the entries of the model's vectors."""
+    texts = ["http://Aa.bb/  x", "abab", "ab", None, "", "\u0130\u00e4\U0001f600\U0001f600z\u20ac", "same-text same-text", "x.y\uffff/q"]
+    df = spark.createDataFrame([(k, i, t) for i, t in enumerate(texts) for k in ("a", None)], "corpus string, url_id int, url string").repartition(3)
+    for size in (40, 1200):
+        model = ngrams.fit_char_tfidf(df, size=size)
+        terms = model.stages[1].vocabulary
+        made = model.transform(df.where("url is not null")).select("corpus", "url_id", ngrams.entries("char_tfidf").alias("e"))
+        want = {(str(r["corpus"]), r["url_id"], terms[e["indices"]]): e["values"] for r in made.collect() for e in r["e"]}
+        got = {(str(r["corpus"]), r["url_id"], r["term"]): r["weight"] for r in ngrams.char_tfidf_rows(model, df, ["corpus", "url_id"]).collect()}
+        assert got == pytest.approx(want, abs=1e-12) and len(want) > 40
+        whole = model.stages[0].transform(df.where("url is not null")).selectExpr("explode(array_distinct(char_grams)) as term")
+        counts = {r["term"]: r["count"] for r in whole.groupBy("term").count().collect()}
+        assert {r["term"]: r["df"] for r in ngrams.char_document_counts(df, terms).collect()} == {t: counts[t] for t in terms}
+    plan = ngrams.char_tfidf_rows(model, df, ["corpus", "url_id"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "UDF" not in plan
+
+
 def test_reasons_are_told_behind_the_dealing(spark):
     rows = spark.createDataFrame([("http://a.b/x",), ("http://[x/",), (None,), ("http://a\uff0fb/",)], "url string").repartition(3)
     accepted, rejects = scan_plan.split_requests(rows)
