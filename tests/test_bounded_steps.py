@@ -40,6 +40,32 @@ def test_visits_leave_in_bounded_frames(monkeypatch):
     assert all((v == pdf["vec"][i]).all() for i, v in zip(rows["id"], rows["vec"]))
 
 
+def test_vectors_leave_once_per_tile(spark, monkeypatch):
+    """No table on disk has more rows than there are points; tiles, blocks of one cell and batches give the plain result."""
+    rng = np.random.default_rng(4)
+    x = np.round(np.concatenate([rng.normal(size=(500, 3)), rng.normal(size=(300, 3)) * 0.01]), 3)
+    rows = [(int(i), [float(v) for v in x[i]], bool(i % 3)) for i in range(len(x))]
+    points = spark.createDataFrame(rows, "id bigint, vec array<double>, is_query boolean").repartition(5)
+    ids = np.arange(len(x))
+    r, c, d = neighbours._top_k(neighbours._squared(x, x), ids, ids, 4)
+    want = sorted((int(i), int(j), round(float(v), 9)) for i, j, v in zip(r, c, d) if i % 3)
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(neighbours, "QUERY_ROWS", 50)
+    for values in (1, 1 << 10):
+        monkeypatch.setattr(neighbours, "TILE_VALUES", values, raising=False)
+        made = []
+        monkeypatch.setattr(neighbours, "materialise", lambda df, name: made.append(materialise(df, name)) or made[-1])
+        got = neighbours.knn(points, 4).collect()
+        assert sorted((r["id"], r["neighbour"], r["dist2"]) for r in got) == want
+        assert max(df.count() for df in made) <= len(x)
+    pivots, sizes = rng.normal(size=(50, 3)), np.full(50, 10)
+    groups = neighbours._groups(pivots, sizes, 100)
+    assert np.bincount(groups, sizes).max() <= 100 and len(np.unique(groups)) < 15
+    pdf = pd.DataFrame({"id": np.arange(20), "vec": list(rng.normal(size=(20, 3))), "cell": np.zeros(20, int), "bound": np.full(20, 100.0)})
+    rows = pd.concat(neighbours._visits(pivots, np.ones(50), np.bincount(groups).clip(max=1), groups)([pdf]))
+    assert len(rows) == 20 * (groups.max() + 1) and not rows.duplicated(["id", "cell"]).any()
+
+
 def test_char_grams_are_counted_in_batches(spark, monkeypatch):
     texts = ["http://Aa.bb/  x", "ab", "abc", "\u0130\u00e4\U0001f600\U0001f600z\u20ac", "abc\x00\x00\x00", None, "", *["same-text"] * 9]
     df = spark.createDataFrame([(k, t) for t in texts for k in ("a", "b", None)], "corpus string, url string").repartition(3)

@@ -4,8 +4,10 @@ Points go to the cell of their nearest pivot. A query first gets an upper bound
 distance from its own cell, then visits only cells the triangle inequality cannot rule out
 and keeps k candidates per visited block. Copies of one vector are reduced to the k+1
 smallest ids first: no more of them can be among anybody's k nearest. So a group of copies
-never meets itself pair by pair. Cells are cut into blocks of bounded size and the queries
-of a block into batches of bounded size, so no task holds an unbounded group.
+never meets itself pair by pair. Cells that lie together form tiles of bounded size, a cell that is
+too large for one is cut into blocks, and the queries of a tile go in batches of bounded size, so no
+task holds an unbounded group. A vector leaves once per tile it has to see, not once per cell: where
+pruning is weak, what is shuffled grows with the number of tiles.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from urlwarden.session import materialise
 MAX_PIVOTS = 1024
 BLOCK_ROWS = 2048
 QUERY_ROWS = 8192
+TILE_VALUES = 1 << 21  # values of the vectors of a tile, or of a batch of its queries
 COPY_SALTS = 64
 SLACK = 1e-6
 DIGITS = 9
@@ -118,22 +121,45 @@ def _bound(k: int):
     return run
 
 
-def _visits(pivots: np.ndarray, radii: np.ndarray, blocks: np.ndarray):
-    """For each query the blocks of all cells within reach of its bound."""
-    between = np.sqrt(_squared(pivots, pivots))
-    cells = np.arange(len(pivots))
+def _groups(pivots: np.ndarray, sizes: np.ndarray, rows: int) -> np.ndarray:
+    """The group of each cell: halves by the widest axis until a group has few rows or one cell."""
+    group, todo, n = np.zeros(len(pivots), int), [np.arange(len(pivots))], 0
+    while todo:
+        part = todo.pop()
+        if len(part) == 1 or sizes[part].sum() <= rows:
+            group[part], n = n, n + 1
+            continue
+        order = part[np.argsort(pivots[part, np.ptp(pivots[part], axis=0).argmax()], kind="stable")]
+        upto = np.cumsum(sizes[order])
+        cut = min(max(1, int(np.searchsorted(upto, upto[-1] / 2))), len(order) - 1)
+        todo += [order[:cut], order[cut:]]
+    return group
+
+
+def _reach(x: np.ndarray, bound: np.ndarray, own: np.ndarray, pivots: np.ndarray, radii: np.ndarray,
+           cells: np.ndarray) -> np.ndarray:
+    """Which of the cells the triangle inequality cannot rule out for a query, by the bound of its k-th distance."""
+    to_pivot = np.sqrt(_squared(x, pivots[cells]))
+    d_own = np.sqrt(((x - pivots[own]) ** 2).sum(axis=1))[:, None]
+    at, of = np.unique(own, return_inverse=True)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        plane = (to_pivot ** 2 - d_own ** 2) / (2 * np.sqrt(_squared(pivots[at], pivots[cells]))[of])
+    plane = np.where(cells[None, :] == own[:, None], 0.0, np.nan_to_num(plane, nan=0.0, posinf=0.0))
+    return np.maximum(plane, to_pivot - radii[None, cells]) <= bound[:, None] + SLACK
+
+
+def _visits(pivots: np.ndarray, radii: np.ndarray, blocks: np.ndarray, groups: np.ndarray | None = None):
+    """For each query the blocks of all groups with a cell within reach of its bound; without ``groups`` each cell is one."""
+    groups = np.arange(len(pivots)) if groups is None else groups
+    cells = np.argsort(groups, kind="stable")
+    starts = np.searchsorted(groups[cells], np.arange(len(blocks)))
 
     def run(batches):
         for pdf in batches:
             if not len(pdf):
                 continue
             x, bound, own = _matrix(pdf["vec"]), pdf["bound"].to_numpy(), pdf["cell"].to_numpy()
-            to_pivot = np.sqrt(_squared(x, pivots))
-            d_own = to_pivot[np.arange(len(x)), own][:, None]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                plane = (to_pivot ** 2 - d_own ** 2) / (2 * between[own])
-            plane = np.where(cells[None, :] == own[:, None], 0.0, np.nan_to_num(plane, nan=0.0, posinf=0.0))
-            reach = np.maximum(plane, to_pivot - radii[None, :]) <= bound[:, None] + SLACK
+            reach = np.logical_or.reduceat(_reach(x, bound, own, pivots, radii, cells), starts, axis=1)
             q, c = np.nonzero(reach & (blocks[None, :] > 0))
             # A query meets many blocks: its vector leaves as often, a bounded frame at a time.
             step = max(1, HELD // max(1, x.shape[1]))
@@ -144,18 +170,36 @@ def _visits(pivots: np.ndarray, radii: np.ndarray, blocks: np.ndarray):
                 row = np.arange(lo, min(total, lo + step))
                 at = np.searchsorted(upto, row, side="right")
                 block = row - upto[at] + blocks[c[at]]
-                yield pd.DataFrame({"id": ids[q[at]], "vec": vecs[q[at]],
-                                    "cell": c[at].astype("int32"), "block": block.astype("int32")})
+                yield pd.DataFrame({"id": ids[q[at]], "vec": vecs[q[at]], "cell": c[at].astype("int32"),
+                                    "block": block.astype("int32"), "own": own[q[at]], "bound": bound[q[at]]})
     return run
 
 
-def _search(k: int):
+def _search(k: int, pivots: np.ndarray, radii: np.ndarray):
+    """The k nearest per query among the points of a tile, cell by cell within reach."""
     def run(queries: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(points):
             return pd.DataFrame({"id": [], "neighbour": [], "dist2": []})
         own, ids = queries["id"].to_numpy(), points["id"].to_numpy()
-        r, c, d = _nearest(_matrix(queries["vec"]), own, _matrix(points["vec"]), ids, k)
-        return pd.DataFrame({"id": own[r], "neighbour": ids[c], "dist2": d})
+        asked, x, cell = _matrix(queries["vec"]), _matrix(points["vec"]), points["cell"].to_numpy()
+        cells, order = np.unique(cell), np.argsort(cell, kind="stable")
+        ends = np.searchsorted(cell[order], cells, side="right")
+        best, near = np.full((len(own), k), np.inf), np.zeros((len(own), k), ids.dtype)
+        step = max(1, HELD // len(cells))
+        for lo in range(0, len(own), step):
+            part = slice(lo, lo + step)
+            reach = _reach(asked[part], queries["bound"].to_numpy()[part], queries["own"].to_numpy()[part], pivots, radii, cells)
+            for i, end in enumerate(ends):
+                rows, at = lo + np.flatnonzero(reach[:, i]), order[ends[i - 1] if i else 0:end]
+                r, c, d = _nearest(asked[rows], own[rows], x[at], ids[at], k)
+                place = np.arange(len(r)) - np.searchsorted(r, r)
+                dist, other = np.full((len(rows), 2 * k), np.inf), np.zeros((len(rows), 2 * k), ids.dtype)
+                dist[:, :k], other[:, :k] = best[rows], near[rows]
+                dist[r, k + place], other[r, k + place] = d, ids[at][c]
+                first = np.lexsort((other, dist), axis=1)[:, :k]
+                best[rows], near[rows] = np.take_along_axis(dist, first, 1), np.take_along_axis(other, first, 1)
+        r, c = np.nonzero(np.isfinite(best))
+        return pd.DataFrame({"id": own[r], "neighbour": near[r, c], "dist2": best[r, c]})
     return run
 
 
@@ -187,28 +231,40 @@ def knn(points: DataFrame, k: int) -> DataFrame:
     assigned = materialise(assigned, "knn-cells")
     # One row per pivot: how large a cell is and how far it reaches.
     stats = assigned.groupBy("cell").agg(F.count("*").alias("n"), F.max("radius").alias("r")).collect()
-    radii, blocks = np.zeros(len(pivots)), np.zeros(len(pivots), dtype="int64")
+    radii, sizes = np.zeros(len(pivots)), np.zeros(len(pivots), dtype="int64")
     for row in stats:
-        radii[row["cell"]], blocks[row["cell"]] = row["r"], -(-row["n"] // BLOCK_ROWS)
-    per_cell = F.array(*[F.lit(int(max(1, b))) for b in blocks])
+        radii[row["cell"]], sizes[row["cell"]] = row["r"], row["n"]
+    per_cell = F.array(*[F.lit(int(max(1, -(-b // BLOCK_ROWS)))) for b in sizes])
     assigned = assigned.withColumn("block", F.pmod(
         F.xxhash64("id"), F.element_at(per_cell, F.col("cell") + 1)).cast("int"))
     bounded = assigned.groupBy("cell", "block").applyInPandas(
         _bound(k), "id long, vec array<double>, is_query boolean, copy int, cell int, radius double, "
                    "block int, bound double")
-    visits = bounded.where("is_query").select("id", "vec", "cell", "bound").mapInPandas(
-        _visits(pivots, radii, blocks), "id long, vec array<double>, cell int, block int")
-    visits = materialise(visits, "knn-visits")
-    batches = materialise(visits.groupBy("cell", "block").agg(
-        F.ceil(F.count("*") / QUERY_ROWS).cast("int").alias("batches")), "knn-batches")
-    asked = visits.join(batches, ["cell", "block"]).select(
-        "id", "vec", "cell", "block", F.pmod(F.xxhash64("id"), F.col("batches")).cast("int").alias("batch"))
-    offered = assigned.select("id", "vec", "cell", "block").join(
-        batches.withColumnRenamed("batches", "parts"), ["cell", "block"]).select(
-        "id", "vec", "cell", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("batch"))
-    found = asked.groupBy("cell", "block", "batch").cogroup(
-        offered.groupBy("cell", "block", "batch")).applyInPandas(
-        _search(k), "id long, neighbour long, dist2 double")
+    asks = materialise(bounded.where("is_query").select("id", "vec", "cell", "bound"), "knn-bounds")
+    # Tiles as large as a task may hold, but some for each core.
+    cores = points.sparkSession.sparkContext.defaultParallelism
+    most = max(BLOCK_ROWS, TILE_VALUES // max(1, pivots.shape[-1]))
+    rows = max(1, min(most, n // (2 * cores)))
+    groups = _groups(pivots, sizes, rows)
+    tiles = -(-np.bincount(groups, sizes).astype("int64") // most)
+    visits = asks.mapInPandas(_visits(pivots, radii, tiles, groups),
+                              "id long, vec array<double>, cell int, block int, own int, bound double")
+    # Tables of one row per tile.
+    counts = visits.groupBy("cell", "block").count().collect()
+    batches = {(r["cell"], r["block"]): -(-r["count"] // max(QUERY_ROWS, most)) for r in counts}
+    first_tile = np.cumsum(tiles) - tiles
+    parts = np.zeros(max(1, int(tiles.sum())), int)
+    for (group, block), some in batches.items():
+        parts[first_tile[group] + block] = some
+    of = lambda values, at: F.element_at(F.lit([int(v) for v in values]), at + 1)
+    in_parts = of(parts, of(first_tile, F.col("group")) + F.col("block"))
+    asked = visits.withColumnRenamed("cell", "group").withColumn("batch", F.pmod(F.xxhash64("id"), in_parts).cast("int"))
+    offered = assigned.select("id", "vec", "cell", of(groups, F.col("cell")).alias("group")).withColumn(
+        "block", F.pmod(F.xxhash64("id"), of(np.maximum(tiles, 1), F.col("group"))).cast("int"))
+    offered = offered.where(in_parts > 0).withColumn("batch", F.explode(F.sequence(F.lit(0), in_parts - 1)))
+    found = asked.groupBy("group", "block", "batch").cogroup(
+        offered.groupBy("group", "block", "batch")).applyInPandas(
+        _search(k, pivots, radii), "id long, neighbour long, dist2 double")
     nearest = Window.partitionBy("id").orderBy("dist2", "neighbour")
     near = found.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)
     return near.unionByName(further_copies(points, first, k)).select("id", "rank", "neighbour", "dist2")
