@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,6 +79,27 @@ def test_char_grams_are_counted_in_batches(spark, monkeypatch):
     assert terms.to_pylist().count("sam") == 1 and set(counts) == {9}
 
 
+def test_word_grams_leave_packed(spark, monkeypatch):
+    texts = ["http://Aa.bb/  x", "one two one two one", "one", "", "a b", "\u0130st\u00e4 \U0001f600 z\u20ac_9 one two", *["same text"] * 9]
+    df = spark.createDataFrame([(k, t) for t in texts for k in ("a", "b", None)], "corpus string, url string").repartition(3)
+    plain = ngrams.transform_all(df, ngrams.word_grams_stages()).selectExpr("corpus", "explode(word_grams) as term").groupBy("corpus", "term").count()
+    want = sorted((str(r["corpus"]), r["term"], r["count"]) for r in plain.collect())
+    for held, buckets in ((1 << 20, None), (1, 7), (4, 1000)):
+        monkeypatch.setitem(ngrams.__dict__, "HELD", held)
+        got = ngrams.word_gram_counts(df, ["corpus"], buckets=buckets)
+        assert got.dtypes[-1] == ("tf", "bigint")
+        assert sorted((str(r["corpus"]), r["term"], r["tf"]) for r in got.collect()) == want
+    parts = ["con", "ver", "in", "re", "ta", "du", "ring", "mo", "lo"]
+    line = ["".join(parts[j] for j in row) for row in np.random.default_rng(5).integers(0, 9, (20000, 3))]
+    packed = list(ngrams._word_counts(pa.array(line), np.array([20000]), 3, 4))
+    rows = sum(n for _, n, _, _ in packed)
+    assert rows > 35000 and sum(len(p) for *_, p in packed) < 10 * rows
+    # One n-gram is in one bucket, whatever else a task holds.
+    at = lambda texts: {t: b for b, n, size, p in ngrams._word_counts(pa.array(texts), np.array([len(texts)]), 3, 50) for t in ngrams._unpacked(n, size, p)["term"].to_pylist()}
+    one, two = at(["aa", "bb", "cc"]), at(["zz", "aa", "bb", "cc", "aa"])
+    assert {t: two[t] for t in one} == one
+
+
 def test_entries_of_vectors_hold_no_zeros(spark):
     df = spark.createDataFrame([(1, "abcd"), (2, "")], "id int, url string")
     made = ngrams.fit_char_tfidf(df).transform(df)
